@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing",)
+_MODULES = ("neardup", "packing")
 
 QUERIES = {}
 ORACLE_SQL = {}
