@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("neardup", "packing")
+_MODULES = ("chat", "media", "neardup", "packing", "warc")
 
 QUERIES = {}
 ORACLE_SQL = {}
