@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("chat", "langid", "media", "neardup", "packing", "warc")
+_MODULES = ("chat", "langid", "lm", "media", "neardup", "packing", "warc")
 
 QUERIES = {}
 ORACLE_SQL = {}
