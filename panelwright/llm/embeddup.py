@@ -5,7 +5,8 @@ shard gets a graph. Every shard queries every shard of its label (itself include
 task, so a link that either way finds counts for both ends. Per pair of shards the beam starts at
 ``EF`` and is doubled until an audit passes: for ``AUDIT`` queries, exhaustive search must find no link
 that was missed, and the nearest vector must have been found in at least ``NEAREST`` of the cases (a
-stricter test, as a chance neighbour is harder to reach than a copy). Around every hit the graph is
+stricter test, as a chance neighbour is harder to reach than a copy). If no beam up to ``WIDEST``
+passes, that pair of shards is compared exhaustively, in blocks. Around every hit the graph is
 flooded, which finds the rest of a dense group. Links are confirmed by the cosine in double precision.
 
 Exactly equal vectors are one node with a weight, so groups of copies of any size cost one vector. A
@@ -30,7 +31,7 @@ from .common import materialise
 from .graph import components
 from .hnsw import Hnsw
 
-THRESHOLD, SHARD, EF, AUDIT, NEAREST = 0.98, 8192, 96, 64, 0.98
+THRESHOLD, SHARD, EF, WIDEST, AUDIT, NEAREST = 0.98, 8192, 96, 1024, 64, 0.98
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
@@ -114,19 +115,17 @@ class Shard:
                 cos[a : a + 200_000] = np.einsum("ij,ij->i", q[rows[a : a + 200_000]], self.unit[cols[a : a + 200_000]])
             ok = cos >= threshold
             rows, cols = rows[ok], cols[ok]
-            if ef >= n and len(q):
-                missed = self._missed(exact, asked, rows, cols, threshold)
-                if missed:  # parts of the graph that no walk reaches: all of the shard, in blocks
-                    blocks = [np.nonzero(q[a : a + 512] @ self.unit.T >= threshold) for a in range(0, len(q), 512)]
-                    rows = np.concatenate([r + 512 * i for i, (r, _) in enumerate(blocks)])
-                    cols = np.concatenate([c for _, c in blocks])
-                return rows, cols
             itself = sims[asked] > 1 - 1e-6
             best = np.where(itself & (np.cumsum(itself, 1) == 1), -2.0, sims[asked]).max(1)
             reached = best >= exact.max(1) - 0.01
             if reached.mean() >= NEAREST and not self._missed(exact, asked, rows, cols, threshold):
                 return rows, cols
+            if ef >= min(n, WIDEST):
+                break
             ef *= 2
+        # parts of the graph that no walk reaches: all of the shard, in blocks
+        blocks = [np.nonzero(q[a : a + 512] @ self.unit.T >= threshold) for a in range(0, len(q), 512)]
+        return np.concatenate([r + 512 * i for i, (r, _) in enumerate(blocks)]), np.concatenate([c for _, c in blocks])
 
     @staticmethod
     def _missed(exact, asked, rows, cols, threshold) -> bool:

@@ -73,6 +73,7 @@ class Hnsw:
 
     def __init__(self, v: np.ndarray, levels: np.ndarray, links: list[np.ndarray]):
         self.v, self.levels, self.links = v, levels, links
+        self._back_links: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def build(cls, v: np.ndarray, m: int = 16, ef: int = 96, seed: int = 5) -> Hnsw:
@@ -168,15 +169,30 @@ class Hnsw:
             sims.append(s)
         return np.concatenate(ids), np.concatenate(sims)
 
+    def _reverse(self) -> tuple[np.ndarray, np.ndarray]:
+        """Who links to each point on level 0: bounds and sources."""
+        if self._back_links is None:
+            source, slot = np.nonzero(self.links[0] >= 0)
+            target = self.links[0][source, slot]
+            order = np.argsort(target, kind="stable")
+            self._back_links = np.searchsorted(target[order], np.arange(len(self.v) + 1)), source[order]
+        return self._back_links
+
     def flood(self, q: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
-        """All ids at least ``least`` similar to ``q`` that level 0 reaches from ``start`` over such ids."""
+        """All ids at least ``least`` similar to ``q`` that links of level 0, in either direction, reach
+        from ``start`` over such ids."""
+        bounds, sources = self._reverse()
         seen = np.zeros(len(self.v), bool)
         seen[start] = True
         front, found = start, [start]
         while len(front):
-            near = np.unique(self.links[0][front])
-            near = near[near >= 0]
-            near = near[~seen[near]]
+            new = np.zeros(len(self.v), bool)
+            near = self.links[0][front]
+            new[near[near >= 0]] = True
+            size = bounds[front + 1] - bounds[front]
+            first = np.cumsum(size) - size
+            new[sources[np.repeat(bounds[front] - first, size) + np.arange(size.sum())]] = True
+            near = np.flatnonzero(new & ~seen)
             seen[near] = True
             front = near[self.v[near] @ q >= least]
             found.append(front)
