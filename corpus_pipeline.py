@@ -1,20 +1,69 @@
-"""A corpus in four stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus in four stages, each written as Parquet and read again as the next one's documents.
+
+1. Language identification: documents go whose language can't be told (``und``: null text or no letters) or
+   in which no language holds half of the words. What stays is unchanged.
+2. Near-duplicates: of each group one document stays, the one with the least id. Of rows with one id one stays;
+   rows with a null id stay.
+3. Personal data: every span is replaced by its kind in brackets, and ``n_chars`` follows.
+4. Packing into sequences of 1,024 ids (the last stage: its columns are those of the pieces).
+
+All stages but the last return the columns they get. Null texts can't reach the second stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import packing
+from panelwright.llm import langid, neardup, packing, pii
 from panelwright.llm.common import materialise
 
-Stage = tuple[str, object]
+#: Least share of a document's words that its main language has.
+LEAST_SHARE = 0.5
+
+
+def _spare(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = _spare(docs, "language")
+    found = langid.with_language(docs, langid.fit(docs), into=made)
+    kept = (F.col(f"{made}.lang_pred") != "und") & (F.col(f"{made}.score") >= LEAST_SHARE)
+    return found.filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = _spare(docs, "kept_id")
+    groups = neardup.near_duplicates(docs)
+    kept = groups.filter("kept").select(F.col("doc_id").alias(made)).distinct()
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(made), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = _spare(docs, "pii")
+    found = pii.with_personal_data(docs, into=made)
+    new = {"text": F.col(f"{made}.redacted"), "n_chars": F.length(f"{made}.redacted").cast("long")}
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES: list[Stage] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each_group),
+    ("personal_data", redacted),
+    ("packing", packed),
+]
+#: The stages learn, join by similarity and tokenize, which SQL can't express; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
