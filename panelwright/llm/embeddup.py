@@ -206,7 +206,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     out = clean.join(per_node, ["label", "dim", "v"], "left")
     own = F.coalesce("c", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), own).alias("component_id"),
+        "vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), own).alias("component_id"),
         (F.col("vec_id") == own).alias("kept"),
     )
 
