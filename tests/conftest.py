@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-DATA = "/root/testdata"
+
 
 
 @pytest.fixture(scope="session")
