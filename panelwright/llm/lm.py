@@ -32,9 +32,9 @@ from .eliasfano import Arrays, EliasFano
 from .langid import held_out
 
 DISCOUNT, FOLDS, HELD_OUT = 0.75, 7, 2
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 #: Distinct keys that a task sums before it hands them on.
-TASK_KEYS = 1_500_000
+TASK_KEYS = 700_000
 END, BEGIN = np.uint64(0x1D8AF066C9B50E4F), np.uint64(0x6A3F9C1E55D2B70D)
 
 
