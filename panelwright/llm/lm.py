@@ -35,6 +35,8 @@ DISCOUNT, FOLDS, HELD_OUT = 0.75, 7, 2
 SHARD_TOKENS = 1_000_000
 #: Distinct keys that a task sums before it hands them on.
 TASK_KEYS = 700_000
+#: Text bytes that a task hashes at once.
+HASHED_BYTES = 1 << 20
 END, BEGIN = np.uint64(0x1D8AF066C9B50E4F), np.uint64(0x6A3F9C1E55D2B70D)
 
 
@@ -80,17 +82,19 @@ class Summer:
         return self._merged() if self.parts else None
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """``(key long, n long)`` summed in each task; ``keys_of(data, off)`` gives int64 keys."""
+def _counted(texts: DataFrame, keys_of, shard_of=None) -> DataFrame:
+    """``(key long, n long)`` summed in each task, and ``shard long`` if there is ``shard_of(keys)``; ``keys_of(data, off)`` gives int64 keys."""
+    names = ["key", "n"] + ["shard"] * (shard_of is not None)
 
     def tasks(batches):
         sums = Summer()
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int64))], names=["key", "n"])
+            columns = [found[0], found[1].astype(np.int64)] + ([shard_of(found[0])] if shard_of else [])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
 
         for batch in batches:
-            for a, b in row_blocks(batch.column(0)):
+            for a, b in row_blocks(batch.column(0), HASHED_BYTES):
                 full = sums.add(keys_of(*flat_text(batch.column(0).slice(a, b - a))))
                 if full is not None:
                     yield out(full)
@@ -98,7 +102,7 @@ def _counted(texts: DataFrame, keys_of) -> DataFrame:
         if last is not None:
             yield out(last)
 
-    return texts.select("text").mapInArrow(tasks, "key long, n long")
+    return texts.select("text").mapInArrow(tasks, ", ".join(f"{x} long" for x in names))
 
 
 # ---------------------------------------------------------------- level one
@@ -194,15 +198,9 @@ def _plan(words: int, counts: DataFrame, shard_rows: list, per_shard: int) -> di
 
 
 def _write_successors(pairs: DataFrame, folder: str, plan: dict, words_at: tuple) -> DataFrame:
-    """A file for each shard of ``pairs(key, n)``, the key being context * 2^31 + successor."""
+    """A file for each shard of ``pairs(shard, key, n)``, the key being context * 2^31 + successor."""
     words = plan["words"]
 
-    def deal(batches):
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            shard = _shard_of(key >> 31, key & ((1 << 31) - 1), plan)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1)], names=["shard", "key", "n"])
-
     def flush(parts):
         shard = parts[0][0]
         key = np.concatenate([x[1] for x in parts])
@@ -252,7 +250,7 @@ def _write_successors(pairs: DataFrame, folder: str, plan: dict, words_at: tuple
         if parts:
             yield flush(parts)
 
-    dealt = pairs.mapInArrow(deal, "shard long, key long, n long").repartition(max(1, plan["shards"]), "shard")
+    dealt = pairs.select("shard", "key", "n").repartition(max(1, plan["shards"]), "shard")
     return dealt.sortWithinPartitions("shard", "key").mapInArrow(
         write, "shard long, file string, lowest long, highest long, pairs long"
     )
@@ -397,7 +395,7 @@ def train(texts: DataFrame, folder: str | None = None, per_shard: int = SHARD_TO
             end = np.cumsum(tokens + 1)[:-1]
             return np.delete(keys, end - 1)
 
-        pairs = _counted(texts, pair_keys)
+        pairs = _counted(texts, pair_keys, lambda key: _shard_of(key >> 31, key & ((1 << 31) - 1), plan))
         written = materialise(_write_successors(pairs, folder, plan, (folder, word_files)), "lm-next").collect()
         next_files = tuple(sorted((r["shard"], r["file"]) for r in written))
     return {
@@ -413,7 +411,7 @@ def score(docs: DataFrame, meta: dict) -> DataFrame:
     def tasks(batches):
         model = _model(meta["folder"], frozen) if meta["plan"] else None
         for batch in batches:
-            for a, b in row_blocks(batch.column(1)):
+            for a, b in row_blocks(batch.column(1), HASHED_BYTES):
                 data, off = flat_text(batch.column(1).slice(a, b - a))
                 if model is not None:
                     cols = model.score(data, off)
