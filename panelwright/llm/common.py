@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy block holds; a longer text makes a block of its own.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- shared storage
