@@ -31,6 +31,8 @@ from .common import materialise, open_store, shared_dir
 
 MIN_BYTES = 0
 BUNDLE_BYTES = 64 << 20
+#: Records that a task reads back at a time.
+READ_FRAMES = 2000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -189,13 +191,15 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records of an index, read back from the archives through their seek tables."""
+    """The records of a stored index (it is counted), read back from the archives through their seek tables."""
 
     def tasks(batches):
         fs, path = open_store(folder)
         name, reader = None, None
         for batch in batches:
             rows = []
+            if not batch.num_rows:
+                continue
             for bundle, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bundle != name:
                     if reader is not None:
@@ -219,7 +223,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if reader is not None:
             reader.source.close()
 
-    dealt = index.select("bundle", "frame").repartition("bundle", F.floor(F.col("frame") / 2000))
+    # a number of partitions that is given isn't lowered to fit the few bytes of the index
+    parts = max(1, min(-(-index.count() // READ_FRAMES), 100_000))
+    dealt = index.select("bundle", "frame").repartition(parts, "bundle", F.floor(F.col("frame") / READ_FRAMES))
     return dealt.sortWithinPartitions("bundle", "frame").mapInArrow(tasks, _READ)
 
 
