@@ -4,7 +4,8 @@ Level one holds the training words (64-bit hashes, sorted, in shards by hash ran
 word's id is its rank. Level two holds the successors of each word: Elias-Fano pointers to where a
 context's successors begin, the successors themselves as one Elias-Fano sequence in which a context's ids
 are offset by its place (so it is monotone, and a lookup is a successor search relative to the
-context), and one byte for each smoothed probability, an index into the shard's code book. All arrays
+context), and one byte for each smoothed probability, an index into the shard's code book, whose values lie
+at equal ratios (see ``code_book``). All arrays
 are mapped from files in the shared folder; neither level passes through the driver or is broadcast.
 
 With D = ``DISCOUNT``, P(w | v) = max(c(v w) - D, 0) / c(v) + D n(v) / c(v) * base(w), n(v) being the number
@@ -197,6 +198,21 @@ def _plan(words: int, counts: DataFrame, shard_rows: list, per_shard: int) -> di
     }
 
 
+def code_book(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each gain and the value of each byte.
+
+    Up to 256 different gains keep their values. More are dealt into 256 steps of equal ratio between the least and
+    the greatest, each step having the mean of its gains: no gain is off by more than (greatest / least)^(1/256),
+    and the gains' sum stays.
+    """
+    levels, codes = np.unique(gain, return_inverse=True)
+    if len(levels) > 256:
+        step = np.log(gain / levels[0]) * (256 / np.log(levels[-1] / levels[0]))
+        _, codes = np.unique(np.minimum(step.astype(np.int64), 255), return_inverse=True)
+        levels = np.bincount(codes, gain) / np.bincount(codes)
+    return codes.astype(np.uint8), levels
+
+
 def _write_successors(pairs: DataFrame, folder: str, plan: dict, words_at: tuple) -> DataFrame:
     """A file for each shard of ``pairs(shard, key, n)``, the key being context * 2^31 + successor."""
     words = plan["words"]
@@ -218,8 +234,7 @@ def _write_successors(pairs: DataFrame, folder: str, plan: dict, words_at: tuple
             own_totals = np.array([_words(*words_at).count_of(lowest)])
         totals = own_totals[np.searchsorted(present, context)]
         gain = np.maximum(n - DISCOUNT, 1e-9) / totals
-        levels = np.unique(np.quantile(gain, np.linspace(0, 1, 256), method="nearest")) if len(gain) else np.ones(1)
-        middle = (levels[1:] * levels[:-1]) ** 0.5
+        codes, levels = code_book(gain)
         fs, path = open_store(folder)
         fs.create_dir(path, recursive=True)
         name = f"next-{uuid.uuid4().hex}"
@@ -230,7 +245,7 @@ def _write_successors(pairs: DataFrame, folder: str, plan: dict, words_at: tuple
                 "size": np.array([lowest, highest, ef_p.n, ef_p.width, ef_s.n, ef_s.width], np.int64),
                 "p_low": ef_p.low, "p_high": ef_p.high, "p_ones": ef_p.ones,
                 "s_low": ef_s.low, "s_high": ef_s.high, "s_ones": ef_s.ones,
-                "codes": np.searchsorted(middle, gain).astype(np.uint8), "levels": levels,
+                "codes": codes, "levels": levels,
             })
         return pa.RecordBatch.from_arrays(
             [pa.array([int(shard)]), pa.array([name]), pa.array([lowest]), pa.array([highest]), pa.array([len(key)])],
