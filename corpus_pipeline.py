@@ -2,8 +2,8 @@
 
 1. Language identification: documents go whose language can't be told (``und``: null text or no letters) or
    in which no language holds half of the words. What stays is unchanged.
-2. Near-duplicates: of each group one document stays, the one with the least id. Of rows with one id one stays;
-   rows with a null id stay.
+2. Near-duplicates (a similarity of 0.8 or more): of each group one document stays, the one with the least id. Of rows
+   with one id one stays; rows with a null id stay.
 3. Personal data: every span is replaced by its kind in brackets, and ``n_chars`` follows.
 4. Packing into sequences of 1,024 ids (the last stage: its columns are those of the pieces).
 
@@ -22,6 +22,8 @@ from panelwright.llm.common import materialise
 
 #: Least share of a document's words that its main language has.
 LEAST_SHARE = 0.5
+#: Least similarity of near-duplicates in percent; 85 is the contract of op1_minhash_neardup alone.
+PERCENT = 80
 
 
 def _spare(docs: DataFrame, name: str) -> str:
@@ -40,7 +42,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = _spare(docs, "kept_id")
-    groups = neardup.near_duplicates(docs)
+    groups = neardup.near_duplicates(docs, PERCENT)
     kept = groups.filter("kept").select(F.col("doc_id").alias(made)).distinct()
     named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(made), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null"))

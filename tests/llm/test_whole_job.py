@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from panelwright.llm import lm
+import corpus_pipeline
+from panelwright.llm import lm, neardup
 
 
 def test_op7_hot_context_has_its_probabilities(spark):
@@ -41,3 +42,13 @@ def test_op7_code_book_keeps_the_sum():
     few = np.array([0.5, 0.25, 0.5])
     codes, levels = lm.code_book(few)
     assert (levels[codes] == few).all()
+
+
+def test_pipeline_takes_near_copies_of_four_fifths(spark):
+    """One replaced word of 57 is a Jaccard of 48 / 58 = 0.83, one of 45 is 36 / 46 = 0.78; op1's own threshold is 0.85."""
+    long, short = [f"long{i}" for i in range(57)], [f"short{i}" for i in range(45)]
+    other = lambda words: [*words[:20], "other", *words[21:]]
+    rows = [(i, " ".join(x)) for i, x in enumerate([long, other(long), short, other(short)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [0, 2, 3]
+    assert sorted(r["doc_id"] for r in neardup.near_duplicates(docs).collect() if r["kept"]) == [0, 1, 2, 3]
