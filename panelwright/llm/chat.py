@@ -1,54 +1,80 @@
 """Chat formatting after a cumulative-snapshot collapse, in DataFrame functions only.
 
 A chat log often holds a conversation once for each turn: every snapshot is a prefix of the next.
-Rolling hashes name every turn prefix. A conversation goes if its whole hash is a proper-prefix hash
-of another one (anti-join), or equals the hash of one with a smaller id. What stays is maximal and is
-rendered turn by turn.
+Turns are dealt by ranges of (conversation, order), so that a long conversation has many tasks, and numbered
+there; the few numbers a task hands on (turns and hash of each of its conversations) place it after the earlier
+ones. The hash of a prefix is the exclusive or of its turns' hashes, each made with the turn's place. A
+conversation goes if its whole hash is a proper-prefix hash of another one (anti-join), or equals the hash of
+one with a smaller id. What stays is maximal and is rendered turn by turn; only there a conversation is one row.
 
 Turns are ordered by ``turn``, then role and text; a null turn number comes first. Null role or text
-counts as empty. Turns with null ``conv_id`` are the conversation null. Rows repeated in all of conv_id,
-turn, role and text are one turn. Other columns are left out.
+counts as empty. A turn with null ``conv_id`` is a conversation of its own with the id null. Rows repeated in
+all of conv_id, turn, role and text are one turn. Other columns are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 TEMPLATE_OPEN, TEMPLATE_MID, TEMPLATE_CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turns array<struct<turn, role, text>>)``."""
+#: 60-bit parts of a prefix's hash.
+PARTS = ["h0", "h1", "h2"]
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """``(key, conv_id, role, text, name, part, place)``: distinct turns by conversation ``key``, numbered within each range ``part``."""
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-
-
-def with_prefix_hashes(convs: DataFrame) -> DataFrame:
-    """Adds ``hashes``: for each turn the SHA-256 of the previous hash, the role and the text."""
-    step = "sha2(concat(element_at(a, -1), char(10), t.role, char(10), sha2(t.text, 256)), 256)"
-    rolled = f"slice(aggregate(turns, array(''), (a, t) -> concat(a, array({step}))), 2, greatest(size(turns), 1))"
-    return convs.withColumn("hashes", F.expr(rolled))
-
-
-def maximal(hashed: DataFrame) -> DataFrame:
-    """Conversations that aren't a proper prefix of another one; of equal ones that with the least id."""
-    whole = F.element_at("hashes", -1)
-    named = hashed.withColumn("whole", whole)
+    ).distinct()
+    name = F.sha2(F.concat("role", F.lit("\n"), F.sha2("text", 256)), 256)
+    own = F.concat_ws(" ", F.lit("turn"), F.col("turn").cast("string"), "name")
+    named = rows.withColumn("name", name).withColumn("key", F.coalesce(F.col("conv_id").cast("string"), own))
+    # the start of a text is enough to keep the order; the driver samples these columns
+    dealt = named.repartitionByRange("key", "turn", "role", F.substring("text", 1, 32)).withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("part", "key").orderBy("turn", "role", "text"))
+    return dealt.select("key", "conv_id", "role", "text", "name", "part", place.cast("long").alias("place"))
+
+
+def _with_places(rows: DataFrame) -> DataFrame:
+    """Adds ``pos`` and ``n_turns``, a turn's place in its conversation and the turns of that."""
+    whole = Window.partitionBy("key")
+    sizes = rows.groupBy("key", "part").agg(F.max("place").alias("m"))
+    before = F.sum("m").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
+    sizes = sizes.select("key", "part", before.alias("before"), F.sum("m").over(whole).alias("n_turns"))
+    return rows.join(sizes, ["key", "part"]).withColumn("pos", F.col("place") + F.col("before")).drop("before")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """``(key, conv_id, pos, n_turns, h0, h1, h2)``: the hash of the first ``pos`` turns, for each turn of ``placed`` rows."""
+    step = F.sha2(F.concat_ws(" ", F.col("pos").cast("string"), "name"), 256)
+    bits = [F.conv(F.substring("step", 1 + 15 * i, 15), 16, 10).cast("long").alias(h) for i, h in enumerate(PARTS)]
+    kept = ["key", "conv_id", "part", "pos", "n_turns"]
+    steps = _with_places(rows.select("key", "conv_id", "name", "part", "place")).withColumn("step", step).select(*kept, *bits)
+    own = Window.partitionBy("part", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy("key", "part").agg(*(F.bit_xor(h).alias(h) for h in PARTS))
+    sums = sums.select("key", "part", *(F.coalesce(F.bit_xor(h).over(whole), F.lit(0)).alias(f"{h}_before") for h in PARTS))
+    running = steps.select(*kept, *(F.bit_xor(h).over(own).alias(h) for h in PARTS)).join(sums, ["key", "part"])
+    return running.select("key", "conv_id", "pos", "n_turns", *(F.col(h).bitwiseXOR(F.col(f"{h}_before")).alias(h) for h in PARTS))
+
+
+def maximal(found: DataFrame) -> DataFrame:
+    """``(key, conv_id, n_turns, copies)``: conversations that aren't a proper prefix of another one; of equal ones that with the least id."""
+    same = ["pos", *PARTS]
     # one row for each distinct proper prefix: the hot first turn is pre-aggregated before the shuffle
-    inner = named.select(F.explode(F.expr("slice(hashes, 1, size(hashes) - 1)")).alias("whole")).distinct()
-    firsts = named.groupBy("whole").agg(
-        F.min("conv_id").alias("least"), F.max(F.col("conv_id").isNull()).alias("has_null"), F.count("*").alias("copies")
-    )
-    firsts = firsts.join(inner, "whole", "left_anti")
-    kept = named.join(firsts, "whole")
+    inner = found.filter("pos < n_turns").select(same).distinct()
     # null ids sort last: a null conversation stays only where nothing else has its turns
-    return kept.filter(F.col("conv_id").eqNullSafe(F.col("least"))).drop("least", "has_null")
+    least = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "key")).alias("least")
+    firsts = found.filter("pos = n_turns").groupBy(same).agg(least, F.count("*").alias("copies"))
+    return firsts.join(inner, same, "left_anti").select("least.key", "least.conv_id", F.col("pos").alias("n_turns"), "copies")
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -56,12 +82,12 @@ def render(turns: DataFrame) -> DataFrame:
 
     ``copies`` is the number of logged conversations with exactly these turns.
     """
-    kept = maximal(with_prefix_hashes(conversations(turns)))
-    line = F.transform(
-        "turns",
-        lambda t: F.concat(F.lit(TEMPLATE_OPEN), t["role"], F.lit(TEMPLATE_MID), t["text"], F.lit(TEMPLATE_CLOSE)),
-    )
-    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "copies", F.concat_ws("", line).alias("rendered"))
+    rows = materialise(placed(turns), "chat-turns")
+    kept = materialise(maximal(prefixes(rows)), "chat-kept")
+    line = F.concat(F.lit(TEMPLATE_OPEN), "role", F.lit(TEMPLATE_MID), "text", F.lit(TEMPLATE_CLOSE))
+    lines = _with_places(rows.select("key", "role", "text", "part", "place").join(kept.select("key"), "key", "left_semi"))
+    texts = lines.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
+    return kept.join(texts, "key").select("conv_id", "n_turns", "copies", F.concat_ws("", "lines.line").alias("rendered"))
 
 
 def op4_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

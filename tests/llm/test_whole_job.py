@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from panelwright.llm import lm, neardup
+from panelwright.llm import chat, lm, neardup
 
 
 def test_op7_hot_context_has_its_probabilities(spark):
@@ -52,3 +53,30 @@ def test_pipeline_takes_near_copies_of_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [0, 2, 3]
     assert sorted(r["doc_id"] for r in neardup.near_duplicates(docs).collect() if r["kept"]) == [0, 1, 2, 3]
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small partitions stay apart, and there are as many as a large table would have."""
+    new = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_op4_long_conversations_and_turns_without_one(spark, many_tasks):
+    """A conversation that spans many tasks, its snapshots, and turns of no conversation, which aren't one conversation."""
+    said = [(i // 3, f"r{i % 3}", f"t{i % 7}") for i in range(3000)]
+    rows = [(1, *x) for x in said] + [(2, *x) for x in said[:1999]] + [(3, *x) for x in said] + [(4, *x) for x in said[:1500]] + [(4, 500, "r0", "else")]
+    rows += [(None, 0, "user", "a"), (None, 1, "user", "b"), (None, 2, "user", "b"), (None, 0, "r0", "t0"), (5, 0, "user", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    out = sorted((r["conv_id"] or 0, r["n_turns"], r["copies"], r["rendered"]) for r in chat.render(turns).collect())
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    full, part = ("".join(line(*x[1:]) for x in y) for y in (said, said[:1500]))
+    want = [(0, 1, 2, line("user", "b")), (1, 3000, 2, full), (4, 1501, 1, part + line("r0", "else")), (5, 1, 2, line("user", "a"))]
+    assert out == want
+    parts = {(r["conv_id"], r["part"]) for r in chat.placed(turns).select("conv_id", "part").distinct().collect()}
+    assert sum(conv_id == 1 for conv_id, _ in parts) > 1
