@@ -42,32 +42,40 @@ def term_counts(chunks: DataFrame, stop_words: list[str] | None = None) -> DataF
     return kept.groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
 
 
-def similar_chunks(chunks: DataFrame, query: str, k: int, stop_words: list[str] | None = None) -> DataFrame:
-    """``(chunk_id, similarity)``: the ``k`` chunks of ``chunks(chunk_id, text)`` most like ``query``, above 0.
+def similar_chunks(chunks: DataFrame, query: str | DataFrame, k: int, stop_words: list[str] | None = None) -> DataFrame:
+    """``(query_id, chunk_id, similarity)``: for each row of ``query(query_id, text)`` the ``k`` chunks of ``chunks(chunk_id, text)``
+    most like it, above 0; for a single text ``(chunk_id, similarity)``.
 
-    Ties (to nine digits) keep the order of the ids. The frequencies of all terms are an aggregate over (chunk, term); only the
-    query, a handful of rows, is broadcast.
+    Each query counts on its own as one more document. Ties (to nine digits) keep the order of the ids. The frequencies of all terms
+    are an aggregate over (chunk, term); queries and chunks meet by term. A chunk's norm depends on the query only in the query's
+    own terms, whose share is exchanged in the sum.
     """
-    spark = chunks.sparkSession
-    asked = term_counts(spark.range(1).select(F.col("id").alias("chunk_id"), F.lit(query).alias("text")), stop_words).select("term", F.col("n").alias("q"))
+    if isinstance(query, str):
+        one = chunks.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("text"))
+        return similar_chunks(chunks, one, k, stop_words).orderBy(F.round("similarity", 9).desc(), "chunk_id").drop("query_id")
+    asked = term_counts(query.select(F.col("query_id").alias("chunk_id"), "text"), stop_words)
+    asked = asked.select(F.col("chunk_id").alias("query_id"), "term", F.col("n").alias("q"))
     counts = term_counts(chunks, stop_words)
-    total = chunks.agg((F.count("*") + 1).alias("total"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(asked), "term", "left")
-    idf = df.join(F.broadcast(total)).select(
-        "term", "q", (F.ln((1 + F.col("total")) / (1 + F.col("df") + F.col("q").isNotNull().cast("int"))) + 1).alias("idf")
+    total = F.broadcast(chunks.agg((F.count("*") + 1).alias("total")))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = lambda seen: F.ln((1 + F.col("total")) / (1 + seen)) + 1
+    plain = df.join(total).select("term", idf(F.col("df")).alias("idf"))
+    # with the query as a document its terms are in one document more
+    own = asked.join(df, "term", "left").join(total).select(
+        "query_id", "term", "q", idf(F.coalesce("df", F.lit(0)) + 1).alias("own"), idf(F.coalesce("df", F.lit(0))).alias("idf")
     )
-    # terms that only the query has still count for its length
-    own = asked.join(df.select("term", "df"), "term", "left").join(F.broadcast(total)).select(
-        (F.col("q") * (F.ln((1 + F.col("total")) / (2 + F.coalesce("df", F.lit(0)))) + 1)).alias("w")
+    q_norm = own.groupBy("query_id").agg(F.sqrt(F.sum((F.col("q") * F.col("own")) ** 2)).alias("q_norm"))
+    norms = counts.join(plain, "term").groupBy("chunk_id").agg(F.sum((F.col("n") * F.col("idf")) ** 2).alias("square"))
+    pairs = counts.join(own, "term").groupBy("query_id", "chunk_id").agg(
+        F.sum(F.col("n") * F.col("q") * F.col("own") ** 2).alias("dot"),
+        F.sum(F.col("n") ** 2 * (F.col("own") ** 2 - F.col("idf") ** 2)).alias("more"),
     )
-    q_norm = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    w = F.col("n") * F.col("idf")
-    per = counts.join(idf, "term").groupBy("chunk_id").agg(
-        F.sqrt(F.sum(w * w)).alias("norm"), F.sum(F.when(F.col("q").isNotNull(), w * F.col("q") * F.col("idf"))).alias("dot")
+    norm = F.sqrt(F.col("square") + F.col("more")) * F.col("q_norm")
+    scored = pairs.filter("dot > 0").join(norms, "chunk_id").join(q_norm, "query_id").select(
+        "query_id", "chunk_id", F.try_divide(F.col("dot"), norm).alias("similarity")
     )
-    similarity = F.try_divide(F.col("dot"), F.col("norm") * F.col("q_norm"))
-    scored = per.filter("dot > 0").join(F.broadcast(q_norm)).select("chunk_id", similarity.alias("similarity"))
-    return scored.orderBy(F.round("similarity", 9).desc(), "chunk_id").limit(k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "chunk_id"))
+    return scored.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
 def verdict_rate(answers: DataFrame, verdict: str = "verdict") -> DataFrame:

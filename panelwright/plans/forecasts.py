@@ -57,6 +57,13 @@ def t03_tfidf_top(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(retrieval.similar_chunks(chunks, asked, 10))
 
 
+def t03_tfidf_every_50th(spark: SparkSession, d: str) -> DataFrame:
+    """For each document whose id is divisible by 50 the ten documents most like it, of all."""
+    chunks = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = chunks.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return _rounded(retrieval.similar_chunks(chunks, asked, 10))
+
+
 _DRIFT = _PANEL + """, moves AS (SELECT asset, dt, price, price - lag(price) OVER (PARTITION BY asset ORDER BY dt) AS d FROM panel
 ), facts AS (SELECT asset, arg_max(price, dt) AS last, coalesce(avg(d), 0) AS drift, coalesce(stddev_samp(d), 0) AS sd FROM moves GROUP BY asset)"""
 _WINDOWS = _PANEL + f""", calendar AS (
@@ -96,4 +103,4 @@ WITH words AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(coales
   SELECT chunk_id, sqrt(sum(n * idf * n * idf)) AS norm, sum(n * idf * q * idf) AS dot FROM counts JOIN idf USING (term) GROUP BY 1)
 SELECT chunk_id, round(dot / (norm * q_norm), 6) AS similarity FROM per, qn WHERE dot > 0 ORDER BY round(dot / (norm * q_norm), 9) DESC, chunk_id LIMIT 10""",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLE_SQL, "e03_theta"]}
+QUERIES = {k: globals()[k] for k in [*ORACLE_SQL, "e03_theta", "t03_tfidf_every_50th"]}
