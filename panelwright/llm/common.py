@@ -141,8 +141,9 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = Tr
     return mix(h + (e - s).astype(np.uint64) * _PLACE[7])
 
 
-def shingle_keys(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' distinct word shingles as sorted keys ``row << 52 | hash`` and the rows' set sizes.
+def shingle_keys(data: np.ndarray, off: np.ndarray, width: int = 5, wide: bool = False) -> tuple[np.ndarray, ...]:
+    """The rows' distinct word shingles as sorted keys ``row << 52 | hash`` and the rows' set sizes; if ``wide``, their
+    whole 64-bit hashes too.
 
     A row with fewer than ``width`` words has its whole sequence as one shingle, a row without
     words has none. At most 4096 rows.
@@ -158,5 +159,12 @@ def shingle_keys(data: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.
     for j in range(width):
         there = size > j
         total[there] += h[at[there] + j] * _PLACE[j]
-    keys = np.unique((rows.astype(np.uint64) << np.uint64(52)) | (mix(total) >> np.uint64(12)))
-    return keys, np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=len(words))
+    total = mix(total)
+    keys = (rows.astype(np.uint64) << np.uint64(52)) | (total >> np.uint64(12))
+    if wide:
+        order = np.argsort(keys)
+        order = order[np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))]
+        keys, more = keys[order], (total[order],)
+    else:
+        keys, more = np.unique(keys), ()
+    return keys, np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=len(words)), *more

@@ -40,7 +40,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     e, before = materialise(e, label), None
     while True:
         e = materialise(_stars(_stars(e, True), False), label)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum("v")).first()
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
         before = state
