@@ -1,19 +1,23 @@
 """Harmonic sequence packing.
 
-A document is its ids and the end id. It is cut into full sequences and halves, quarters, ... of the
-capacity as the binary digits of its length say, and a tail shorter than ``unit``. A piece of length
-``n`` belongs to the class ``k = capacity // n`` (lengths in ``(capacity/(k+1), capacity/k]``), and a bin
-of that class takes exactly ``k`` pieces, so halves, quarters, ... leave no padding at all and tails
-little. Every partition fills its own bins: no shuffle. What doesn't fill a bin of its class when a
-partition ends (fewer than ``k`` pieces of each class) is packed by decreasing first fit.
+A document is its ids and the end id. A whole document of length ``n`` belongs to the class ``k = capacity // n``
+(lengths in ``(capacity/(k+1), capacity/k]``), and a bin of that class takes exactly ``k`` documents. What they leave free is
+filled with pieces cut from documents longer than a sequence. Up to ``KEPT`` ids of these wait for gaps; of what
+comes beyond, full sequences are cut, and the remainder is classed by its length like a document. If no long document is left
+and more than ``OPEN_BINS`` bins have gaps, the bin with the largest gap is dissolved and its documents fill the others.
+So documents that fit into a sequence are hardly ever cut, and only the last sequence of a partition has padding.
+
+Every partition fills its own bins: no shuffle. When a partition ends, documents in incomplete classes fill gaps, and
+the rest follows one after the other.
 
 Null or empty text: the end id alone. Rows with equal or null ids are packed row by row. A partition's
-sequence ids start at ``partition << 32``.
+sequence ids start at ``partition << 32``. Ids of documents may be any long.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,118 +28,151 @@ from pyspark.sql import functions as F
 from .common import flat_text, row_blocks
 from .tokens import byte_bpe, default_path
 
-CAPACITY, UNIT, END_ID = 1024, 64, 0
+CAPACITY, END_ID = 1024, 0
+#: Ids of long documents that wait for gaps, and bins that wait for ids.
+KEPT, OPEN_BINS = 1 << 18, 512
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FIELDS = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
 
-
-def cut_lengths(total: np.ndarray, capacity: int = CAPACITY, unit: int = UNIT) -> tuple[np.ndarray, ...]:
-    """Pieces of documents of ``total`` ids: document index, start, length, in document order."""
-    sizes = [capacity >> j for j in range((capacity // unit).bit_length())]
-    counts = np.stack([total // capacity, *((total % (2 * s)) // s for s in sizes[1:]), (total % unit > 0)], 1)
-    lengths = np.tile(np.array([*sizes, 0]), (len(total), 1))
-    lengths[:, -1] = total % unit
-    doc = np.repeat(np.arange(len(total)), counts.sum(1))
-    length = np.repeat(lengths.ravel(), counts.ravel())
-    done = np.concatenate([[0], np.cumsum(length)])[:-1]
-    start = done - np.concatenate([[0], np.cumsum(total)])[:-1][doc]
-    return doc, start, length
+#: A piece: document id, its ids as little-endian unsigned 32-bit numbers, the document's ids before it, all of the document's.
+Piece = tuple[int | None, bytes, int, int]
 
 
 class Packer:
-    """Bins of one partition. Pieces are rows ``(…, length)``; full bins leave with sequence id and offset."""
-
-    def __init__(self, base: int, capacity: int = CAPACITY):
-        self.capacity, self.next = capacity, base
-        self.waiting: dict[int, np.ndarray] = {}
-
-    def add(self, rows: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
-        """Full bins of each class after ``rows`` arrived, as rows with two more columns."""
-        kinds = self.capacity // length
-        order = np.argsort(kinds, kind="stable")
-        kinds, rows, length = kinds[order], rows[order], length[order]
-        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(kinds)) + 1):
-            if not len(part):
-                continue
-            k = int(kinds[part[0]])
-            own = np.column_stack([rows[part], length[part]])
-            if k in self.waiting:
-                own = np.concatenate([self.waiting.pop(k), own])
-            full = len(own) // k * k
-            if full < len(own):
-                self.waiting[k] = own[full:]
-            if full:
-                yield self._filled(own[:full], np.full(full // k, k))
-
-    def _filled(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """``own``: pieces in bin order, their length last; ``counts``: pieces of each bin."""
-        before = np.concatenate([[0], np.cumsum(own[:, -1])])[:-1]
-        first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        ids = self.next + np.repeat(np.arange(len(counts)), counts)
-        self.next += len(counts)
-        return np.column_stack([own[:, :-1], ids, before - np.repeat(before[first], counts)])
-
-    def rest(self) -> np.ndarray | None:
-        """The pieces still waiting, by first fit in order of decreasing length."""
-        if not self.waiting:
-            return None
-        own = np.concatenate(list(self.waiting.values()))
-        own = own[np.argsort(-own[:, -1], kind="stable")]
-        room, bin_of = np.zeros(0, np.int64), np.zeros(len(own), np.int64)
-        for i, n in enumerate(own[:, -1].tolist()):
-            fit = np.flatnonzero(room >= n)
-            if not len(fit):
-                room = np.append(room, self.capacity)
-                fit = [len(room) - 1]
-            bin_of[i] = fit[0]
-            room[fit[0]] -= n
-        order = np.argsort(bin_of, kind="stable")
-        self.waiting = {}
-        return self._filled(own[order], np.bincount(bin_of))
-
-
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
+    """Bins of one partition; finished sequences are rows (see ``SCHEMA``) in ``rows``."""
+
+    def __init__(self, base: int, capacity: int = CAPACITY, kept: int = KEPT, open_bins: int = OPEN_BINS):
+        self.capacity, self.next, self.kept, self.open_bins = capacity, base, kept, open_bins
+        self.classes: dict[int, list[Piece]] = {}
+        self.filler: deque[Piece] = deque()
+        self.held = 0
+        self.waiting: list[tuple[int, list[Piece]]] = []
+        self.rows: list[tuple] = []
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Pack a document, given as its ids."""
+        total = len(ids) >> 2
+        if total <= self.capacity:
+            self._classed((doc_id, ids, 0, total))
+            return
+        self._fill_with((doc_id, ids, 0, total))
+        while self.held > self.kept:
+            own, raw, start, total = self.filler.popleft()
+            self.held -= len(raw) >> 2
+            size = 4 * self.capacity
+            full = len(raw) // size * size
+            for at in range(0, full, size):
+                self._emit([(own, raw[at : at + size], start + (at >> 2), total)])
+            if full < len(raw):
+                self._classed((own, raw[full:], start + (full >> 2), total))
+
+    def _classed(self, piece: Piece) -> None:
+        k = self.capacity // (len(piece[1]) >> 2)
+        own = self.classes.setdefault(k, [])
+        own.append(piece)
+        if len(own) == k:
+            del self.classes[k]
+            self._close(own)
+
+    def _close(self, own: list[Piece]) -> None:
+        """A bin with all its documents: cut what is free from long documents."""
+        gap = self.capacity - (sum(len(x[1]) for x in own) >> 2)
+        while gap and self.filler:
+            gap -= self._cut_into(own, gap)
+        if not gap:
+            self._emit(own)
+            return
+        self.waiting.append((gap, own))
+        if len(self.waiting) > self.open_bins:
+            self._dissolve()
+
+    def _cut_into(self, own: list[Piece], gap: int) -> int:
+        doc_id, raw, start, total = self.filler.popleft()
+        n = min(gap, len(raw) >> 2)
+        own.append((doc_id, raw[: 4 * n], start, total))
+        if 4 * n < len(raw):
+            self.filler.appendleft((doc_id, raw[4 * n :], start + n, total))
+        self.held -= n
+        return n
+
+    def _fill_with(self, piece: Piece) -> None:
+        """Take ``piece`` as one to cut from: waiting bins first."""
+        self.filler.append(piece)
+        self.held += len(piece[1]) >> 2
+        while self.waiting and self.filler:
+            gap, own = self.waiting.pop()
+            while gap and self.filler:
+                gap -= self._cut_into(own, gap)
+            if gap:
+                self.waiting.append((gap, own))
+            else:
+                self._emit(own)
+
+    def _dissolve(self) -> None:
+        at = max(range(len(self.waiting)), key=lambda i: self.waiting[i][0])
+        _, own = self.waiting.pop(at)
+        for piece in own:
+            self._fill_with(piece)
+
+    def _emit(self, own: list[Piece]) -> None:
+        offset = 0
+        for doc_id, raw, start, total in own:
+            n = len(raw) >> 2
+            self.rows.append((doc_id, start, n, zlib.crc32(raw), total, self.next, offset))
+            offset += n
+        self.next += 1
+
+    def finish(self) -> None:
+        """Pack all that waits."""
+        for _, own in sorted(self.classes.items()):
+            for piece in own:
+                self._fill_with(piece)
+        self.classes = {}
+        while len(self.waiting) > 1 and not self.filler:
+            self._dissolve()
+        while self.filler:
+            self._close([])
+        for _, own in self.waiting:
+            self._emit(own)
+        self.waiting = []
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences of ``capacity`` ids; one row per piece (see ``SCHEMA``).
 
     Other columns are left out. ``offset`` is the place in the sequence, gapless from 0;
     ``ids_crc32`` is over the piece's ids as little-endian unsigned 32-bit numbers.
     """
-    if capacity & (capacity - 1) or capacity % unit or unit & (unit - 1):
-        raise ValueError("capacity and unit must be powers of two, unit at most capacity")
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     path = tokenizer_path or default_path("byte_bpe_50k.json")
 
-    def tasks(batches):
+    def tasks(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = byte_bpe(path)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity)
-        null_id = -(1 << 62)
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            cols = [pa.array(rows[:, i], mask=(rows[:, i] == null_id) if i == 0 else None) for i in range(7)]
-            return pa.RecordBatch.from_arrays(cols, schema=_FIELDS)
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in zip(*packer.rows, strict=True)]
+            packer.rows = []
+            return pa.RecordBatch.from_arrays(columns, schema=_FIELDS)
 
         for batch in batches:
-            ids_column = np.asarray(batch.column(0).fill_null(null_id), np.int64)
             for a, b in row_blocks(batch.column(1)):
                 data, off = flat_text(batch.column(1).slice(a, b - a))
                 ids, at = encoder.encode(data, off)
-                sizes = np.diff(at)
-                whole = np.insert(ids, at[1:], END_ID).astype("<u4")
-                doc, start, length = cut_lengths(sizes + 1, capacity, unit)
-                raw = memoryview(whole).cast("B")
-                crc, p = np.zeros(len(doc), np.int64), 0
-                for i, n in enumerate((4 * length).tolist()):
-                    crc[i] = zlib.crc32(raw[p : p + n])
-                    p += n
-                rows = np.column_stack([ids_column[a:b][doc], start, length, crc, (sizes + 1)[doc]])
-                for filled in packer.add(rows, length):
-                    yield out(filled)
-        last = packer.rest()
-        if last is not None:
-            yield out(last)
+                raw = np.insert(ids, at[1:], END_ID).astype("<u4").tobytes()
+                ends = (4 * (at + np.arange(len(at)))).tolist()
+                for doc_id, start, end in zip(batch.column(0).slice(a, b - a).to_pylist(), ends[:-1], ends[1:], strict=True):
+                    packer.add(doc_id, raw[start:end])
+                if packer.rows:
+                    yield out()
+        packer.finish()
+        if packer.rows:
+            yield out()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tasks, SCHEMA)
 
