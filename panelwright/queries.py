@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import forecasts, panels
+from .plans import forecasts, landed, panels, selections
 
-_MODULES = (panels, forecasts)
+_MODULES = (panels, forecasts, selections, landed)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
