@@ -9,8 +9,10 @@ stricter test, as a chance neighbour is harder to reach than a copy). If no beam
 passes, that pair of shards is compared exhaustively, in blocks. Around every hit the graph is
 flooded, which finds the rest of a dense group. Links are confirmed by the cosine in double precision.
 
-Exactly equal vectors are one node with a weight, so groups of copies of any size cost one vector. A
-task hands on each vector's sum of weights and a star for each local component, not the pairs.
+Vectors are scaled by a power of two to a largest part between 1/2 and 1, so that no square overflows or vanishes. Exactly equal
+vectors are one node with a weight, so groups of copies of any size cost one vector. A node is known by a 64-bit hash of label,
+dimension and vector. A shard's graph and vectors are a file in the shared folder; only file names are joined, and a task reads
+the files of its pairs. It hands on each vector's sum of weights and a star for each local component, not the pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite parts, and those with null label or id,
 link with nothing: 0 links, component of their own (null for a null id). Different dimensions don't link.
@@ -20,6 +22,7 @@ Rows with equal ids are separate vectors for the counts and one node for the com
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, open_store, shared_dir
 from .graph import components
 from .hnsw import Hnsw
 
@@ -45,9 +48,9 @@ def _clean(vectors: DataFrame) -> DataFrame:
                 v = None
                 if row.is_valid and len(row.values) and not row.values.null_count:
                     x = row.values.to_numpy(zero_copy_only=False)
-                    with np.errstate(over="ignore"):
-                        norm = float(x @ x)
-                    v = x.tobytes() if np.isfinite(x).all() and np.isfinite(norm) and norm > 0 else None
+                    top = float(np.abs(x).max())
+                    # + 0.0: no negative zeros, which would make other bytes
+                    v = (np.ldexp(x, -int(np.frexp(top)[1])) + 0.0).tobytes() if np.isfinite(top) and top > 0 else None
                 out.append(v)
             binary = pa.array(out, pa.binary())
             dim = pc.cast(pc.divide(pc.binary_length(binary), 8), pa.int64())
@@ -61,38 +64,41 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _shards(nodes: DataFrame) -> DataFrame:
-    """``(label, dim, shard, reps, weights, vectors, graph)``, a graph for each shard of ``nodes``."""
+def _shards(nodes: DataFrame, folder: str) -> DataFrame:
+    """``(label, dim, file)``: a file for each shard of ``nodes`` with its vectors and their graph."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     dealt = nodes.join(F.broadcast(sizes) if sizes.count() < 10_000 else sizes, ["label", "dim"]).withColumn(
-        "shard", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SHARD))
+        "shard", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SHARD))
     )
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep").combine_chunks()
-        raw = b"".join(table.column("v").to_pylist())
-        unit = _unit(np.frombuffer(raw, np.float64).reshape(len(table), -1))
-        graph = Hnsw.build(unit.astype(np.float32))
+        table = table.sort_by("node").combine_chunks()
+        vectors = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(len(table), -1)
+        graph = Hnsw.build(_unit(vectors).astype(np.float32))
+        fs, path = open_store(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"shard-{uuid.uuid4().hex}"
         packed = io.BytesIO()
-        np.savez(packed, levels=graph.levels, **{f"l{i}": x for i, x in enumerate(graph.links)})
-        return pa.table({
-            "label": [key[0].as_py()], "dim": [key[1].as_py()], "shard": [key[2].as_py()],
-            "reps": [table.column("rep").to_pylist()], "weights": [table.column("weight").to_pylist()],
-            "vectors": pa.array([raw], pa.large_binary()).cast(pa.binary()), "graph": pa.array([packed.getvalue()], pa.binary()),
-        })
-
-    return dealt.groupBy("label", "dim", "shard").applyInArrow(
-        build, "label string, dim long, shard long, reps array<long>, weights array<long>, vectors binary, graph binary"
-    )
+        np.savez(
+            packed, nodes=table.column("node").to_numpy(), reps=table.column("rep").to_numpy(), weights=table.column("weight").to_numpy(), vectors=vectors,
+            levels=graph.levels, **{f"l{i}": x for i, x in enumerate(graph.links)},
+        )
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(packed.getvalue())
+        return pa.table({"label": [key[0].as_py()], "dim": [key[1].as_py()], "file": [name]})
+
+    return dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim long, file string")
 
 
 class Shard:
-    def __init__(self, reps: list[int], weights: list[int], vectors: bytes, graph: bytes):
-        self.reps, self.weights = np.array(reps, np.int64), np.array(weights, np.int64)
-        self.unit = _unit(np.frombuffer(vectors, np.float64).reshape(len(reps), -1))
-        packed = np.load(io.BytesIO(graph))
-        links = [packed[f"l{i}"] for i in range(len(packed.files) - 1)]
-        self.graph = Hnsw(self.unit.astype(np.float32), packed["levels"], links)
+    def __init__(self, uri: str):
+        fs, path = open_store(uri)
+        with fs.open_input_stream(path, compression=None) as source:
+            x = np.load(io.BytesIO(source.read()))
+        self.nodes, self.reps, self.weights = x["nodes"], x["reps"], x["weights"]
+        self.unit = _unit(x["vectors"])
+        links = [x[f"l{i}"] for i in range(sum(k[0] == "l" and k[1:].isdigit() for k in x.files))]
+        self.graph = Hnsw(self.unit.astype(np.float32), x["levels"], links)
 
     def hits(self, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """``(query, own)`` index pairs with a cosine of at least ``threshold``, among them the query itself if it is here."""
@@ -148,26 +154,34 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _linked(shards: DataFrame, threshold: float) -> DataFrame:
-    """``(rep, links, other)``: weights of the linked nodes, by pair of shards, and a link that spans the local component."""
-    left = shards.select("label", "dim", *(F.col(c).alias(f"{c}_a") for c in ("shard", "reps", "weights", "vectors", "graph")))
-    right = shards.select("label", "dim", *(F.col(c).alias(f"{c}_b") for c in ("shard", "reps", "weights", "vectors", "graph")))
-    pairs = left.join(right, ["label", "dim"]).filter("shard_a <= shard_b").drop("label", "dim")
+def _linked(shards: DataFrame, folder: str, threshold: float) -> DataFrame:
+    """``(node, rep, links, other)``: weights of the linked nodes, by pair of shards, and a link that spans the local component."""
+    left = shards.select("label", "dim", F.col("file").alias("a"))
+    right = shards.select("label", "dim", F.col("file").alias("b"))
+    pairs = materialise(left.join(right, ["label", "dim"]).filter("a <= b").select("a", "b"), "shard-pairs")
 
     def tasks(batches):
+        kept: dict[str, Shard] = {}
+
+        def shard(name: str, other: str) -> Shard:
+            for old in [x for x in kept if x not in (name, other)]:
+                del kept[old]
+            if name not in kept:
+                kept[name] = Shard(f"{folder}/{name}")
+            return kept[name]
+
         for batch in batches:
-            for row in batch.to_pylist():
-                one = Shard(row["reps_a"], row["weights_a"], row["vectors_a"], row["graph_a"])
-                same = row["shard_a"] == row["shard_b"]
-                two = one if same else Shard(row["reps_b"], row["weights_b"], row["vectors_b"], row["graph_b"])
+            for name_a, name_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one, two = shard(name_a, name_b), shard(name_b, name_a)
+                same = one is two
                 b, a = two.hits(one.unit, threshold)[::-1]
                 if same:
                     n, keys = len(one.reps), np.concatenate([a * len(one.reps) + b, b * len(one.reps) + a])
                     keys = np.unique(keys)
                     a, b = keys // n, keys % n
                     a, b = a[a != b], b[a != b]
-                    reps, weights = one.reps, one.weights
-                    sums = np.bincount(a, weights[b].astype(float), minlength=n)
+                    reps, nodes = one.reps, one.nodes
+                    sums = np.bincount(a, one.weights[b].astype(float), minlength=n)
                 else:
                     n = len(two.reps)
                     b2, a2 = one.hits(two.unit, threshold)
@@ -178,14 +192,17 @@ def _linked(shards: DataFrame, threshold: float) -> DataFrame:
                         np.bincount(b, one.weights[a].astype(float), minlength=n),
                     ])
                     b = b + len(one.reps)
-                    reps = np.concatenate([one.reps, two.reps])
+                    reps, nodes = np.concatenate([one.reps, two.reps]), np.concatenate([one.nodes, two.nodes])
                 label = _least_labels(len(reps), a, b)
                 some = np.flatnonzero(sums > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps[some]), pa.array(sums[some].astype(np.int64)), pa.array(reps[label[some]])], names=["rep", "links", "other"]
+                    [pa.array(nodes[some]), pa.array(reps[some]), pa.array(sums[some].astype(np.int64)), pa.array(reps[label[some]])],
+                    names=["node", "rep", "links", "other"],
                 )
 
-    return pairs.repartition("shard_a", "shard_b", F.xxhash64("reps_a")).mapInArrow(tasks, "rep long, links long, other long")
+    # the rows are names only: a number of tasks that is given isn't lowered to fit their few bytes
+    dealt = pairs.repartition(max(1, min(pairs.count(), 100_000)), "a", "b").sortWithinPartitions("a", "b")
+    return dealt.mapInArrow(tasks, "node long, rep long, links long, other long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,13 +210,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     clean = materialise(_clean(vectors), "vectors")
     able = clean.filter("v is not null and label is not null and vec_id is not null")
     nodes = able.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    shards = materialise(_shards(nodes), "hnsw")
-    linked = materialise(_linked(shards, threshold), "vector-links")
-    # the least id of a class stands for it; classes of repeated ids are told apart by label and vector
+    nodes = nodes.withColumn("node", F.xxhash64("label", "dim", "v"))
+    folder = shared_dir(vectors.sparkSession, "hnsw-files")
+    linked = materialise(_linked(materialise(_shards(nodes, folder), "hnsw"), folder, threshold), "vector-links")
+    # the least id of a class stands for it in the components; rows of one id are one node there
     ends = linked.select(F.col("rep").alias("a"), F.col("other").alias("b")).filter("a <> b")
-    labels = components(ends, "vector-components")
-    sums = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_node = nodes.join(sums, "rep", "left").join(labels, nodes["rep"] == labels["id"], "left").select(
+    same = able.join(nodes, ["label", "dim", "v"]).filter("vec_id <> rep").join(able.groupBy("vec_id").agg(F.count("*").alias("k")).filter("k > 1"), "vec_id")
+    labels = components(ends.unionByName(same.select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))), "vector-components")
+    sums = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    per_node = nodes.join(sums, "node", "left").join(labels, nodes["rep"] == labels["id"], "left").select(
         "label", "dim", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"),
         F.coalesce("component", "rep").alias("c"),
     )
