@@ -2,8 +2,8 @@
 
 Each language has a smoothed distribution over hashed byte trigrams. A document is a mixture: each of
 its words comes from one language, with the likelihood of the word's trigrams, and expectation-
-maximisation finds the proportions. The language set is chosen by penalised likelihood: the sets of the
-1, 2, 3 and 4 largest proportions are fitted again, and each further language must raise the log
+maximisation finds the proportions, until none moves by more than ``TOLERANCE``. The language set is chosen by penalised likelihood: the sets
+of the 1, 2, 3, ... largest proportions are fitted again, as long as each further language raises the log
 likelihood by more than ``PENALTY`` and half the logarithm of the number of words.
 
 The classifier learns from labelled documents outside the held-out fold, at most about
@@ -27,7 +27,7 @@ from .common import flat_text, row_blocks, word_spans
 
 BUCKETS = 1 << 15
 TRAIN_DOCUMENTS, MAX_LANGUAGES = 20_000, 500
-STEPS, PENALTY, LARGEST_SET = 8, 3.0, 4
+TOLERANCE, PENALTY = 1e-3, 3.0
 FOLDS, HELD_OUT = 4, 2
 
 #: Bytes as the model sees them: A-Z as a-z, letters and bytes of other scripts as they are, all else a space.
@@ -106,23 +106,39 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> tuple[list[str], np.nda
     return langs, np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _mixture(like: np.ndarray, first: np.ndarray, rows: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the ``active`` languages of each row (rows x languages) and the log likelihood."""
-    share = active / active.sum(1, keepdims=True)
-    words = np.diff(np.append(first, len(rows)))[:, None]
-    for _ in range(STEPS):
-        part = like * share[rows]
-        share = np.add.reduceat(part / part.sum(1, keepdims=True), first) / words
-    total = np.add.reduceat(np.log((like * share[rows]).sum(1)), first)
-    return share, total
-
-
-def infer(data: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen language (-1: none) and its proportion for each row."""
-    n, best, score = len(off) - 1, np.full(len(off) - 1, -1), np.zeros(len(off) - 1)
+def _only(like: np.ndarray, rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the rows to ``keep``, and their rows numbered anew."""
+    mine = keep[rows]
+    return like[mine], (np.cumsum(keep) - 1)[rows[mine]]
+
+
+def _mixture(like: np.ndarray, rows: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the ``active`` languages of each row (rows x languages) and the log likelihood.
+
+    ``like`` (words x languages) belongs to ``rows``, which are sorted and all there. Rows that stand still are left out of further steps.
+    """
+    out = active / active.sum(1, keepdims=True)
+    live, own, at, share = np.arange(len(active)), like, rows, out
+    while len(live):
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        part = own * share[at]
+        part /= part.sum(1, keepdims=True)
+        new = np.add.reduceat(part, first) / np.diff(np.append(first, len(at)))[:, None]
+        still = np.abs(new - share).max(1) <= TOLERANCE
+        out[live], share = new, new
+        if still.any():
+            own, at = _only(own, at, ~still)
+            live, share = live[~still], new[~still]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return out, np.add.reduceat(np.log((like * out[rows]).sum(1)), first)
+
+
+def infer(data: np.ndarray, off: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Proportions of the chosen languages (rows x languages); none for a row without letters."""
+    shares = np.zeros((len(off) - 1, len(logp)))
     s, e, rows = _lettered_words(data, off)
     if not len(s) or not len(logp):
-        return best, score
+        return shares
     codes = _trigrams(data)
     edges = np.stack([s, e], 1).ravel()
     like = np.empty((len(s), len(logp)))
@@ -131,59 +147,64 @@ def infer(data: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.ndarr
         like[:, k] = sums[1::2] - sums[::2]
     like -= like.max(1, keepdims=True)
     np.exp(np.maximum(like, -30.0), out=like)
-    present, first = np.unique(rows, return_index=True)
+    present, first, words = np.unique(rows, return_index=True, return_counts=True)
     dense = np.searchsorted(present, rows)
-    share, _ = _mixture(like, first, dense, np.ones((len(present), len(logp))))
+    share, _ = _mixture(like, dense, np.ones((len(present), len(logp))))
     rank = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
-    words = np.diff(np.append(first, len(rows)))
-    top, chosen = None, None
-    for k in range(1, min(LARGEST_SET, len(logp)) + 1):
-        fitted, total = _mixture(like, first, dense, (rank < k).astype(float))
-        value = total - (k - 1) * (PENALTY + 0.5 * np.log(words))
-        if top is None:
-            top, chosen = value, fitted
-        else:
-            better = value > top
-            top[better], chosen[better] = value[better], fitted[better]
-    best[present] = chosen.argmax(1)
-    score[present] = np.clip(chosen.max(1), 0, 1)
-    assert n == len(best)
-    return best, score
-
-
-def _predicted(column: pa.Array, langs: list[str], logp: np.ndarray) -> tuple[list[str], list[float]]:
-    names, scores = [], []
+    chosen = (rank < 1).astype(float)
+    top = np.add.reduceat(np.log((like * chosen[dense]).sum(1)), first)
+    live, own, at = np.arange(len(present)), like, dense
+    for k in range(2, len(logp) + 1):
+        fitted, total = _mixture(own, at, (rank[live] < k).astype(float))
+        value = total - (k - 1) * (PENALTY + 0.5 * np.log(words[live]))
+        better = value > top[live]
+        top[live[better]], chosen[live[better]] = value[better], fitted[better]
+        own, at = _only(own, at, better)
+        live = live[better]
+        if not len(live):
+            break
+    shares[present] = chosen
+    return shares
+
+
+_FOUND = "lang_pred string, score double, languages array<struct<lang: string, share: double>>"
+
+
+def _predicted(column: pa.Array, langs: list[str], logp: np.ndarray) -> list[dict]:
+    out = []
     for a, b in row_blocks(column):
         part = column.slice(a, b - a)
         data, off = flat_text(part)
-        best, score = infer(data, off, logp)
+        shares = infer(data, off, logp)
         # a row with nothing but marks outside ASCII has words here, but maybe no letter
         ascii_letters = np.concatenate([[0], np.cumsum((_SEEN[data] != 32) & (data < 128))])
-        for i in np.flatnonzero((best >= 0) & (ascii_letters[off[1:]] == ascii_letters[off[:-1]])).tolist():
+        for i in np.flatnonzero(shares.any(1) & (ascii_letters[off[1:]] == ascii_letters[off[:-1]])).tolist():
             if not any(map(str.isalpha, part[i].as_py())):
-                best[i], score[i] = -1, 0.0
-        names += [langs[i] if i >= 0 else "und" for i in best.tolist()]
-        scores += score.tolist()
-    return names, scores
+                shares[i] = 0
+        for row in shares:
+            own = sorted(((langs[i], min(float(row[i]), 1.0)) for i in np.flatnonzero(row).tolist()), key=lambda x: (-x[1], x[0]))
+            lang, score = own[0] if own else ("und", 0.0)
+            out.append({"lang_pred": lang, "score": score, "languages": [{"lang": x, "share": y} for x, y in own]})
+    return out
 
 
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", into: str = "language") -> DataFrame:
-    """Adds the struct column ``into`` (lang_pred, score) to ``docs``, keeping all its columns."""
+    """Adds the struct column ``into`` (lang_pred, score, and the chosen languages with their shares) to ``docs``, keeping all its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf(_FOUND)
     def predict(column: pa.Array) -> pa.Array:
-        names, scores = _predicted(column, *shared.value)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
+        return pa.array(_predicted(column, *shared.value), kind)
 
     return docs.withColumn(into, predict(F.col(text)))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)`` for each row of ``docs(doc_id, text, lang)``."""
+    """``(doc_id, held_out, lang_pred, score, languages)`` for each row of ``docs(doc_id, text, lang)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     found = with_language(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")
+    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score", "language.languages")
 
 
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
