@@ -132,8 +132,47 @@ def test_op5_mixture_finds_both_languages():
         counts = np.bincount(langid._trigrams(data), minlength=langid.BUCKETS) + 0.5
         logp[i] = np.log(counts / counts.sum())
     text = " ".join(["xyzzy plugh"] * 30 + ["spam eggs"] * 10)
-    best, score = langid.infer(*flat_text(pa.array([text])), logp.astype(np.float32))
-    assert best.tolist() == [0] and abs(score[0] - 0.75) < 0.05
+    (share,) = langid.infer(*flat_text(pa.array([text])), logp.astype(np.float32))
+    assert abs(share[0] - 0.75) < 0.05 and abs(share[1] - 0.25) < 0.05
+
+
+def test_op5_against_plain_expectation_maximisation(spark):
+    """The registered query's languages and shares, by loops over words: seven languages, and texts of up to six of them."""
+    rng = np.random.default_rng(4)
+    own = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 8))) for _ in range(12)] for k in range(7)}
+    rows = [(i, " ".join(rng.choice(own[f"l{i % 7}"], 80)), f"l{i % 7}") for i in range(70)]
+    rows += [(100 + m, " ".join(x for k in range(m) for x in rng.choice(own[f"l{k}"], 60)), None) for m in range(1, 7)] + [(200, "", "l1"), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logp = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, text, _ in rows:
+        words = (text or "").split()
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["languages"]) == ("und", 0.0, [])
+            continue
+        like = []
+        for word in words:  # a word's trigrams are those around its letters, its neighbours being spaces
+            codes = langid._trigrams(np.frombuffer(f" {word} ".encode(), np.uint8))[1:-1]
+            like.append(logp[:, codes].astype(float).sum(1))
+        like = np.exp(np.maximum(np.array(like) - np.max(like, 1, keepdims=True), -30))
+
+        def fitted(active):
+            share = active / active.sum()
+            for _ in range(500):
+                part = like * share
+                share = (part / part.sum(1, keepdims=True)).mean(0)
+            return share, np.log((like * share).sum(1)).sum()
+
+        order, best, top = np.argsort(-fitted(np.ones(7))[0], kind="stable"), None, -np.inf
+        for k in range(1, 8):
+            share, total = fitted(np.isin(np.arange(7), order[:k]).astype(float))
+            value = total - (k - 1) * (langid.PENALTY + 0.5 * np.log(len(words)))
+            if value <= top:
+                break
+            best, top = share, value
+        shares = {x["lang"]: x["share"] for x in got[i]["languages"]}
+        assert all(abs(shares.get(x, 0) - y) < 0.02 for x, y in zip(langs, best, strict=True)), i
+    assert len(got[106]["languages"]) == 6
 
 
 def test_op7(spark, documents):
