@@ -128,3 +128,31 @@ def test_vectors_that_cannot_link(spark):
     assert sorted(x for x in out if x[0] in (1, 2)) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert all(n == 0 and c == i for i, n, c in out if i not in (1, 2))
     assert embeddup.near_duplicate_vectors(vectors.limit(0)).count() == 0
+
+
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def test_extreme_ids(spark):
+    """The least and the greatest long, as ids of copies."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(LEAST, text), (MOST, text), (-(1 << 62), text + " x"), (MOST - 1, "other words than these")], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert out == {LEAST: LEAST, MOST: LEAST, -(1 << 62): LEAST, MOST - 1: MOST - 1}
+    assert {r["doc_id"] for r in packing.pack(docs).collect()} == set(out)
+    vectors = spark.createDataFrame([(LEAST, [1.0, 0.0], 0), (MOST, [1.0, 0.001], 0), (5, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["component_id"] for r in embeddup.near_duplicate_vectors(vectors).collect()} == {LEAST: LEAST, MOST: LEAST, 5: 5}
+
+
+def test_neardup_repeated_ids_with_other_texts(spark):
+    """Rows of one id are one document: it links what its texts link to."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " more"), (4, "else")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_vectors_of_repeated_ids_and_sizes(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (3, [0.0, 1.0], 1), (7, [1e200, 0.0], 2), (8, [1e-200, 0.0], 2), (9, [1e200, 1e200], 2)]
+    out = embeddup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == want
