@@ -1,9 +1,9 @@
 """A corpus in four stages, each written as Parquet and read again as the next one's documents.
 
-1. Language identification: documents go whose language can't be told (``und``: null text or no letters) or
-   in which no language holds half of the words. What stays is unchanged.
+1. Language identification: documents go whose language can't be told (``und``: null text or no letters). What stays is
+   unchanged, and if no document is labelled all stay.
 2. Near-duplicates (a similarity of 0.8 or more): of each group one document stays, the one with the least id. Of rows
-   with one id one stays; rows with a null id stay.
+   with equal id and text one stays, the first by the other columns; rows with that id and another text, or with a null id, stay.
 3. Personal data: every span is replaced by its kind in brackets, and ``n_chars`` follows.
 4. Packing into sequences of 1,024 ids (the last stage: its columns are those of the pieces).
 
@@ -14,14 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import langid, neardup, packing, pii
 from panelwright.llm.common import materialise
 
-#: Least share of a document's words that its main language has.
-LEAST_SHARE = 0.5
 #: Least similarity of near-duplicates in percent; 85 is the contract of op1_minhash_neardup alone.
 PERCENT = 80
 
@@ -34,17 +32,22 @@ def _spare(docs: DataFrame, name: str) -> str:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = _spare(docs, "language")
-    found = langid.with_language(docs, langid.fit(docs), into=made)
-    kept = (F.col(f"{made}.lang_pred") != "und") & (F.col(f"{made}.score") >= LEAST_SHARE)
-    return found.filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+    made, model = _spare(docs, "language"), langid.fit(docs)
+    if not model[0]:
+        return docs
+    found = langid.with_language(docs, model, into=made)
+    return found.filter(F.col(f"{made}.lang_pred") != "und").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = _spare(docs, "kept_id")
     groups = neardup.near_duplicates(docs, PERCENT)
     kept = groups.filter("kept").select(F.col("doc_id").alias(made)).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(made), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(made), "left_semi")
+    rest = [F.to_json(F.struct(f"`{c}`")) for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.concat_ws(",", *rest)))
+    again = _spare(docs, "again")
+    named = named.withColumn(again, place).filter(F.col(again) == 1).drop(again)
     return named.unionByName(docs.filter("doc_id is null"))
 
 
