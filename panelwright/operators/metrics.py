@@ -32,8 +32,9 @@ def summarise(returns: DataFrame, bench: DataFrame | None = None, periods: int =
     One shuffle by asset serves the windows and the aggregate.
     """
     rfp = periodic_rate(rf, periods)
-    rows = drawdowns(returns.filter("r is not null"))
-    rows = rows.withColumn("var_q", F.percentile("r", F.lit(1 - level)).over(Window.partitionBy("asset")))
+    known = returns.filter("r is not null")
+    tail = known.groupBy("asset").agg(F.percentile("r", F.lit(1 - level)).alias("var_q"))
+    rows = drawdowns(known).join(tail, "asset")
     rows = rows.join(bench, "dt", "left") if bench is not None else rows.withColumn("rb", F.lit(None).cast("double"))
     r, rb, root = F.col("r"), F.col("rb"), float(periods) ** 0.5
     e, both = r - rfp, F.col("rb").isNotNull()
@@ -77,10 +78,11 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
     return held.groupBy("portfolio", "dt").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
 
 
-def buy_and_hold(returns: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns of drifting holdings, and the weights at the end."""
+def buy_and_hold(returns: DataFrame, weights: DataFrame, portfolio: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns of drifting holdings, and the weights at the end; if ``returns`` have a ``portfolio`` of their own, ``portfolio`` names that of ``weights``."""
     w = Window.partitionBy("portfolio", "asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    held = returns.join(weights, "asset").withColumn("value", F.col("w") * F.product(1 + F.col("r")).over(w))
+    joined = returns.join(weights, "asset") if portfolio is None else returns.join(weights.withColumnRenamed(portfolio, "portfolio"), ["portfolio", "asset"])
+    held = joined.withColumn("value", F.col("w") * F.product(1 + F.col("r")).over(w))
     by_date = held.groupBy("portfolio", "dt").agg(F.sum("value").alias("v"), F.sum("w").alias("start"))
     before = F.coalesce(F.lag("v").over(Window.partitionBy("portfolio").orderBy("dt")), "start")
     path = by_date.select("portfolio", "dt", (F.try_divide(F.col("v"), before) - 1).alias("r"))
@@ -106,11 +108,12 @@ def charge_first_period(path: DataFrame, costs: DataFrame, bps: float) -> DataFr
 
 
 def correlation(returns: DataFrame) -> DataFrame:
-    """``(asset_i, asset_j, corr)`` on pairwise complete dates: a self join by date, i <= j."""
-    a = returns.select("dt", F.col("asset").alias("asset_i"), F.col("r").alias("ri"))
-    b = returns.select("dt", F.col("asset").alias("asset_j"), F.col("r").alias("rj"))
-    pairs = a.join(b, "dt").filter("asset_i <= asset_j and ri is not null and rj is not null")
-    return pairs.groupBy("asset_i", "asset_j").agg(F.corr("ri", "rj").alias("corr"))
+    """``(asset_i, asset_j, corr)`` on pairwise complete dates, i <= j: pairs are made from one row for each date."""
+    dates = returns.filter("r is not null").groupBy("dt").agg(F.collect_list(F.struct("asset", "r")).alias("v"))
+    left = dates.select("v", F.explode("v").alias("a"))
+    pairs = left.select("a", F.explode(F.filter("v", lambda x: x["asset"] >= F.col("a")["asset"])).alias("b"))
+    by = pairs.groupBy(F.col("a.asset").alias("asset_i"), F.col("b.asset").alias("asset_j"))
+    return by.agg(F.corr("a.r", "b.r").alias("corr"))
 
 
 def rolling_sharpe(returns: DataFrame, window: int, periods: int = 52, rf: float = 0.04) -> DataFrame:

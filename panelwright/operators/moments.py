@@ -6,51 +6,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def historical_mu(returns: DataFrame, periods: int = 52) -> DataFrame:
+def historical_mu(returns: DataFrame, periods: int = 52, by: tuple[str, ...] = ()) -> DataFrame:
     """Annualised compounded mean of each asset's own returns."""
     known = returns.filter("r is not null")
-    return known.groupBy("asset").agg((F.pow(F.product(1 + F.col("r")), F.lit(float(periods)) / F.count("*")) - 1).alias("mu"))
+    return known.groupBy(*by, "asset").agg((F.pow(F.product(1 + F.col("r")), F.lit(float(periods)) / F.count("*")) - 1).alias("mu"))
 
 
-def ledoit_wolf(returns: DataFrame, periods: int = 52) -> DataFrame:
-    """``(asset_i, asset_j, cov)``: shrinkage of the sample covariance to a multiple of the identity, annualised.
+def pair_sums(values: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, asset_i, asset_j, s, n)``: sums over dates of the products x_i x_j of ``values(*by, asset, dt, x)``, both triangles.
+
+    Dates are gathered as one row of (assets, values) each, which is what a cross section is; pairs are made from that row and
+    summed in the task before they are shuffled, so the rows of a date aren't shuffled twice.
+    """
+    row = F.collect_list(F.struct("asset", "x"))
+    dates = values.filter("x is not null").groupBy(*by, "dt").agg(row.alias("v"))
+    left = dates.select(*by, "v", F.explode("v").alias("a"))
+    pairs = left.select(*by, F.col("a.asset").alias("asset_i"), F.col("a.x").alias("xi"), F.explode("v").alias("b"))
+    return pairs.groupBy(*by, "asset_i", F.col("b.asset").alias("asset_j")).agg(F.sum(F.col("xi") * F.col("b.x")).alias("s"), F.count("*").alias("n"))
+
+
+def ledoit_wolf(returns: DataFrame, periods: int = 52, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, asset_i, asset_j, cov)``: shrinkage of the sample covariance to a multiple of the identity, annualised.
 
     ``returns`` must be complete cases. The shrinkage intensity is a one-pass sum over dates, so the only
-    wide step is the self join by date, whose output is aggregated by pair at once.
+    wide step is the join by date, whose output is aggregated by pair at once.
     """
-    centred = returns.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("asset")))
-    a = centred.select("dt", F.col("asset").alias("asset_i"), F.col("x").alias("xi"))
-    b = centred.select("dt", F.col("asset").alias("asset_j"), F.col("x").alias("xj"))
-    s = a.join(b, "dt").groupBy("asset_i", "asset_j").agg((F.sum(F.col("xi") * F.col("xj")) / F.count("*")).alias("s"))
-    facts = s.agg(
+    keys = list(by) or ["_all"]
+    returns = returns if by else returns.withColumn("_all", F.lit(1))
+    centred = returns.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy(*keys, "asset")))
+    s = pair_sums(centred, keys).select(*keys, "asset_i", "asset_j", (F.col("s") / F.col("n")).alias("s"))
+    facts = s.groupBy(*keys).agg(
         F.sum(F.when(F.col("asset_i") == F.col("asset_j"), F.col("s"))).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("s2"),
         F.sqrt(F.count("*")).alias("k"),
     )
-    norms = centred.groupBy("dt").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
-    fourth = norms.agg(F.sum(F.col("q") * F.col("q")).alias("q2"), F.count("*").alias("n"))
+    norms = centred.groupBy(*keys, "dt").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    fourth = norms.groupBy(*keys).agg(F.sum(F.col("q") * F.col("q")).alias("q2"), F.count("*").alias("n"))
     m = F.col("trace") / F.col("k")
     delta2 = F.col("s2") / F.col("k") - m * m
     beta2 = F.least((F.col("q2") / F.col("n") - F.col("s2")) / (F.col("n") * F.col("k")), delta2)
-    shrink = facts.join(F.broadcast(fourth)).select(m.alias("m"), F.coalesce(F.try_divide(beta2, delta2), F.lit(0.0)).alias("shrinkage"))
+    shrink = facts.join(fourth, keys).select(*keys, m.alias("m"), F.coalesce(F.try_divide(beta2, delta2), F.lit(0.0)).alias("shrinkage"))
     target = F.when(F.col("asset_i") == F.col("asset_j"), F.col("m")).otherwise(0.0)
     value = ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * target) * periods
-    return s.join(F.broadcast(shrink)).select("asset_i", "asset_j", value.alias("cov"))
+    return s.join(shrink, keys).select(*by, "asset_i", "asset_j", value.alias("cov"))
 
 
 def portfolio_statistics(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.04) -> DataFrame:
-    """Expected return, volatility, Sharpe ratio, diversification ratio and concentration of each portfolio."""
+    """Expected return, volatility, Sharpe ratio, diversification ratio and concentration of each portfolio.
+
+    Weights are laid on the assets of ``mu`` and ``cov``: an asset without a weight has weight 0.
+    """
     wi = weights.select("portfolio", F.col("asset").alias("asset_i"), F.col("w").alias("wi"))
     wj = weights.select("portfolio", F.col("asset").alias("asset_j"), F.col("w").alias("wj"))
+    # pairs with a weight of 0 add nothing, so the inner joins are the whole sum
     pairs = wi.join(cov, "asset_i").join(wj, ["portfolio", "asset_j"])
     risk = pairs.groupBy("portfolio").agg(
         F.sqrt(F.sum(F.col("wi") * F.col("wj") * F.col("cov"))).alias("volatility"),
         F.sum(F.when(F.col("asset_i") == F.col("asset_j"), F.abs("wi") * F.sqrt("cov"))).alias("parts"),
     )
-    gain = weights.join(mu, "asset").groupBy("portfolio").agg(
-        F.sum(F.col("w") * F.col("mu")).alias("expected_return"), F.sum(F.col("w") * F.col("w")).alias("hhi")
+    gain = weights.join(mu, "asset", "left").groupBy("portfolio").agg(
+        F.sum(F.col("w") * F.coalesce("mu", F.lit(0.0))).alias("expected_return"), F.sum(F.col("w") * F.col("w")).alias("hhi")
     )
     vol = F.nullif("volatility", F.lit(0.0))
-    return gain.join(risk, "portfolio").select(
+    return gain.join(risk, "portfolio", "left").select(
         "portfolio", "expected_return", "volatility", F.try_divide(F.col("expected_return") - rf, vol).alias("sharpe"),
         F.try_divide(F.col("parts"), vol).alias("diversification_ratio"), "hhi",
     )
@@ -59,9 +76,11 @@ def portfolio_statistics(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf:
 def greatest_return(mu: DataFrame, low: float, high: float) -> DataFrame:
     """Weights in [low, high] with sum 1 and the greatest return: filled from the best asset down.
 
-    One row per asset, so the single ordered window is over as many rows as there are assets.
+    One row per asset, so the single ordered window is over as many rows as there are assets. A ``high`` too small for the weights to
+    reach 1 is raised to 1 / n; a ``low`` that is too large lowered to it.
     """
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("mu"), "asset"))
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    low, high = F.least(F.lit(low), 1 / n), F.greatest(F.lit(high), 1 / n)
     room = 1 - n * low - (rank - 1) * (high - low)
-    return mu.select("asset", "mu", (low + F.least(F.greatest(room, F.lit(0.0)), F.lit(high - low))).alias("w"))
+    return mu.select("asset", "mu", (low + F.least(F.greatest(room, F.lit(0.0)), high - low)).alias("w"))

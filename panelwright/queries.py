@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import forecasts, landed, panels, selections
+from .plans import forecasts, landed, panels, portfolios, selections
 
-_MODULES = (panels, forecasts, selections, landed)
+_MODULES = (panels, forecasts, selections, landed, portfolios)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
