@@ -1,19 +1,16 @@
 """Forecasts of price panels and the walk-forward calendar: a series in, ``horizon`` rows out.
 
-Drift needs two aggregates per asset. Theta's slope and smoothing need the ordered series of one asset, so it
-runs in one group per asset (a price history is thousands of rows, whatever the number of assets).
+Drift needs two aggregates per asset; models that need an asset's ordered series are in ``models``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Normal quantile of the forecast bands (fixed value).
 Z = 1.96
-_FORECAST = "asset string, step int, forecast double, lower double, upper double"
 
 
 def _banded(rows: DataFrame, centre: Column, spread: Column) -> DataFrame:
@@ -54,27 +51,6 @@ def best_alpha(y: np.ndarray, rounds: int = 6, points: int = 33) -> float:
     return float((low + high) / 2 if 0 < at < points - 1 else grid[at])
 
 
-def theta(prices: DataFrame, horizon: int) -> DataFrame:
-    """Exponential smoothing plus half of the linear trend; needs three prices, else the last one is carried on."""
-
-    def one(table: pd.DataFrame) -> pd.DataFrame:
-        y = table.sort_values("dt")["price"].to_numpy(float)
-        n, step = len(y), np.arange(1, horizon + 1)
-        if n < 3:
-            centre, spread = np.full(horizon, y[-1]), 0.0
-        else:
-            alpha = best_alpha(y)
-            errors, level = smoothing_errors(y, np.array([alpha]))
-            slope = np.polyfit(np.arange(n), y, 1)[0]
-            centre = level[0] + slope / 2 * (step - 1 + 1 / alpha - (1 - alpha) ** n / alpha)
-            spread = float(errors[0].std(ddof=1))
-        band = Z * spread * np.sqrt(step)
-        return pd.DataFrame({"asset": table["asset"].iloc[0], "step": step, "forecast": centre, "lower": centre - band, "upper": centre + band})
-
-    known = prices.filter("price is not null and not isnan(price)").select("asset", "dt", "price")
-    return known.groupBy("asset").applyInPandas(one, _FORECAST)
-
-
 def forecast_mu(prices: DataFrame, forecast: DataFrame, periods: int) -> DataFrame:
     """``(asset, mu)``: the growth from the last price to the last forecast, annualised; at least -1 + 1e-6 in all."""
     last = prices.filter("price is not null").groupBy("asset").agg(F.max_by("price", "dt").alias("last"))
@@ -99,9 +75,18 @@ def expanding_windows(prices: DataFrame, least: int, horizon: int, most: int | N
 
 
 def window_returns(returns: DataFrame, windows: DataFrame) -> DataFrame:
-    """``(window, asset, dt, r)``: the returns after each window's training end, up to its own end."""
-    inside = (returns["dt"] > windows["train_end"]) & (returns["dt"] <= windows["window_end"])
-    return returns.join(F.broadcast(windows), inside).select("window", "asset", returns["dt"], "r")
+    """``(window, asset, dt, r)``: the returns after each window's training end, up to its own end.
+
+    Windows don't overlap, so a date has one: the last one that began before it, found in one ordered pass over the dates of both
+    tables, which is joined back by date.
+    """
+    marks = windows.select(F.col("train_end").alias("dt"), F.struct("window", "window_end").alias("w"))
+    dates = returns.select("dt").distinct().withColumn("w", F.lit(None).cast("struct<window:int,window_end:date>"))
+    both = dates.unionByName(marks.select("dt", F.col("w").cast("struct<window:int,window_end:date>").alias("w")))
+    # a date that ends the training of a window still belongs to the one before
+    order = Window.partitionBy(F.lit(1)).orderBy("dt", F.col("w").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.select("dt", "w", F.last("w", ignorenulls=True).over(order).alias("of")).filter("w is null and of is not null and dt <= of.window_end")
+    return returns.join(at.select("dt", "of.window"), "dt").select("window", "asset", "dt", "r")
 
 
 def summary_of_windows(results: DataFrame, metrics: list[str]) -> DataFrame:

@@ -12,11 +12,52 @@ from pyspark.sql import functions as F
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
+#: Providers whose items are no news (fixed values).
+NO_NEWS = ("SEC EDGAR", "TED")
+
+
 def chunk_text(title: Column, description: Column) -> Column:
-    """``title. description``, or what there is of the two; null without a title."""
-    named = F.nullif(F.trim(title), F.lit(""))
-    more = F.nullif(F.trim(description), F.lit(""))
-    return F.when(named.isNotNull(), F.concat_ws(". ", named, more))
+    """``title. description`` without white space around it; null where the title is missing or empty."""
+    return F.when(title != "", F.trim(F.concat(title, F.lit(". "), F.coalesce(description, F.lit("")))))
+
+
+def chunks_of(articles: DataFrame) -> DataFrame:
+    """``(chunk_id, text, source, provider, ticker, url)`` of titled ``articles(article_id, ticker, title, ...)``."""
+    unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    plain = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    text = chunk_text(F.col("title"), F.col("description"))
+    return articles.filter("title <> ''").select(F.col("article_id").alias("chunk_id"), text.alias("text"), unknown("source"), unknown("provider"), plain("ticker"), plain("url"))
+
+
+def indexed_text(ticker: Column, text: Column) -> Column:
+    """What is searched: the symbol in front of the text, as headlines name the company only."""
+    return F.concat_ws(" ", F.coalesce(ticker, F.lit("")), text)
+
+
+def formatted_chunks(chunks: DataFrame, order: str) -> DataFrame:
+    """``(block)``: a line for each chunk in the given order, for a prompt."""
+    line = F.concat(F.lit("  - ["), "provider", F.lit("/"), "source", F.lit(", "), "ticker", F.lit("] "), "text")
+    lines = chunks.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x"))
+    return lines.filter(F.size("x") > 0).select(F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("block"))
+
+
+def sentiment_texts(articles: DataFrame, order: str = "article_id") -> DataFrame:
+    """``articles`` of news with the ``text`` that is scored: of equal titles the first, without items that have neither title nor description."""
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    news = articles.filter(~F.coalesce("provider", F.lit("")).isin(*NO_NEWS)).filter((trimmed("title") != "") | (trimmed("description") != ""))
+    once = first_of_each_title(news, "title", order)
+    return once.withColumn("text", F.trim(F.concat(trimmed("title"), F.lit(". "), trimmed("description"))))
+
+
+def lexicon_scores(texts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """``texts`` with ``score``: the sum of its words' values s, as s / sqrt(s * s + 15); words without a value count 0.
+
+    The lexicon is a parameter and becomes a map in the expression: no join.
+    """
+    values = F.create_map(*[F.lit(x) for k, v in sorted(lexicon.items()) for x in (k, float(v))])
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z']+"), F.lit(0))
+    total = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(values, w), F.lit(0.0)))
+    return texts.withColumn("total", total).withColumn("score", F.col("total") / F.sqrt(F.col("total") * F.col("total") + 15)).drop("total")
 
 
 def normal_title(title: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forecast, retrieval
+from ..operators import forecast, models, retrieval
 from .panels import _PANEL, _rounded, weekly, weekly_returns
 
 HORIZON, LEAST, STEP = 12, 52, 13
@@ -26,7 +26,7 @@ def e01_naive_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e03_theta(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(forecast.theta(weekly(spark, d), HORIZON), 4)
+    return _rounded(models.all_assets(weekly(spark, d), HORIZON, "theta"), 4)
 
 
 def e08_forecast_mu(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +51,9 @@ def a05_win_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t03_tfidf_top(spark: SparkSession, d: str) -> DataFrame:
-    """The ten documents most like the first benchmark passage."""
-    asked = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").select("text").first()["text"]
+    """The ten documents most like the first benchmark passage (a query by example)."""
+    first = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").select("text").first()
+    asked = first["text"] if first else ""
     chunks = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
     return _rounded(retrieval.similar_chunks(chunks, asked, 10))
 

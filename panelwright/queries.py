@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import forecasts, landed, panels, portfolios, selections
+from .plans import forecasts, landed, modelled, panels, portfolios, selections, texts
 
-_MODULES = (panels, forecasts, selections, landed, portfolios)
+_MODULES = (panels, forecasts, selections, landed, portfolios, texts, modelled)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -1 +1,21 @@
+"""Bars of an event stream: the same windowed aggregate over a table or over ``readStream``."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bars(events: DataFrame, key: str = "event_type", at: str = "ts", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """``(asset, dt, open, high, low, close, n)`` for each key and tumbling window.
+
+    On a stream, events later than ``late`` are left out and a bar is final when the watermark passes its end; on a table all count. Ties
+    in time are decided by the value.
+    """
+    rows = events.withColumn(at, F.col(at).cast("timestamp"))
+    rows = rows.withWatermark(at, late) if rows.isStreaming else rows
+    order = F.struct(at, value)
+    by = rows.groupBy(F.col(key).alias("asset"), F.window(at, width).alias("w")).agg(
+        F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), F.count("*").alias("n")
+    )
+    return by.select("asset", F.col("w.start").cast("timestamp_ntz").alias("dt"), "open", "high", "low", "close", "n")

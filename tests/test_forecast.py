@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import forecast, retrieval
+from panelwright.operators import forecast, models, retrieval
 
 
 def _prices(spark, series: dict):
@@ -17,10 +18,11 @@ def _prices(spark, series: dict):
 
 
 def test_theta_of_a_line_carries_half_of_its_slope(spark):
-    got = forecast.theta(_prices(spark, {"line": [100 + 0.5 * t for t in range(150)], "two": [1.0, 2.0]}), 4).collect()
+    got = models.all_assets(_prices(spark, {"line": [100 + 0.5 * t for t in range(150)], "two": [1.0, 2.0]}), 4, "theta").collect()
     line = sorted((r["step"], r["forecast"]) for r in got if r["asset"] == "line")
     assert [x for _, x in line] == pytest.approx([174.5 + 0.25 * h for h in range(1, 5)], abs=1e-3)
-    assert {r["forecast"] for r in got if r["asset"] == "two"} == {2.0}
+    # too short a history: the drift
+    assert sorted(r["forecast"] for r in got if r["asset"] == "two") == pytest.approx([3.0, 4.0, 5.0, 6.0])
 
 
 def test_drift_skips_nulls_and_needs_no_second_price(spark):
@@ -58,6 +60,31 @@ def test_titles_and_verdicts(spark):
     rows = spark.createDataFrame([(1, "A  b", "x"), (2, "a B", None), (3, "", "y"), (4, None, "z")], "i int, title string, description string")
     assert sorted(r["i"] for r in retrieval.first_of_each_title(rows, "title", "i").collect()) == [1, 3, 4]
     made = [r[0] for r in rows.orderBy("i").select(retrieval.chunk_text(F.col("title"), F.col("description"))).collect()]
-    assert made == ["A  b. x", "a B", None, None]
+    assert made == ["A  b. x", "a B.", None, None]
     judged = spark.createDataFrame([("**PASS** fine",), ("FAIL",), ("passing",), (None,)], "verdict string")
     assert retrieval.verdict_rate(judged).first().asDict() == {"n": 4, "pass_rate": 0.25}
+
+
+def test_models_follow_a_line_and_fall_back(spark):
+    line = [100 + 0.5 * t for t in range(120)]
+    for name in ("ets", "arima"):
+        got = sorted((r["step"], r["forecast"]) for r in models.all_assets(_prices(spark, {"a": line}), 3, name).collect())
+        assert [x for _, x in got] == pytest.approx([160.0, 160.5, 161.0], abs=0.1), name
+    short = _prices(spark, {"a": line[:20], "b": [None, 3.0]})
+    drift = {(r["asset"], r["step"]): r["forecast"] for r in forecast.naive_drift(short, 2).collect()}
+    for name in models.FORECASTERS:
+        assert {(r["asset"], r["step"]): pytest.approx(r["forecast"]) for r in models.all_assets(short, 2, name).collect()} == drift
+    models.register("flat", lambda y, h: (np.full(h, y[-1]), np.zeros(h)))
+    assert {r["forecast"] for r in models.all_assets(_prices(spark, {"a": line}), 3, "flat").collect()} == {line[-1]}
+    del models.FORECASTERS["flat"]
+
+
+def test_unit_roots_and_volatility():
+    rng = np.random.default_rng(2)
+    noise, walk = rng.normal(size=400), np.cumsum(rng.normal(size=400))
+    assert models.unit_root(noise)[1] < 0.01 and models.unit_root(walk)[1] > 0.1 and models.unit_root(noise[:19]) is None
+    assert models.unit_root_p(-2.86) == pytest.approx(0.05, abs=1e-3) and models.unit_root_p(-3.43) == pytest.approx(0.01, abs=1e-3)
+    r = rng.normal(0, 0.015, 600)
+    assert models.garch_variance(r, 10) ** 0.5 == pytest.approx(0.015, rel=0.15) and models.garch_variance(r[:99], 10) is None
+    calm = np.concatenate([r, 0.3 * r])
+    assert models.garch_variance(calm, 5) < 0.5 * calm.var()
