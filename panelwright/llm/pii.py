@@ -31,13 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_blocks
+from .common import materialise, row_blocks
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 640, 512
+WINDOW, STRIDE = 1152, 1024
 HIDDEN, ROUNDS, BATCH, LENGTH = 16, 500, 32, 96
 #: Windows of documents in training, and windows that the network takes at once.
 SAMPLE, AT_ONCE = 2400, 1024
+#: Windows whose labels a worker remembers before it starts over; it bounds memory, not results.
+REMEMBERED = 200_000
 
 # ---------------------------------------------------------------- rules
 
@@ -123,8 +125,8 @@ def _example(rng, kind: int) -> str:
     if kind == 0:
         local = _word(rng) + str(rng.choice(["", ".", "_", "+", "%", "-"])) + _word(rng) + _digits(rng, int(rng.integers(0, 3)))
         more = "".join(_word(rng) for _ in range(int(rng.integers(0, 4)))) if rng.random() < 0.3 else ""
-        if rng.random() < 0.1:
-            more += str(rng.choice(list("abcxyz"))) * int(rng.integers(3, 12))
+        if rng.random() < 0.15:
+            more += str(rng.choice(list("abcxyz"))) * int(rng.integers(3, 60))
         return f"{local.strip('._+%-') or 'x'}@{_word(rng)}{rng.choice(['', '-' + _word(rng)])}{more}.{rng.choice(['com', 'org', 'de', 'example', 'net'])}"
     if kind == 1:
         return ".".join(str(x) for x in rng.integers(0, 256, 4))
@@ -206,8 +208,13 @@ def window_of(text: str, spans: list[Span], at: int, length: int = LENGTH) -> tu
 
 
 def corpus_windows(docs: DataFrame, n: int = SAMPLE, text: str = "text", seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and labels of up to ``n`` windows of ``docs``, those of least hash: around each rule span one as it is and one with
-    the spans exchanged, and one elsewhere in every text. Texts go in parts of 4,000 characters."""
+    """Symbols and labels of up to ``n`` windows of ``docs``: around rule spans as they are and with the spans exchanged, and
+    as many elsewhere.
+
+    Texts go in parts of 4,000 characters. By the hash of a part, of ``total`` texts about 40 n are searched for spans and 4 n taken
+    without one, whatever the size of ``docs``; of the windows found, those of least hash are kept.
+    """
+    total = max(1, docs.count())
 
     def tasks(batches):
         for batch in batches:
@@ -215,15 +222,18 @@ def corpus_windows(docs: DataFrame, n: int = SAMPLE, text: str = "text", seed: i
                 hashes, xs, ys = [], [], []
                 for whole in batch.column(0).slice(a, b - a).to_pylist():
                     for part in (whole[k : k + 4000] for k in range(0, len(whole or ""), 4000)):
-                        rng = np.random.default_rng([seed, zlib.crc32(part.encode("utf-8", "surrogatepass"))])
-                        spans = base_spans(part)
-                        taken = [(part, spans, int(rng.integers(0, max(1, len(part) - LENGTH))))]
+                        rank = zlib.crc32(part.encode("utf-8", "surrogatepass")) / 2**32 * total
+                        if rank >= 40 * n:
+                            continue
+                        spans, rng, taken = base_spans(part), np.random.default_rng([seed, zlib.crc32(part.encode("utf-8", "surrogatepass"))]), []
                         for at, _, _ in spans[:2]:
                             taken.append((part, spans, max(0, at - int(rng.integers(5, LENGTH // 2)))))
                             other, new = exchanged(part, spans, rng)
                             at = min(x for x, _, _ in new)
                             taken.append((other, new, max(0, at - int(rng.integers(5, LENGTH // 2)))))
-                        for own, own_spans, at in taken[int(len(taken) > 1 and rng.integers(0, 4) > 0) :]:
+                        if rank < 4 * n:
+                            taken.append((part, spans, int(rng.integers(0, max(1, len(part) - LENGTH)))))
+                        for own, own_spans, at in taken:
                             x, y = window_of(own, own_spans, at)
                             xs.append(x.tobytes())
                             ys.append(y.tobytes())
@@ -232,11 +242,9 @@ def corpus_windows(docs: DataFrame, n: int = SAMPLE, text: str = "text", seed: i
                     yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(xs), pa.array(ys)], names=["h", "x", "y"])
 
     found = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(tasks, "h long, x binary, y binary")
-    # windows without a span are many; half of the sample at most
-    parts = []
-    for spans in (True, False):
-        has = F.col("y") != F.lit(bytes(LENGTH))
-        parts.append(found.filter(has if spans else ~has).dropDuplicates(["h", "x"]).orderBy("h", "x").limit(n // 2))
+    found = materialise(found.dropDuplicates(["h", "x"]), "pii-windows")
+    has = F.col("y") != F.lit(bytes(LENGTH))
+    parts = [found.filter(has if spans else ~has).orderBy("h", "x").limit(n // 2) for spans in (True, False)]
     rows = parts[0].unionByName(parts[1]).collect()
     stack = lambda name: np.array([np.frombuffer(r[name], np.uint8) for r in rows]).reshape(-1, LENGTH)
     return stack("x").astype(np.int64), stack("y").astype(np.int64)
@@ -388,8 +396,9 @@ def train(windows: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 11,
     return _TRAINED[key]
 
 
-def emissions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Scores (time, label, row) of symbol windows ``x`` (row, time).
+def emissions(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None = None) -> np.ndarray:
+    """Scores (time, label, row) of symbol windows ``x`` (row, time); beyond a row's ``length`` there is only outside, and the
+    backward direction starts at that length, so a row's scores don't depend on the others.
 
     Both directions are one product a step, which has the label scores of the state before as well. Units come first, so that
     every operation runs along the rows.
@@ -404,13 +413,14 @@ def emissions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     z, size, more = np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h + LABELS, n), np.float32)
     emit = np.zeros((steps, LABELS, n), np.float32)
     emit += w["bias"][:, None]
+    first = steps if length is None else int(length.min(initial=steps))
     for t in range(steps + 1):
         np.matmul(both, state, out=more)
         if t:
             emit[t - 1] += more[0, 4 * h :]
             emit[steps - t] += more[1, 4 * h :]
         if t == steps:
-            return emit
+            break
         np.take(tables[0], symbol[t], 1, out=z[0], mode="clip")
         np.take(tables[1], symbol[steps - 1 - t], 1, out=z[1], mode="clip")
         z += more[:, : 4 * h]
@@ -426,6 +436,13 @@ def emissions(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
         np.divide(cell, state, out=state)
         state *= z[:, 2 * h : 3 * h]
         state *= 0.5
+        if length is not None and steps - 1 - t >= first:
+            alive = (steps - 1 - t < length).astype(np.float32)
+            state[1] *= alive
+            cell[1] *= alive
+    if length is not None:
+        emit[first:, 1:] += _FORBIDDEN * (np.arange(first, steps)[:, None] >= length)[:, None, :]
+    return emit
 
 
 def _all_outside(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -447,9 +464,9 @@ def _all_outside(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return top.max(0) + out < -1e-3
 
 
-def decode(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+def decode(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None = None) -> np.ndarray:
     """Best label sequences (row, time) of symbol windows ``x``."""
-    emit, labels = emissions(x, w), np.zeros(x.shape, np.uint8)
+    emit, labels = emissions(x, w, length), np.zeros(x.shape, np.uint8)
     left = np.flatnonzero(~_all_outside(emit, w["trans"]))
     if len(left):
         labels[left] = _viterbi(np.ascontiguousarray(emit[:, :, left].transpose(0, 2, 1)), w["trans"])
@@ -493,29 +510,36 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
+#: Labels (empty: all outside) of windows that this process has decoded, by a 128-bit digest of weights and symbols.
+_DECODED: dict[bytes, bytes] = {}
+
+
 def _labels_of(texts: list[str], w: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Reconciled labels of whole texts. Windows of about equal length run together, ``AT_ONCE`` of them."""
+    """Reconciled labels of whole texts. Windows of about equal length run together, ``AT_ONCE`` of them, equal ones once."""
     whole = [symbols(t) for t in texts]
     out = [np.zeros(len(s), np.uint8) for s in whole]
-    begins = [window_starts(len(s)) for s in whole]
-    of, start = np.repeat(np.arange(len(whole)), [len(b) for b in begins]), np.concatenate([np.zeros(0, np.int64), *begins])
-    sizes = np.array([len(s) for s in whole], np.int64)
-    flat = np.concatenate([*whole, np.full(WINDOW, 10, np.uint8)])
-    base = np.cumsum(sizes) - sizes
-    length = np.minimum(WINDOW, sizes[of] - start)
-    order = np.argsort(length, kind="stable")
-    order = order[length[order] > 0]
+    name = hashlib.blake2b(w["out"].tobytes() + w["trans"].tobytes(), digest_size=16).digest()
+    windows = [(i, b, s[b : b + WINDOW]) for i, s in enumerate(whole) for b in window_starts(len(s)).tolist() if len(s)]
+    keys = [hashlib.blake2b(x.tobytes(), digest_size=16, key=name).digest() for _, _, x in windows]
+    if len(_DECODED) > REMEMBERED:
+        _DECODED.clear()
+    new = {k: x for k, (_, _, x) in zip(keys, windows, strict=True) if k not in _DECODED}
+    order = sorted(new, key=lambda k: len(new[k]))
+    for at in range(0, len(order), AT_ONCE):
+        own = order[at : at + AT_ONCE]
+        length = np.array([len(new[k]) for k in own])
+        x = np.full((len(own), length[-1] + 1), 10, np.uint8)
+        for row, k in zip(x, own, strict=True):
+            row[: len(new[k])] = new[k]
+        labels = decode(x, w, length)
+        some = labels.any(1)
+        for r, k in enumerate(own):
+            _DECODED[k] = labels[r, : length[r]].tobytes() if some[r] else b""
     side = (WINDOW - STRIDE) // 2
-    for k in range(0, len(order), AT_ONCE):
-        own = order[k : k + AT_ONCE]
-        steps = np.arange(int(length[own[-1]]))
-        x = flat[(base[of[own]] + start[own])[:, None] + steps]
-        x[steps >= length[own][:, None]] = 10
-        labels = decode(x, w)
-        for r in np.flatnonzero(labels.any(1)).tolist():
-            i, b, n = int(of[own[r]]), int(start[own[r]]), int(length[own[r]])
-            lo, hi = (0 if b == 0 else side), (n if b + n >= sizes[i] else WINDOW - side)
-            out[i][b + lo : b + hi] = labels[r, lo:hi]
+    for (i, b, x), k in zip(windows, keys, strict=True):
+        if _DECODED[k]:
+            lo, hi = (0 if b == 0 else side), (len(x) if b + len(x) >= len(whole[i]) else WINDOW - side)
+            out[i][b + lo : b + hi] = np.frombuffer(_DECODED[k], np.uint8)[lo:hi]
     return out
 
 
