@@ -113,10 +113,8 @@ class Arrays:
 
     @staticmethod
     def load(uri: str) -> dict[str, np.ndarray]:
-        """Arrays over a map of the file; a file in a remote store is copied first, to a file without a name."""
+        """Arrays over a map of the file; a file in a remote store (a shard, some MB) is read into memory."""
         import json
-        import shutil
-        import tempfile
 
         from pyarrow import fs as pafs
 
@@ -126,11 +124,8 @@ class Arrays:
         if isinstance(fs, pafs.LocalFileSystem):
             raw = np.memmap(path, np.uint8, "r")
         else:
-            copy = tempfile.TemporaryFile()
             with fs.open_input_stream(path, compression=None) as source:
-                shutil.copyfileobj(source, copy)
-            copy.flush()
-            raw = np.memmap(copy, np.uint8, "r")
+                raw = np.frombuffer(source.read(), np.uint8)
         n = int.from_bytes(raw[8:16].tobytes(), "little")
         spec = json.loads(raw[16 : 16 + n].tobytes())
         return {

@@ -139,15 +139,22 @@ class Words:
     def __init__(self, folder: str, shards: list[tuple[int, str, int]]):
         self.firsts = np.array([x[0] for x in shards], np.int64)
         self.bases = np.concatenate([[0], np.cumsum([x[2] for x in shards])]).astype(np.int64)
-        self.arrays = [Arrays.load(f"{folder}/{x[1]}") for x in shards]
+        self.folder, self.names, self.open = folder, [x[1] for x in shards], {}
+
+    def shard(self, i: int) -> dict[str, np.ndarray]:
+        """The arrays of one shard, mapped when they are first asked for."""
+        if i not in self.open:
+            self.open[i] = Arrays.load(f"{self.folder}/{self.names[i]}")
+        return self.open[i]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1: none) and count of sorted keys."""
         ids, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         cuts = [*np.searchsorted(keys, self.firsts).tolist(), len(keys)]
-        for i, own in enumerate(self.arrays):
+        for i in range(len(self.names)):
             a, b = cuts[i], cuts[i + 1]
             if a < b:
+                own = self.shard(i)
                 at = np.searchsorted(own["keys"], keys[a:b])
                 at = np.minimum(at, len(own["keys"]) - 1)
                 hit = own["keys"][at] == keys[a:b]
@@ -157,7 +164,7 @@ class Words:
 
     def count_of(self, word: int) -> int:
         shard = int(np.searchsorted(self.bases, word, "right")) - 1
-        return int(self.arrays[shard]["n"][word - self.bases[shard]])
+        return int(self.shard(shard)["n"][word - self.bases[shard]])
 
 
 @lru_cache(maxsize=2)
@@ -304,11 +311,17 @@ class Model:
     def __init__(self, meta: dict):
         self.meta = meta
         self.words = _words(meta["folder"], meta["words_files"])
-        self.shards = {k: Successors(f"{meta['folder']}/{name}") for k, name in meta["next_files"]}
+        self.files, self.open = {k: (name, pairs) for k, name, pairs in meta["next_files"]}, {}
         plan = meta["plan"]
         self.hot_many = np.zeros(len(plan["hot"]), np.int64)
         for i, (first, parts) in enumerate(zip(plan["hot_first"].tolist(), plan["hot_shards"].tolist(), strict=True)):
-            self.hot_many[i] = sum(self.shards[s].items.n for s in range(first, first + parts) if s in self.shards)
+            self.hot_many[i] = sum(self.files[s][1] for s in range(first, first + parts) if s in self.files)
+
+    def shard(self, k: int) -> Successors | None:
+        """One shard of level two, mapped when it is first asked for."""
+        if k not in self.open:
+            self.open[k] = Successors(f"{self.meta['folder']}/{self.files[k][0]}") if k in self.files else None
+        return self.open[k]
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return (count + 1) / (self.meta["tokens"] + self.meta["vocabulary"] + 1)
@@ -320,7 +333,7 @@ class Model:
         shard = _shard_of(context, np.maximum(successor, 0), plan)
         order = np.argsort(shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            own = self.shards.get(int(shard[part[0]])) if len(part) else None
+            own = self.shard(int(shard[part[0]])) if len(part) else None
             if own is not None:
                 gain[part], many[part] = own.find(context[part], successor[part], words)
         if len(plan["hot"]):
@@ -412,7 +425,7 @@ def train(texts: DataFrame, folder: str | None = None, per_shard: int = SHARD_TO
 
         pairs = _counted(texts, pair_keys, lambda key: _shard_of(key >> 31, key & ((1 << 31) - 1), plan))
         written = materialise(_write_successors(pairs, folder, plan, (folder, word_files)), "lm-next").collect()
-        next_files = tuple(sorted((r["shard"], r["file"]) for r in written))
+        next_files = tuple(sorted((r["shard"], r["file"], r["pairs"]) for r in written))
     return {
         "folder": folder, "words_files": word_files, "next_files": next_files, "plan": plan, "tokens": int(facts[1]),
         "vocabulary": words - int(facts[2]),
