@@ -123,9 +123,17 @@ def test_op2_tagger_learns(spark):
     assert base == every == [(70_000, 0, 70_009)]
 
 
+def test_op2_spans_do_not_depend_on_other_texts():
+    w = pii.train(rounds=120)
+    texts = ["call (030) 123 45 678 or jörg@exämple.de", "und so weiter " * 300 + "4111.1111.1111.1111", "", "short"]
+    alone = [pii.find_spans([t], w)[0] for t in texts]
+    pii._DECODED.clear()
+    assert pii.find_spans(texts, w) == alone
+
+
 def test_op2_bound_skips_no_window():
     """Where Viterbi is left out, outside throughout is its result."""
-    w, rng = pii.train(), np.random.default_rng(3)
+    w, rng = pii.train(rounds=120), np.random.default_rng(3)
     x = np.stack([pii.symbols("".join(rng.choice(list("abc de@.-+ 0129"), 200, p=[0.1] * 5 + [0.05] * 10))) for _ in range(300)])
     emit = pii.emissions(x, w)
     skipped = pii._all_outside(emit, w["trans"])
