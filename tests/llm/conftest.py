@@ -2,6 +2,17 @@ from __future__ import annotations
 
 import pytest
 
+@pytest.fixture(scope="session", autouse=True)
+def short_training():
+    """Few rounds where a test doesn't hold the network's quality."""
+    from panelwright.llm import pii
+
+    old = pii.train.__defaults__
+    pii.train.__defaults__ = (*old[:-1], 60)
+    yield
+    pii.train.__defaults__ = old
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, sig string, language string, pii string, n long"
 
 

@@ -111,7 +111,7 @@ def test_op2_over_the_table(spark, documents):
 def test_op2_tagger_learns(spark):
     """Precision and recall by kind on windows of documents that weren't trained on, and forms that the rules miss."""
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
-    w = pii.train(pii.corpus_windows(docs.filter("doc_id % 5 <> 0")))
+    w = pii.train(pii.corpus_windows(docs.filter("doc_id % 5 <> 0")), rounds=pii.ROUNDS)
     x, y = pii.corpus_windows(docs.filter("doc_id % 5 = 0"), 800, seed=5)
     assert all(p > 0.75 and r > 0.75 for p, r in pii.quality(x, y, w).values()), pii.quality(x, y, w)
     address = "jörg.müller@exämple-" + "a" * 40 + ".de"
