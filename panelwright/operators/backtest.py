@@ -6,6 +6,7 @@ method, whose rows are a matrix of its assets. What links windows, the cost of m
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,15 @@ MOST_WINDOWS = 8
 _KEY = ["window", "asset"]
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the folder that executors share: later steps start from it, not from its plan."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     """``window`` and ``asset`` as one asset, for operators that know assets only."""
     return rows.withColumn("asset", F.struct(*_KEY)).drop("window")
@@ -43,12 +53,13 @@ def slices(prices: DataFrame, least: int, horizon: int, most: int = 5) -> tuple[
     """Training rows, test rows with their anchor date, both ``(window, asset, dt, price)`` of assets with ``least`` training prices, and the windows."""
     if most > MOST_WINDOWS:
         raise ValueError(f"more than {MOST_WINDOWS} windows")
-    windows = F.broadcast(forecast.expanding_windows(prices, least, horizon, most))
+    windows = F.broadcast(_written(forecast.expanding_windows(prices, least, horizon, most), "windows"))
     inside = prices.filter("price is not null").join(windows, prices["dt"] <= windows["window_end"])
     train = inside.filter("dt <= train_end").select(*_KEY, "dt", "price")
     held = train.groupBy(*_KEY).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*_KEY)
     test = inside.filter("dt >= train_end").select(*_KEY, "dt", "price")
-    return train.join(held, _KEY, "left_semi"), test.join(held, _KEY, "left_semi"), windows
+    # every estimate starts from these rows
+    return _written(train.join(held, _KEY, "left_semi"), "train"), _written(test.join(held, _KEY, "left_semi"), "test"), windows
 
 
 def estimates(train: DataFrame, test: DataFrame, horizon: int, periods: int, forecaster: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -59,7 +70,7 @@ def estimates(train: DataFrame, test: DataFrame, horizon: int, periods: int, for
     keyed = _keyed(train)
     mu_forecast = _unkeyed(forecast.forecast_mu(keyed, forecaster(keyed, horizon), periods)).select(*_KEY, "mu")
     parts = [(HISTORICAL, mu, cov), (FORECAST, mu_forecast, cov), (REALIZED, mu_test, cov_test)]
-    out = [optimise.problems(m, c, ["window"]).withColumn("portfolio", F.lit(name)) for name, m, c in parts]
+    out = [_written(optimise.problems(m, c, ["window"]).withColumn("portfolio", F.lit(name)), "problem") for name, m, c in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -93,7 +104,8 @@ def walk_forward(
     """One row for each window and portfolio type, with the window's end, assets and forecast error and the held portfolio's metrics."""
     train, test, windows = slices(prices, least, horizon, most)
     weights = optimise.max_sharpe(estimates(train, test, horizon, periods, forecaster), ["window", "portfolio"], cap, short, rf)
-    path, _ = held_with_costs(test, weights, bps)
+    weights = _written(weights, "weights")
+    path = _written(held_with_costs(test, weights, bps)[0], "path")
     perf = metrics.summarise(path.select(F.col("portfolio").alias("asset"), "dt", "r"), None, periods, rf)
     n_assets = weights.groupBy("window").agg(F.countDistinct("asset").alias("n_assets"))
     rest = [c for c in perf.columns if c != "asset"]
