@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("chat", "embeddup", "langid", "lm", "media", "neardup", "packing", "pii", "sentencepieces", "trie", "warc", "winnowing")
+_MODULES = ("chat", "embeddup", "langid", "lm", "media", "neardup", "packing", "pii", "sentencepieces", "spelling", "trie", "warc", "winnowing")
 
 QUERIES = {}
 ORACLE_SQL = {}
