@@ -1,14 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every code point has a 64-bit number T; a gram of ``GRAM`` code points has the rolling hash that shifts by a bit and adds the
-next T by exclusive or: ``h' = ((h ^ T[out] << GRAM - 1) << 1) ^ T[in]``. Hashes of all grams are made at once, by doubling:
-a gram of 2m is the first half shifted by m, exclusive or the second. Of every ``WINDOW`` grams in a row the least hash is
-chosen, at ties the rightmost, again by doubling. The chosen (position, hash) pairs are the fingerprint, so two texts that
-share ``GUARANTEE`` code points in a row share a hash there, and passages under ``GRAM`` code points match by nothing.
-
-A text is worked on in blocks of ``BLOCK`` windows, each with the code points its last window needs, so that arrays are small
-however long the text is. A text shorter than a window has the least of all its grams, one shorter than a gram its own hash,
-an empty or null one an empty fingerprint. Two empty fingerprints are alike (1.0).
+A text's words (runs of up to ``PIECE`` code points without white space, in lower case; a longer run is several) have 64-bit
+numbers T. A gram of ``GRAM`` words has the rolling hash that shifts by a bit and adds the next T by exclusive or:
+``h' = ((h ^ T[out] << GRAM - 1) << 1) ^ T[in]``. Hashes of all grams are made at once, by doubling: a gram of 2m is the first half
+shifted by m, exclusive or the second. Of every ``WINDOW`` grams in a row the least hash is chosen, at ties the rightmost, again
+by doubling. The chosen (position, hash) pairs are the fingerprint, positions counting words; so two texts that share ``GUARANTEE``
+words in a row share a hash there, and passages under ``GRAM`` words match by nothing.
+
+A text is worked on in blocks of ``BLOCK`` windows, each with the words its last window needs, so that arrays are small
+however long the text is. A text shorter than a window has the least of all its grams, one shorter than a gram the hash of its
+words, one without words (or null) an empty fingerprint. Two empty fingerprints are alike (1.0).
 """
 
 from __future__ import annotations
@@ -17,14 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Powers of two, since arrays of grams and of windows are made by doubling.
-GRAM, WINDOW = 16, 32
-#: Code points in a row that two texts must share to be sure of a common hash.
+GRAM, WINDOW = 4, 4
+#: Words in a row that two texts must share to be sure of a common hash.
 GUARANTEE = GRAM + WINDOW - 1
-#: Windows of a block; a block's positions take ``PLACE_BITS`` bits.
-BLOCK, PLACE_BITS = 1024, 11
+#: Code points of a word at most.
+PIECE = 16
+#: Windows of a block; a position in a block takes ``PLACE_BITS`` bits.
+BLOCK, PLACE_BITS = 512, 10
 #: Groups of neighbouring documents for each shuffle partition, and how many of their bounds one step of the search compares.
 GROUPS, STEP = 4, 64
 
+_WORD = r"[^\x20\x09-\x0D]{1,%d}+" % PIECE
+_WORDS = r"[\x20\x09-\x0D]*+(?:%s[\x20\x09-\x0D]*+){1,%d}+" % (_WORD, BLOCK)
+
 
 def _let(value: Column, body) -> Column:
     """``body(value)``, with ``value`` worked out once."""
@@ -53,10 +59,9 @@ def _once(prints: Column) -> Column:
     return _let(prints, lambda all_of: F.filter(all_of, lambda p, i: (i == 0) | (p["pos"] != F.get(all_of, i - 1)["pos"])))
 
 
-def _gram_codes(text: Column) -> Column:
-    """A number for each gram of a short text that orders by hash, then from right to left; null where no whole gram begins."""
-    each = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
-    hashes = _doubled(each, GRAM, lambda a, b, m: F.shiftleft(a, m).bitwiseXOR(b))
+def _gram_codes(words: Column) -> Column:
+    """A number for each gram of a few words' hashes that orders by hash, then from right to left; null where no whole gram begins."""
+    hashes = _doubled(words, GRAM, lambda a, b, m: F.shiftleft(a, m).bitwiseXOR(b))
     last = (1 << PLACE_BITS) - 1
     return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS) + (F.lit(last) - i))
 
@@ -67,65 +72,33 @@ def _prints(codes: Column, base: Column) -> Column:
     return F.transform(codes, lambda c: F.struct(pos(c).alias("pos"), F.shiftrightunsigned(c, PLACE_BITS).alias("hash")))
 
 
-def _of_windows(text: Column, base: Column) -> Column:
-    """What the first ``BLOCK`` whole windows of a short text choose; nothing if it has none."""
-    whole = F.least(F.lit(BLOCK), F.length(text) - (GUARANTEE - 1))
-    least = _doubled(_gram_codes(text), WINDOW, lambda a, b, m: F.least(a, b))
-    chosen = F.array_distinct(F.slice(least, 1, whole))
-    return F.when(whole > 0, _prints(chosen, base)).otherwise(_nothing())
+def _of_windows(words: Column, base: Column) -> Column:
+    """What the first ``BLOCK`` whole windows of a few words' hashes choose; nothing if they have none."""
+    whole = F.least(F.lit(BLOCK), F.size(words) - (GUARANTEE - 1))
+    least = _doubled(_gram_codes(words), WINDOW, lambda a, b, m: F.least(a, b))
+    return F.when(whole > 0, _prints(F.array_distinct(F.slice(least, 1, F.greatest(whole, F.lit(0)))), base)).otherwise(_nothing())
 
 
-def _of_short(text: Column) -> Column:
-    """The fingerprint of a text shorter than a window."""
-    own = F.shiftrightunsigned(F.xxhash64(text), PLACE_BITS + 1)
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("pos"), own.alias("hash")))
-    least = _prints(F.array(F.array_min(_gram_codes(text))), F.lit(0))
-    return F.when(F.length(text) == 0, _nothing()).when(F.length(text) < GRAM, alone).otherwise(least)
+def _of_short(words: Column) -> Column:
+    """The fingerprint of fewer words than a window spans."""
+    whole = F.shiftrightunsigned(F.xxhash64(words), PLACE_BITS + 1)
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("pos"), whole.alias("hash")))
+    least = _prints(F.array(F.array_min(_gram_codes(words))), F.lit(0))
+    return F.when(F.size(words) < GRAM, alone).otherwise(least)
 
 
 def winnow(text: Column) -> Column:
     """The fingerprint of a whole text: ``array<struct<pos, hash>>`` by position."""
-    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
-
-    def of(all_blocks: Column) -> Column:
-        whole = lambda b, i: F.concat(b, F.coalesce(F.substring(F.get(all_blocks, i + 1), 1, GUARANTEE - 1), F.lit("")))
-        each = F.transform(all_blocks, lambda b, i: _let(whole(b, i), lambda t: _of_windows(t, i.cast("long") * BLOCK)))
-        return _once(F.flatten(each))
-
-    return F.when(F.length(text) < GUARANTEE, _of_short(text)).otherwise(_let(blocks, of))
-
-
-def _of_prefix(prints: Column, length: Column) -> Column:
-    """What the windows within the first ``length`` code points chose, of a text's ``prints``.
-
-    A position is first chosen by the window it enters, if its hash isn't above the one before, else by the window that
-    the one before leaves.
-    """
-
-    def kept(held: Column) -> Column:
-        all_of, last = held["prints"], held["last"]
-
-        def first(p: Column, i: Column) -> Column:
-            before = F.get(all_of, i - 1)
-            return F.when(i == 0, F.lit(0)).when(p["hash"] <= before["hash"], p["pos"] - (WINDOW - 1)).otherwise(before["pos"] + 1)
-
-        return F.filter(all_of, lambda p, i: first(p, i) <= last)
-
-    return _let(F.struct(prints.alias("prints"), (length - GUARANTEE).alias("last")), kept)
-
+    blocks = F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0))
+    hashed = F.transform(blocks, lambda b: F.transform(F.regexp_extract_all(b, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w)))
 
-def of_joined(head: Column, head_prints: Column, tail: Column, tail_prints: Column) -> Column:
-    """The fingerprint of ``head + tail``, where both begin texts whose fingerprints are known: only windows across the seam are new."""
-    def of(known: Column) -> Column:
-        size, rest = known["size"], known["rest"]
-        kept = F.least(size, F.lit(GUARANTEE - 1))
-        seam = F.concat(F.right(head, kept), F.substring(tail, 1, GUARANTEE - 1))
-        across = _let(seam, lambda t: _of_windows(t, size - kept))
-        after = F.transform(_of_prefix(tail_prints, rest), lambda p: F.struct((p["pos"] + size).alias("pos"), p["hash"].alias("hash")))
-        parts = _once(F.sort_array(F.concat(_of_prefix(head_prints, size), across, after)))
-        return F.when(size + rest < GUARANTEE, _let(F.concat(head, tail), _of_short)).otherwise(parts)
+    def of(parts: Column) -> Column:
+        after = lambda i: F.slice(F.coalesce(F.get(parts, i + 1), F.array().cast("array<bigint>")), 1, GUARANTEE - 1)
+        each = F.transform(parts, lambda p, i: _let(F.concat(p, after(i)), lambda x: _of_windows(x, i.cast("long") * BLOCK)))
+        short = (F.size(parts) == 1) & (F.size(F.get(parts, F.lit(0))) < GUARANTEE)
+        return F.when(F.size(parts) == 0, _nothing()).when(short, _let(F.get(parts, F.lit(0)), _of_short)).otherwise(_once(F.flatten(each)))
 
-    return _let(F.struct(F.length(head).cast("long").alias("size"), F.length(tail).cast("long").alias("rest")), of)
+    return _let(hashed, of)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -208,13 +181,11 @@ def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("text")
     taken = F.floor(size / 2).cast("int")
     head, tail = F.substring("text", F.lit(1), size - taken), F.substring("next_text", F.lit(1), taken)
-    both = docs.withColumn("head", head).withColumn("tail", tail)
-    edited = of_joined(F.col("head"), F.col("prints"), F.col("tail"), F.col("next_prints"))
-    found = both.withColumn("edited", edited)
+    found = docs.withColumn("edited_text", F.concat(head, tail)).withColumn("edited", winnow(F.col("edited_text")))
     return found.select(
         "doc_id",
         size.cast("long").alias("n_chars"),
-        F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
         as_text(F.col("prints")).alias("fingerprint"),
         as_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("prints"), F.col("edited")).alias("near_edited"),

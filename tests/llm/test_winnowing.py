@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import xxhash
 from pyspark.sql import functions as F
@@ -12,18 +13,22 @@ from panelwright.llm import winnowing as w
 _MASK = (1 << 64) - 1
 
 
-def _number(c: str) -> int:
-    return xxhash.xxh64(c.encode(), seed=42).intdigest()
+def _number(word: str) -> int:
+    return xxhash.xxh64(word.encode(), seed=42).intdigest()
 
 
 def plain(text: str) -> list[tuple[int, int]]:
     k, size = w.GRAM, w.WINDOW
-    if len(text) < k:
-        return [(0, _number(text) >> 12)] if text else []
+    words = re.findall("[^\\x20\\x09-\\x0D]{1,%d}" % w.PIECE, text.lower())
+    if len(words) < k:
+        whole = 42
+        for word in words:
+            whole = xxhash.xxh64(_number(word).to_bytes(8, "little"), seed=whole).intdigest()
+        return [(0, whole >> w.PLACE_BITS + 1)] if words else []
     hashes, h = [], 0
-    for i, c in enumerate(text):
-        h = ((h << 1) & _MASK) ^ _number(c) ^ ((_number(text[i - k]) << k) & _MASK if i >= k else 0)
-        hashes += [h >> 12] if i >= k - 1 else []
+    for i, word in enumerate(words):
+        h = ((h << 1) & _MASK) ^ _number(word) ^ ((_number(words[i - k]) << k) & _MASK if i >= k else 0)
+        hashes += [h >> w.PLACE_BITS + 1] if i >= k - 1 else []
     out = []
     for i in range(max(1, len(hashes) - size + 1)):
         seen = hashes[i : i + size]
@@ -34,10 +39,10 @@ def plain(text: str) -> list[tuple[int, int]]:
 
 
 def _texts() -> list[str | None]:
-    words = " ".join(f"word{i * i % 89} of {i}" for i in range(400))
-    short = [words[:n] for n in (1, 15, 16, 17, 45, 46, 47, 48, 92, 93, 94, 95, 1023, 1024, 1025, 1070, 1071, 2094, 2095)]
-    # ties in every window, supplementary code points, a line break
-    odd = ["a" * 3000, "ab" * 700, "𝔸é日\n" * 400, "", None, words, words[:60], words[:60], "x" * 46 + words]
+    line = [f"word{i * i % 89}" if i % 3 else f"Of-{i}" for i in range(2200)]
+    short = [" ".join(line[:n]) for n in (1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 511, 512, 513, 517, 518, 519, 1024, 1025, 1030)]
+    # ties in every window, long runs, supplementary code points, all white space
+    odd = ["a " * 3000, "ab cd " * 700, "x" * 5000, "𝔸é日\n" * 400, "日本語" * 200, "", None, " \t\n ", " ".join(line), "\t " + " ".join(line[:60]), "Same words " * 9, "same  WORDS " * 9]
     return short + odd
 
 
@@ -92,9 +97,9 @@ def test_op13_odd_documents(spark, odd_documents, no_documents, tmp_path):
 
 
 def test_shared_passages_share_a_hash(spark):
-    """Any ``GUARANTEE`` code points in a row that two texts share give a common hash, wherever they stand."""
-    passage = "".join(chr(97 + i * i * 7 % 26) for i in range(w.GUARANTEE))
-    texts = [("q" * i + passage + "z" * (60 - i),) for i in range(60)]
+    """Any ``GUARANTEE`` words in a row that two texts share give a common hash, wherever they stand."""
+    passage = " ".join(f"w{i * i * 7}" for i in range(w.GUARANTEE))
+    texts = [("q " * i + passage + " z" * (60 - i),) for i in range(60)]
     prints = [set(r[0]) for r in spark.createDataFrame(texts, "text string").select(F.transform(w.winnow(F.col("text")), lambda p: p["hash"])).collect()]
     assert set.intersection(*prints)
 
