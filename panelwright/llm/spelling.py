@@ -181,3 +181,48 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.concat(F.substring("run", F.lit(1), at), F.expr("substring(run, cast(h % length(run) as int) + 2)"))
     words = rows.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
     return variants(counted(words))
+
+
+#: The checksum of a string is a recursion over its bits.
+ORACLE_SQL = {
+    "op12_spelling_variants": """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents)
+  GROUP BY ALL
+), keys AS (
+  SELECT run, n, row_number() OVER () AS k, hex(encode(doc_id || ':' || run)) AS bytes FROM runs
+), bits AS (
+  SELECT k, bytes, 0 AS step, 4294967295::BIGINT AS crc FROM keys
+  UNION ALL
+  SELECT k, bytes, step + 1, CASE WHEN low % 2 = 1 THEN xor(low // 2, 3988292384) ELSE low // 2 END
+  FROM (SELECT k, bytes, step, CASE WHEN step % 8 = 0 THEN xor(crc, ('0x' || substr(bytes, step // 4 + 1, 2))::BIGINT) ELSE crc END AS low
+        FROM bits WHERE step < length(bytes) * 4)
+), hashed AS (
+  SELECT run, n, xor(crc, 4294967295) AS h FROM bits JOIN keys USING (k) WHERE step = length(keys.bytes) * 4
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION
+  SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form,
+         CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+}

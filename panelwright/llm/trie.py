@@ -227,4 +227,50 @@ def _rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "trie-turns")
     rebuilt, empty = _rebuilt(rows)
-    return build(materialise(paths(rebuilt), "trie-paths"), empty)
+    return build(materialise(paths(rebuilt), "trie-paths"), empty).drop("position", "subtree_end")
+
+
+#: The checksum of a string is a recursion over its bits.
+ORACLE_SQL = {
+    "op11_conversation_trie": """
+WITH RECURSIVE turn_rows AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+  SELECT conv_id, conv_id::VARCHAR AS id, 1 AS place, 0 AS step, xor(4294967295::BIGINT, ord(conv_id::VARCHAR)) AS crc
+  FROM (SELECT DISTINCT conv_id FROM turn_rows)
+  UNION ALL
+  SELECT conv_id, id, CASE WHEN step = 7 THEN place + 1 ELSE place END, (step + 1) % 8,
+         CASE WHEN step = 7 AND place < length(id) THEN xor(shifted, ord(substr(id, place + 1))) ELSE shifted END
+  FROM (SELECT *, CASE WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END AS shifted FROM bits)
+  WHERE place <= length(id)
+), convs AS (
+  SELECT conv_id, xor(crc, 4294967295) % 6 AS h, conv_id - conv_id % 100 AS base FROM bits WHERE place > length(id)
+), rebuilt AS (
+  SELECT c.conv_id, t.pos AS depth, t.role, t.text FROM convs c JOIN turn_rows t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + least(c.h, (SELECT count(*) FROM turn_rows b WHERE b.conv_id = c.base)), t.role, t.text
+  FROM convs c JOIN turn_rows t ON t.conv_id = c.conv_id AND t.pos > c.h
+), prefixes AS (
+  SELECT conv_id, depth, length(text) AS chars, string_agg(sha256(length(role) || ' ' || role || text), ',') OVER line AS path,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM rebuilt WINDOW line AS (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), members AS (
+  SELECT conv_id, depth, chars, path, CASE WHEN depth > 1 THEN path[:-66] ELSE '' END AS parent, n_turns FROM prefixes
+  UNION ALL
+  SELECT c.conv_id, 0, 0, '', NULL, (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM convs c
+), nodes AS (
+  SELECT path, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n_turns), '')) AS ends_sha256
+  FROM members GROUP BY path, depth
+), counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.parent = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.path = n.parent
+)
+SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children,
+       sum((s.n_children = 0)::INT)::BIGINT AS n_leaves, sum(s.saved)::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN counted s ON s.depth >= n.depth AND (n.depth = 0 OR s.path = n.path OR starts_with(s.path, n.path || ','))
+GROUP BY ALL
+"""
+}
