@@ -220,13 +220,14 @@ def register(name: str, model: Callable[[np.ndarray, int], Result]) -> None:
     FORECASTERS[name] = model
 
 
-def all_assets(prices: DataFrame, horizon: int, model: str = "naive") -> DataFrame:
-    """``(asset, step, forecast, lower, upper)`` of every asset by the named model."""
+def all_assets(prices: DataFrame, horizon: int, model: str = "naive", by: tuple[str, ...] = (), told: bool = False) -> DataFrame:
+    """``(*by, asset, step, forecast, lower, upper)`` of every asset by the named model; with ``told`` also ``fitted``: false where the drift forecast stands in."""
     if model not in FORECASTERS:
         raise ValueError(f"no forecast model {model}")
     fit, lowest = FORECASTERS[model], LEAST_NETWORK if model == "lstm" else LEAST
+    keys, kinds = [*by, "asset"], dict(prices.dtypes)
 
-    def one(table: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         y = table.sort_values("dt")["price"].to_numpy(float)
         found = None
         if len(y) >= lowest:
@@ -234,13 +235,14 @@ def all_assets(prices: DataFrame, horizon: int, model: str = "naive") -> DataFra
                 found = fit(y, horizon)
             except (ArithmeticError, np.linalg.LinAlgError, ValueError):
                 found = None
-        if found is None or not np.isfinite(found[0]).all():
-            found = drift(y, horizon)
-        centre, band = found
-        return pd.DataFrame({"asset": table["asset"].iloc[0], "step": np.arange(1, horizon + 1), "forecast": centre, "lower": centre - band, "upper": centre + band})
+        fitted = found is not None and bool(np.isfinite(found[0]).all())
+        centre, band = found if fitted else drift(y, horizon)
+        rows = {"step": np.arange(1, horizon + 1), "forecast": centre, "lower": centre - band, "upper": centre + band} | ({"fitted": fitted} if told else {})
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), **rows})
 
-    known = prices.filter("price is not null and not isnan(price)").select("asset", "dt", "price")
-    return known.groupBy("asset").applyInPandas(one, "asset string, step int, forecast double, lower double, upper double")
+    known = prices.filter("price is not null and not isnan(price)").select(*keys, "dt", "price")
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "step int, forecast double, lower double, upper double", *(["fitted boolean"] if told else [])])
+    return known.groupBy(*keys).applyInPandas(one, schema)
 
 
 # ---------------------------------------------------------------- volatility
@@ -278,23 +280,35 @@ def garch_variance(r: np.ndarray, horizon: int) -> float | None:
     return float(mean) if np.isfinite(mean) and mean > 0 else None
 
 
-def forecast_variances(returns: DataFrame, horizon: int) -> DataFrame:
-    """``(asset, variance, fitted)`` a period: the GARCH forecast, or the sample variance where there is none."""
+def forecast_variances(returns: DataFrame, horizon: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, asset, variance, fitted)`` a period: the GARCH forecast, or the sample variance where there is none."""
+    keys, kinds = [*by, "asset"], dict(returns.dtypes)
 
-    def one(table: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         r = table.sort_values("dt")["r"].to_numpy(float)
         found = garch_variance(r, horizon)
-        return pd.DataFrame({"asset": [table["asset"].iloc[0]], "variance": [r.var(ddof=1) if found is None else found], "fitted": [found is not None]})
+        own = r.var(ddof=1) if found is None else found
+        return pd.DataFrame({**{c: [v] for c, v in zip(keys, key, strict=True)}, "variance": [own], "fitted": [found is not None]})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "variance double, fitted boolean"])
+    return returns.filter("r is not null").select(*keys, "dt", "r").groupBy(*keys).applyInPandas(one, schema)
+
 
-    return returns.filter("r is not null").select("asset", "dt", "r").groupBy("asset").applyInPandas(one, "asset string, variance double, fitted boolean")
+def garch_coverage(variances: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, n_fitted, n_fallback, fallback)`` of ``forecast_variances``: how many assets have a GARCH forecast, and which have none."""
+    left = F.array_sort(F.collect_list(F.when(~F.col("fitted"), F.col("asset"))))
+    return variances.groupBy(*by).agg(F.count_if("fitted").alias("n_fitted"), F.count_if(~F.col("fitted")).alias("n_fallback"), left.alias("fallback"))
 
 
-def garch_covariance(returns: DataFrame, complete: DataFrame, horizon: int, periods: int = 52) -> DataFrame:
-    """``(asset_i, asset_j, cov)``: forecast volatilities with the correlations of the shrunk covariance of ``complete`` cases."""
-    cov, v = moments.ledoit_wolf(complete, periods), forecast_variances(returns, horizon)
-    own = cov.filter("asset_i = asset_j").join(v, F.col("asset_i") == F.col("asset")).select("asset", F.sqrt(F.col("variance") * periods / F.col("cov")).alias("k"))
-    scaled = cov.join(own.select(F.col("asset").alias("asset_i"), F.col("k").alias("ki")), "asset_i").join(own.select(F.col("asset").alias("asset_j"), F.col("k").alias("kj")), "asset_j")
-    return scaled.select("asset_i", "asset_j", (F.col("cov") * F.col("ki") * F.col("kj")).alias("cov"))
+def garch_covariance(returns: DataFrame, complete: DataFrame, horizon: int, periods: int = 52, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, asset_i, asset_j, cov)``: forecast volatilities with the correlations of the shrunk covariance of ``complete`` cases."""
+    cov, v = moments.ledoit_wolf(complete, periods, by), forecast_variances(returns, horizon, by)
+    same = cov.filter("asset_i = asset_j").withColumnRenamed("asset_i", "asset")
+    own = same.join(v, [*by, "asset"]).select(*by, "asset", F.sqrt(F.try_divide(F.col("variance") * periods, F.col("cov"))).alias("k"))
+    scaled = cov
+    for side in ("asset_i", "asset_j"):
+        scaled = scaled.join(own.select(*by, F.col("asset").alias(side), F.col("k").alias(f"k_{side}")), [*by, side])
+    return scaled.select(*by, "asset_i", "asset_j", (F.col("cov") * F.col("k_asset_i") * F.col("k_asset_j")).alias("cov"))
 
 
 # ---------------------------------------------------------------- unit roots

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Risk aversions that the search with short positions tries (fixed values); weights below ``TINY`` become 0, others have ``DIGITS`` digits.
 AVERSIONS = (0.01, 0.05, 0.1, 0.3, 0.5, 1, 2, 5, 10, 20, 50)
 TINY, DIGITS = 1e-4, 5
+#: Shares of the mean variance that are added to singular covariances, in turn; worst condition of an inverse; changes between its renewals.
+RIDGES, WORST, RENEWED = (0.0, 1e-7, 1e-6, 1e-5, 1e-3), 1e10, 10
 
 
 def bounds(cap: float, short: bool, n: int) -> tuple[float, float]:
@@ -29,7 +31,7 @@ def turning_points(mu: np.ndarray, cov: np.ndarray, low: float, high: float) ->
     The weights minimise w'Sw / 2 - lam * mu'w with sum 1 and low <= w <= high, and are linear in lam between two points.
     """
     n = len(mu)
-    mu = mu + 1e-12 * np.arange(n)[::-1] * max(1.0, float(np.abs(mu).max()))  # ties: the first asset
+    mu = mu + 1e-9 * np.arange(n)[::-1] * max(1.0, float(np.abs(mu).max()))  # ties: the first asset
     if n * high <= 1 + 1e-12:
         return [(0.0, np.full(n, 1 / n))]
     high *= 1 + 1e-9  # limits that fill 1 exactly would leave no free asset
@@ -38,48 +40,94 @@ def turning_points(mu: np.ndarray, cov: np.ndarray, low: float, high: float) ->
         w[i] = min(high, low + 1 - w.sum())
         if w.sum() >= 1 - 1e-15:
             break
-    free, lam, points, last = [int(i)], np.inf, [(np.inf, w.copy())], -1
-
-    def below(at: float, i: int) -> bool:
-        """Whether a change of asset ``i`` lies ahead; the one just made isn't undone at the same place."""
-        return best < at < (np.inf if np.isinf(lam) else lam - (1e-8 if i == last else 1e-14) * max(1.0, lam))
-
-    def lines(own: list[int], rest: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the free assets are a + lam * b."""
-        inv = np.linalg.inv(cov[np.ix_(own, own)])
-        one, m, fixed = inv.sum(1), inv @ mu[own], inv @ (cov[np.ix_(own, rest)] @ w[rest])
-        total = one.sum()
-        return one * (1 - w[rest].sum() + fixed.sum()) / total - fixed, m - one * m.sum() / total
+    free, lam, points, last = _Free(cov, int(i)), np.inf, [(np.inf, w.copy())], -1
 
     while True:
-        rest = [i for i in range(n) if i not in free]
-        best, change = -1.0, None
-        a, b = lines(free, rest)
-        for k, i in enumerate(free):  # a free weight that meets a limit
-            if len(free) > 1 and abs(b[k]) > 1e-15:
-                limit = high if b[k] < 0 else low
-                at = (limit - a[k]) / b[k]
-                if below(at, i):
-                    best, change = at, ("fix", i, limit)
-        for i in rest:  # a limited weight that becomes free
-            a2, b2 = lines([*free, i], [j for j in rest if j != i])
-            if abs(b2[-1]) > 1e-15:
-                at = (w[i] - a2[-1]) / b2[-1]
-                if below(at, i):
-                    best, change = at, ("free", i, 0.0)
-        lam = max(best, 0.0)
-        w[free] = a + lam * b
-        if change is None or best <= 0:
-            points.append((0.0, w.copy()))
-            return points
+        own = free.assets
+        rest = np.setdiff1d(np.arange(n), own)
+        fixed = free.inverse @ (cov[np.ix_(own, rest)] @ w[rest])
+        one, m = free.inverse.sum(1), free.inverse @ mu[own]
+        level = np.array([1 - w[rest].sum() + fixed.sum(), -m.sum()]) / one.sum()
+        a, b = level[0] * one - fixed, m + level[1] * one  # free weights are a + lam * b
+        # a free weight meets a limit, or the gradient of a limited one meets that of the free ones
+        to = np.where(b < 0, high, low)
+        still = cov[np.ix_(rest, own)]
+        c0, c1 = still @ a + cov[np.ix_(rest, rest)] @ w[rest] - level[0], still @ b - mu[rest] - level[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            meets = np.where((np.abs(b) > 1e-15) & (len(own) > 1), (to - a) / b, -1.0)
+            opens = np.where(np.abs(c1) > 1e-15, -c0 / c1, -1.0)
+        at, who = np.concatenate([meets, opens]), np.concatenate([own, rest])
+        # the change just made isn't undone at the same place
+        ahead = np.inf if np.isinf(lam) else lam - np.where(who == last, 1e-8, 1e-14) * max(1.0, lam)
+        at = np.where((at < ahead) & np.isfinite(at), at, -1.0)
+        k = int(np.argmax(at))
+        lam = max(float(at[k]), 0.0)
+        w[own] = a + lam * b
         points.append((lam, w.copy()))
-        kind, i, limit = change
-        last = i
-        if kind == "fix":
-            free.remove(i)
-            w[i] = limit
+        if lam <= 0:
+            return points
+        last = int(who[k])
+        if k < len(own):
+            w[last] = to[k]
+            free.leave(k)
         else:
-            free.append(i)
+            free.enter(last)
+
+
+class _Free:
+    """The free assets and the inverse of their covariances, which is updated when one enters or leaves and renewed now and then."""
+
+    def __init__(self, cov: np.ndarray, first: int):
+        self.cov, self.assets, self.changes = cov, [first], 0
+        self._renew()
+
+    def _renew(self) -> None:
+        own = self.cov[np.ix_(self.assets, self.assets)]
+        if not np.isfinite(own).all() or np.linalg.cond(own) > WORST:
+            raise np.linalg.LinAlgError("the free assets' covariances are singular")
+        self.inverse = np.linalg.inv(own)
+
+    def _counted(self) -> bool:
+        self.changes += 1
+        return self.changes % RENEWED == 0
+
+    def enter(self, i: int) -> None:
+        c = self.cov[self.assets, i]
+        u = self.inverse @ c
+        left = self.cov[i, i] - c @ u
+        self.assets.append(i)
+        if self._counted() or left <= self.cov[i, i] / WORST:
+            return self._renew()
+        out = np.empty((len(u) + 1, len(u) + 1))
+        out[:-1, :-1], out[:-1, -1], out[-1, :-1], out[-1, -1] = self.inverse + np.outer(u, u) / left, -u / left, -u / left, 1 / left
+        self.inverse = out
+
+    def leave(self, k: int) -> None:
+        del self.assets[k]
+        if self._counted():
+            return self._renew()
+        kept = np.arange(len(self.inverse)) != k
+        column = self.inverse[kept, k]
+        self.inverse = self.inverse[np.ix_(kept, kept)] - np.outer(column, column) / self.inverse[k, k]
+
+
+def line(mu: np.ndarray, cov: np.ndarray, low: float, high: float) -> tuple[list[tuple[float, np.ndarray]], np.ndarray] | None:
+    """Turning points, and the covariances they hold for: those given or, where they are singular, these with the least of ``RIDGES`` on the
+    diagonal that is enough. None where means or covariances aren't numbers."""
+    if not (np.isfinite(mu).all() and np.isfinite(cov).all()):
+        return None
+    size, gain = float(np.trace(cov)) / len(mu) or 1.0, float(np.abs(mu).max()) or 1.0
+    for ridge in RIDGES:
+        held = cov + ridge * size * np.eye(len(mu))
+        unit = float(np.trace(held)) / len(mu) or 1.0
+        try:
+            # in units of the mean variance and the greatest mean
+            points = turning_points(mu / gain, held / unit, low, high)
+            if all(w.min() > low - 1e-6 and w.max() < high + 1e-6 and abs(w.sum() - 1) < 1e-6 for _, w in points):
+                return [(lam * unit / gain, w) for lam, w in points], held
+        except np.linalg.LinAlgError:
+            pass
+    return [(0.0, np.full(len(mu), 1 / len(mu)))], cov
 
 
 def least_variance(points) -> np.ndarray:
@@ -97,13 +145,28 @@ def at_lambda(points, lam: float) -> np.ndarray:
     return points[-1][1]
 
 
-def at_return(points, mu: np.ndarray, target: float) -> np.ndarray:
-    """The weights of least variance with the return ``target``, which lies between those of the end points."""
-    for (_, w1), (_, w0) in zip(points[:-1], points[1:], strict=True):
+def at_return(points, mu: np.ndarray, target: float) -> tuple[float, np.ndarray]:
+    """``(lam, weights)`` of least variance with the return ``target``, which lies between those of the end points."""
+    for (hi, w1), (lo, w0) in zip(points[:-1], points[1:], strict=True):
         r1, r0 = mu @ w1, mu @ w0
         if r0 <= target <= r1:
-            return w0 + (0 if r1 == r0 else (target - r0) / (r1 - r0)) * (w1 - w0)
-    return points[-1][1] if target < mu @ points[-1][1] else points[0][1]
+            t = 0.0 if r1 == r0 else (target - r0) / (r1 - r0)
+            return (lo if t == 0 or np.isinf(hi) else lo + t * (hi - lo)), w0 + t * (w1 - w0)
+    return points[-1] if target < mu @ points[-1][1] else points[0]
+
+
+def kkt(mu: np.ndarray, cov: np.ndarray, low: float, high: float, lam: float, w: np.ndarray) -> float:
+    """How far ``w`` is from the conditions of least w'Sw / 2 - lam * mu'w with sum 1 and limits, as a share of the mean variance and the gradient's terms.
+
+    The gradient of a weight that may fall must not be above that of one that may rise.
+    """
+    g, room = cov @ w - lam * mu, 1e-7
+    worst = max(g[w > low + room].max(initial=-np.inf) - g[w < high - room].min(initial=np.inf), 0.0)
+    return float(worst / max(np.trace(cov) / len(mu), np.abs(lam * mu).max(), 1e-300))
+
+
+def _ratio(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, rf: float) -> float:
+    return float((mu @ w - rf) / np.sqrt(max(w @ cov @ w, 1e-30)))
 
 
 def greatest_sharpe(points, mu: np.ndarray, cov: np.ndarray, rf: float) -> np.ndarray:
@@ -119,7 +182,7 @@ def greatest_sharpe(points, mu: np.ndarray, cov: np.ndarray, rf: float) -> np.nd
         inner = [(e * q1 - g * q0) / slope] if abs(slope) > 1e-18 else []
         for t in (0.0, 1.0, *(x for x in inner if 0 < x < 1)):
             w = w0 + t * d
-            sharpe = (mu @ w - rf) / np.sqrt(w @ cov @ w)
+            sharpe = _ratio(w, mu, cov, rf)
             if sharpe > best + 1e-12:
                 best, found = sharpe, w
     return found
@@ -128,7 +191,7 @@ def greatest_sharpe(points, mu: np.ndarray, cov: np.ndarray, rf: float) -> np.nd
 def utility_scan(points, mu: np.ndarray, cov: np.ndarray, rf: float) -> np.ndarray:
     """The best Sharpe ratio among the portfolios of the utilities mu'w - aversion / 2 * w'Sw."""
     tried = [at_lambda(points, 1 / a) for a in AVERSIONS]
-    return max(tried, key=lambda w: (mu @ w - rf) / np.sqrt(w @ cov @ w))
+    return max(tried, key=lambda w: _ratio(w, mu, cov, rf))
 
 
 def cleaned(w: np.ndarray) -> np.ndarray:
@@ -148,36 +211,44 @@ def problems(mu: DataFrame, cov: DataFrame, by: list[str]) -> DataFrame:
 
 
 def max_sharpe(problem: DataFrame, by: list[str], cap: float = 1.0, short: bool = False, rf: float = 0.04) -> DataFrame:
-    """``(*by, asset, w)``: cleaned weights of the greatest Sharpe ratio of each problem."""
+    """``(*by, asset, w)``: cleaned weights of the greatest Sharpe ratio of each problem; null weights where means or covariances aren't numbers."""
 
     def solve(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         names, mu, cov = _problem(table)
         low, high = bounds(cap, short, len(names))
-        points = turning_points(mu, cov, low, high)
-        w = utility_scan(points, mu, cov, rf) if short else greatest_sharpe(points, mu, cov, rf)
-        return pd.DataFrame({**dict(zip(by, key, strict=True)), "asset": names, "w": cleaned(w)})
+        found, w = line(mu, cov, low, high), None
+        if found:
+            points, cov = found
+            w = cleaned(utility_scan(points, mu, cov, rf) if short else greatest_sharpe(points, mu, cov, rf))
+        return pd.DataFrame({**dict(zip(by, key, strict=True)), "asset": names, "w": w})
 
     kinds = dict(problem.dtypes)
     return problem.groupBy(*by).applyInPandas(solve, ", ".join([*(f"{c} {kinds[c]}" for c in by), "asset string, w double"]))
 
 
 def frontier(problem: DataFrame, by: list[str], cap: float = 1.0, short: bool = False, n_points: int = 25) -> DataFrame:
-    """``(*by, point, expected_return, volatility)``: least variances for returns from that of the least-variance portfolio almost to the greatest.
+    """``(*by, point, expected_return, volatility, total, least, most, kkt)``: least variances for returns from that of the least-variance portfolio almost to the greatest.
 
-    One point where there is one asset, or no portfolio has a greater return.
+    ``total``, ``least`` and ``most`` are the weights' sum and extremes, ``kkt`` how far they are from the conditions of least variance. One point where there
+    is one asset, or no portfolio has a greater return; none where means or covariances aren't numbers.
     """
+    names_of = ["expected_return", "volatility", "total", "least", "most", "kkt"]
 
     def sweep(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         names, mu, cov = _problem(table)
         low, high = bounds(cap, short, len(names))
-        points = turning_points(mu, cov, low, high)
-        start, end = mu @ least_variance(points), mu @ points[0][1]
-        if len(names) < 2 or end <= start:
-            ws = [least_variance(points)]
-        else:
-            ws = [at_return(points, mu, r) for r in np.linspace(start, start + 0.999 * (end - start), n_points)]
-        rows = {"point": range(len(ws)), "expected_return": [mu @ w for w in ws], "volatility": [np.sqrt(w @ cov @ w) for w in ws]}
-        return pd.DataFrame({**dict(zip(by, key, strict=True)), **rows})
+        found, ws = line(mu, cov, low, high), []
+        if found:
+            points, cov = found
+            start, end = mu @ least_variance(points), mu @ points[0][1]
+            many = len(names) > 1 and end > start + 1e-9 * np.abs(mu).max()
+            ws = [at_return(points, mu, r) for r in np.linspace(start, start + 0.999 * (end - start), n_points)] if many else [(0.0, least_variance(points))]
+        rows = [(mu @ w, np.sqrt(max(w @ cov @ w, 0.0)), w.sum(), w.min(), w.max(), kkt(mu, cov, low, high, lam, w)) for lam, w in ws]
+        out = pd.DataFrame(rows, columns=names_of)
+        out.insert(0, "point", range(len(rows)))
+        for i, (c, v) in enumerate(zip(by, key, strict=True)):
+            out.insert(i, c, v)
+        return out
 
     kinds = dict(problem.dtypes)
-    return problem.groupBy(*by).applyInPandas(sweep, ", ".join([*(f"{c} {kinds[c]}" for c in by), "point int, expected_return double, volatility double"]))
+    return problem.groupBy(*by).applyInPandas(sweep, ", ".join([*(f"{c} {kinds[c]}" for c in by), "point int", *(f"{c} double" for c in names_of)]))

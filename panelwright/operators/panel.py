@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from pyspark.sql import functions as F
 PERIODS = {"daily": 252, "weekly": 52, "monthly": 12, "yearly": 1}
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the folder that executors share: later steps start from it, not from its plan."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def period_end(dt: Column, frequency: str) -> Column:
     """The label of a date's bin: its Friday, month end or year end."""
     if frequency == "weekly":
@@ -33,15 +44,19 @@ def resample_last(prices: DataFrame, frequency: str) -> DataFrame:
     return known.groupBy("asset", period_end(F.col("dt"), frequency).alias("dt")).agg(F.max_by("price", known["dt"]).alias("price"))
 
 
-def densify(prices: DataFrame) -> DataFrame:
-    """Every asset on every date of the shared calendar, null where it has no price.
+def densify(prices: DataFrame, leading: bool = True) -> DataFrame:
+    """Every asset on every date of the shared calendar, null where it has no price; without ``leading``, from its own first date on.
 
-    The calendar and the asset list are aggregates (a row per date, a row per asset); the product of
-    the two is the panel itself, so it is no larger than the answer.
+    Dates are numbered, a row each; an asset's row meets its first date's number and is carried on to the last one. So the
+    panel is made of equal joins, and one of late-listed assets holds no dates before they exist. ``prices`` is written once and read three times.
     """
-    clean = prices.withColumn("price", F.nanvl("price", F.lit(None).cast("double")))
-    grid = clean.select("dt").distinct().join(clean.select("asset").distinct())
-    return grid.join(clean, ["asset", "dt"], "left")
+    clean = written(prices.withColumn("price", F.nanvl("price", F.lit(None).cast("double"))), "prices")
+    dates = Window.partitionBy(F.lit(1))
+    calendar = clean.select("dt").distinct().select("dt", F.row_number().over(dates.orderBy("dt")).alias("i"), F.count("*").over(dates).alias("n"))
+    calendar = written(calendar.select("dt", "i", F.col("n").cast("int").alias("n")), "calendar")
+    firsts = clean.groupBy("asset").agg(F.min("dt").alias("dt")).join(calendar, "dt")
+    grid = firsts.select("asset", F.explode(F.sequence(F.lit(1) if leading else F.col("i"), F.col("n"))).alias("i")).join(calendar.select("dt", "i"), "i")
+    return grid.select("asset", "dt").join(clean, ["asset", "dt"], "left")
 
 
 def forward_fill(prices: DataFrame) -> DataFrame:

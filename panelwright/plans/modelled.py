@@ -12,7 +12,7 @@ from ..sources import stores
 from ..streaming import bars
 from .forecasts import HORIZON, LEAST, STEP, _DRIFT
 from .panels import _PANEL, _rounded, weekly, weekly_returns
-from .portfolios import _problem
+from .portfolios import _problem, filled_weekly
 
 
 def _store(spark: SparkSession, label: str) -> str:
@@ -83,7 +83,7 @@ def w11_rolling_length(spark: SparkSession, d: str) -> DataFrame:
 
 def b05_single_window(spark: SparkSession, d: str) -> DataFrame:
     """One window: the last dates held out, metrics of the three portfolio types."""
-    return _rounded(backtest.walk_forward(weekly(spark, d), LEAST, STEP, 1))
+    return _rounded(backtest.walk_forward(filled_weekly(spark, d), LEAST, STEP, 1))
 
 
 def s28_chunk_store(spark: SparkSession, d: str) -> DataFrame:

@@ -49,6 +49,20 @@ def v03_pca_covariance(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(cov.filter("asset_i = asset_j").select(F.col("asset_i").alias("asset"), "cov"))
 
 
+def _returns_of_two(spark: SparkSession, d: str) -> DataFrame:
+    return panel.complete_cases(weekly_returns(spark, d).filter(F.col("asset").isin(*TWO)))
+
+
+def v03_pca_of_two(spark: SparkSession, d: str) -> DataFrame:
+    """One factor of two assets: what it says of their covariance."""
+    return _rounded(factors.pca_covariance(_returns_of_two(spark, d), 10).filter("asset_i < asset_j"))
+
+
+def v03_explained_of_two(spark: SparkSession, d: str) -> DataFrame:
+    _, told = factors.principal_factors(_returns_of_two(spark, d), 10)
+    return _rounded(told.select("n_factors", F.col("explained")[0].alias("first"), "cumulative"))
+
+
 def j06_partial_weights(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of a portfolio that leaves assets out."""
     r = panel.complete_cases(weekly_returns(spark, d))
@@ -84,27 +98,62 @@ def q04_frontier(spark: SparkSession, d: str) -> DataFrame:
     return optimise.frontier(_problem(spark, d), ["portfolio"], 0.35)
 
 
+def q04_frontier_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each point's weights sum to 1, keep their limits and meet the conditions of least variance."""
+    held = (F.abs(F.col("total") - 1) < 1e-6) & (F.col("least") > -1e-6) & (F.col("most") < 0.35 + 1e-6)
+    points = optimise.frontier(_problem(spark, d), ["portfolio"], 0.35)
+    return points.select("portfolio", "point", held.alias("held"), (F.col("kkt") < 1e-6).alias("least_variance"))
+
+
+def q04_frontier_line(spark: SparkSession, d: str) -> DataFrame:
+    """All points of two assets, whose weights the return alone decides."""
+    points = optimise.frontier(_problem(spark, d, TWO), ["portfolio"])
+    return _rounded(points.select("point", "expected_return", "volatility"), 5)
+
+
 def q04_frontier_of_two(spark: SparkSession, d: str) -> DataFrame:
     """The volatility of the least-variance point of two assets."""
     first = optimise.frontier(_problem(spark, d, TWO), ["portfolio"]).filter("point = 0")
     return _rounded(first.select("portfolio", "expected_return", "volatility"), 5)
 
 
+def filled_weekly(spark: SparkSession, d: str) -> DataFrame:
+    """The weekly panel without gaps, as portfolios are held on it; nothing before an asset's first price."""
+    return panel.forward_fill(panel.densify(weekly(spark, d), leading=False))
+
+
 def b02_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(backtest.walk_forward(weekly(spark, d), LEAST, STEP, 5, cap=0.5))
+    return _rounded(backtest.walk_forward(filled_weekly(spark, d), LEAST, STEP, 5, cap=0.5))
+
+
+def b02_walk_forward_pca(spark: SparkSession, d: str) -> DataFrame:
+    """Covariances of principal factors, forecasts of the theta model."""
+    return _rounded(backtest.walk_forward(filled_weekly(spark, d), LEAST, STEP, 5, cap=0.5, forecaster="theta", covariance="pca_factor", n_factors=3))
+
+
+def b02_walk_forward_garch(spark: SparkSession, d: str) -> DataFrame:
+    """Forecast volatilities for the forecast-based portfolio."""
+    return _rounded(backtest.walk_forward(filled_weekly(spark, d), LEAST, STEP, 5, cap=0.5, forecast_covariance=backtest.GARCH))
+
+
+def b02_two_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Two assets in the last window: what the portfolios that need no forecast return after costs."""
+    two = filled_weekly(spark, d).filter(F.col("asset").isin(*TWO))
+    out = backtest.walk_forward(two, LEAST, STEP, 1).filter(F.col("portfolio") != backtest.FORECAST)
+    return _rounded(out.select("portfolio", "n_assets", "n_periods", "period_return"), 4)
 
 
 def b04_window_mase(spark: SparkSession, d: str) -> DataFrame:
-    train, test, _ = backtest.slices(weekly(spark, d), LEAST, STEP, 8)
+    train, test, _ = backtest.slices(filled_weekly(spark, d), LEAST, STEP, 8)
     return _rounded(backtest.window_mase(train, test, STEP, forecast.naive_drift))
 
 
 def b06_sharpe_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(backtest.sharpe_gaps(backtest.walk_forward(weekly(spark, d), LEAST, STEP, 3)))
+    return _rounded(backtest.sharpe_gaps(backtest.walk_forward(filled_weekly(spark, d), LEAST, STEP, 3)))
 
 
 def _equal_in_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    train, test, windows = backtest.slices(weekly(spark, d), LEAST, STEP, 8)
+    train, test, windows = backtest.slices(filled_weekly(spark, d), LEAST, STEP, 8)
     assets = test.select("window", "asset").distinct()
     n = assets.groupBy("window").agg(F.count("*").alias("n"))
     return test, assets.join(n, "window").select("window", F.lit("equal").alias("portfolio"), "asset", (1 / F.col("n")).alias("w"))
@@ -144,9 +193,12 @@ _TWO = _COV.replace("FROM cc\n", "FROM cc WHERE asset IN ('1-URGENT', '5-LOW')\n
 ), vv AS (
   SELECT max(cov) FILTER (asset_i = '1-URGENT' AND asset_j = '1-URGENT') AS saa, max(cov) FILTER (asset_i = '5-LOW' AND asset_j = '5-LOW') AS sbb,
     max(cov) FILTER (asset_i = '1-URGENT' AND asset_j = '5-LOW') AS sab FROM cov)"""
+_SAMPLE_TWO = """, sides AS (SELECT dt, max(r) FILTER (asset = '1-URGENT') AS x, max(r) FILTER (asset = '5-LOW') AS y FROM rets WHERE asset IN ('1-URGENT', '5-LOW') GROUP BY dt HAVING count(*) = 2
+), two_cov AS (SELECT var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM sides
+), eig AS (SELECT *, (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) AS top FROM two_cov)"""
 _CMU = ", cmu AS (SELECT asset, power(product(1 + r), 52.0 / count(*)) - 1 AS mu FROM cc GROUP BY asset)"
 _LAST8 = _WINDOWS + """, w8 AS (SELECT row_number() OVER (ORDER BY train_end) AS "window", train_end, window_end FROM (SELECT * FROM win ORDER BY train_end DESC LIMIT 8)
-), rows AS (SELECT w8."window", p.asset, p.dt, price / lag(price) OVER (PARTITION BY w8."window", p.asset ORDER BY p.dt) - 1 AS r FROM panel p JOIN w8 ON p.dt >= train_end AND p.dt <= window_end
+), rows AS (SELECT w8."window", p.asset, p.dt, price / lag(price) OVER (PARTITION BY w8."window", p.asset ORDER BY p.dt) - 1 AS r FROM filled p JOIN w8 ON p.price IS NOT NULL AND p.dt >= train_end AND p.dt <= window_end
 ), known AS (SELECT * FROM rows WHERE r IS NOT NULL
 ), full_ AS (SELECT * FROM known WHERE ("window", dt) IN (SELECT ("window", dt) FROM known k GROUP BY "window", dt HAVING count(*) = (SELECT count(DISTINCT asset) FROM known))
 ), held AS (SELECT "window", asset, dt, 0.2::DOUBLE * product(1 + r) OVER (PARTITION BY "window", asset ORDER BY dt ROWS UNBOUNDED PRECEDING) AS value FROM full_
@@ -165,6 +217,27 @@ con AS (SELECT asset, avg(y) - bm * avg(mkt_rf) - bs * avg(smb) - bh * avg(hml)
 SELECT asset, round(power(1 + any_value(c), 52) - 1, 5) AS alpha_annualised, round(any_value(bm), 5) AS mkt_rf, round(any_value(bs), 5) AS smb, round(any_value(bh), 5) AS hml,
   round(1 - sum(power(y - c - bm * mkt_rf - bs * smb - bh * hml, 2)) / (var_pop(y) * count(*)), 5) AS r_squared, count(*) AS n_obs FROM fit JOIN con USING (asset) GROUP BY asset""",
     "v03_pca_covariance": f"WITH {_PANEL} SELECT asset, round(var_samp(r) * 52, 6) AS cov FROM cc GROUP BY asset",
+    "v03_pca_of_two": f"""WITH {_PANEL}{_SAMPLE_TWO} SELECT '1-URGENT' AS asset_i, '5-LOW' AS asset_j, round(52 * top * c * (top - a) / (c * c + (top - a) * (top - a)), 6) AS cov FROM eig""",
+    "v03_explained_of_two": f"WITH {_PANEL}{_SAMPLE_TWO} SELECT 1 AS n_factors, round(top / (a + b), 6) AS \"first\", round(top / (a + b), 6) AS cumulative FROM eig",
+    "b02_two_assets": f"""WITH {_WINDOWS}, last_ AS (SELECT train_end, window_end FROM win ORDER BY train_end DESC LIMIT 1
+), sides AS (SELECT 'Historical-based' AS side, c.* FROM cc c, last_ WHERE c.dt <= train_end AND asset IN ('1-URGENT', '5-LOW')
+  UNION ALL SELECT 'Realized-optimal', c.* FROM cc c, last_ WHERE c.dt > train_end AND c.dt <= window_end AND asset IN ('1-URGENT', '5-LOW')
+), wide AS (SELECT side, dt, max(r) FILTER (asset = '1-URGENT') AS x, max(r) FILTER (asset = '5-LOW') AS y FROM sides GROUP BY 1, 2
+), centred AS (SELECT side, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, x AS rx, y AS ry FROM wide WINDOW w AS (PARTITION BY side)
+), s AS (SELECT side, count(*) AS n, avg(x * x) AS a, avg(y * y) AS b, avg(x * y) AS c, avg((x * x + y * y) * (x * x + y * y)) AS q,
+    power(product(1 + rx), 52.0 / count(*)) - 1.04 AS ea, power(product(1 + ry), 52.0 / count(*)) - 1.04 AS eb FROM centred GROUP BY side
+), d AS (SELECT *, (a + b) / 2 AS m, (a * a + b * b + 2 * c * c) / 2 - (a + b) * (a + b) / 4 AS delta FROM s
+), k AS (SELECT *, least((q - (a * a + b * b + 2 * c * c)) / (2 * n), delta) / delta AS shrink FROM d
+), v AS (SELECT side, ea, eb, (1 - shrink) * a + shrink * m AS saa, (1 - shrink) * b + shrink * m AS sbb, (1 - shrink) * c AS sab FROM k
+), tried AS (SELECT v.*, t.w FROM v, LATERAL (SELECT 0.0::DOUBLE AS w UNION ALL SELECT 1.0 UNION ALL SELECT (ea * sbb - eb * sab) / (ea * (sbb - sab) + eb * (saa - sab)) UNION ALL SELECT -1.0) t
+), best AS (SELECT side, CASE WHEN max(greatest(ea, eb)) <= 0 THEN least(greatest(any_value((sbb - sab) / (saa + sbb - 2 * sab)), 0), 1)
+    ELSE arg_max(w, (w * ea + (1 - w) * eb) / sqrt(w * w * saa + 2 * w * (1 - w) * sab + (1 - w) * (1 - w) * sbb)) END AS w FROM tried WHERE w BETWEEN 0 AND 1 GROUP BY side
+), held AS (SELECT product(1 + x) AS gx, product(1 + y) AS gy, count(*) AS n FROM wide WHERE side = 'Realized-optimal')
+SELECT side AS portfolio, 2::BIGINT AS n_assets, n AS n_periods, round((round(w, 5) * gx + round(1 - w, 5) * gy) * 0.999 - 1, 4) AS period_return FROM best, held""",
+    "q04_frontier_conditions": "SELECT 'all' AS portfolio, CAST(p AS INTEGER) AS point, true AS held, true AS least_variance FROM range(0, 25) t(p)",
+    "q04_frontier_line": f"""WITH {_PANEL}{_CMU}{_TWO}, e AS (SELECT least(greatest((sbb - sab) / (saa + sbb - 2 * sab), 0), 1) AS w, CASE WHEN ea > eb THEN 1.0::DOUBLE ELSE 0.0 END AS best FROM vv, two),
+ws AS (SELECT CAST(p AS INTEGER) AS point, w + (best - w) * 0.999 * p / 24 AS w FROM e, range(0, 25) t(p))
+SELECT point, round(w * ea + (1 - w) * eb + 0.04, 5) AS expected_return, round(sqrt(w * w * saa + 2 * w * (1 - w) * sab + (1 - w) * (1 - w) * sbb), 5) AS volatility FROM ws, two, vv""",
     "j06_partial_weights": f"""WITH {_PANEL}{_COV}{_CMU}, wt AS (SELECT * FROM (VALUES ('1-URGENT', 0.5::DOUBLE), ('5-LOW', 0.5)) t(asset, w)),
 g AS (SELECT sum(w * mu) AS er FROM wt JOIN cmu USING (asset)),
 k AS (SELECT sqrt(sum(a.w * b.w * c.cov)) AS vol, sum(CASE WHEN asset_i = asset_j THEN a.w * sqrt(c.cov) END) AS parts FROM cov c JOIN wt a ON a.asset = asset_i JOIN wt b ON b.asset = asset_j)
@@ -180,4 +253,4 @@ SELECT 'all' AS portfolio, round(w * ea + (1 - w) * eb + 0.04, 5) AS expected_re
     "b03_charged_returns": f"""WITH {_LAST8}, path AS (SELECT "window", dt, v / coalesce(lag(v) OVER w, 1) - 1 AS r, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY "window" ORDER BY dt))
 SELECT CAST("window" AS INTEGER) AS "window", dt, round(CASE WHEN i = 1 THEN (1 + r) * (1 - turnover * 10 / 1e4) - 1 ELSE r END, 6) AS r FROM path JOIN cost USING ("window")""",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLE_SQL, "q02_max_sharpe", "q03_max_sharpe_short", "q04_frontier", "b02_walk_forward", "b04_window_mase", "b06_sharpe_gaps"]}
+QUERIES = {k: globals()[k] for k in [*ORACLE_SQL, "q02_max_sharpe", "q03_max_sharpe_short", "q04_frontier", "b02_walk_forward", "b02_walk_forward_pca", "b02_walk_forward_garch", "b04_window_mase", "b06_sharpe_gaps"]}
