@@ -569,22 +569,36 @@ def _holds(kind: int, part: str) -> bool:
     return 10 <= len(digits) <= 15 and part[0] in "+0(" and re.fullmatch(r"[+0-9 ().\-/]+", part) is not None
 
 
+def widened(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """A decoded span without marks around it, carried on to the ends of the token that it begins and ends in."""
+    while a < b and text[b - 1] in " .,;:\n":
+        b -= 1
+    while a < b and text[a] in " .,;:\n":
+        a += 1
+    if a == b:
+        return a, b
+    inside = (lambda c: c.isalnum() or c in "._%+-") if kind == 0 else str.isdigit
+    while a > 0 and inside(text[a - 1]):
+        a -= 1
+    if kind == 3 and a > 0 and text[a - 1] in "+(":
+        a -= 1
+    while b < len(text) and (text[b].isdigit() or kind == 0 and (text[b].isalnum() or text[b] in ".-" and text[b + 1 : b + 2].isalnum())):
+        b += 1
+    return a, b
+
+
 def find_spans(texts: list[str], w: dict[str, np.ndarray]) -> list[tuple[list[Span], list[Span]]]:
-    """Rule spans, and all spans, of each text."""
+    """Rule spans, and all spans, of each text. A decoded span is added if it holds what its kind must and, where it touches rule spans, is larger
+    than these: an address whose name the rules only know the end of has both spans."""
     out = []
     for text, labels in zip(texts, _labels_of(texts, w), strict=True):
-        base, decoded, more = base_spans(text), _spans_of(labels), []
-        taken = np.zeros(len(text) + 1 if decoded else 0, bool)
-        for a, _, b in base:
-            taken[a:b] = True
-        for a, k, b in decoded:
-            while a < b and text[b - 1] in " .,;:\n":
-                b -= 1
-            while a < b and text[a] in " .,;:\n":
-                a += 1
-            if a < b and not taken[a:b].any() and _holds(k, text[a:b]):
-                more.append((a, k, b))
-        out.append((base, sorted(base + more)))
+        base, more = base_spans(text), set()
+        for a, k, b in _spans_of(labels):
+            a, b = widened(k, text, a, b)
+            met = [(c, e) for c, _, e in base if c < b and a < e]
+            if a < b and _holds(k, text[a:b]) and all(a <= c and e <= b and (a, b) != (c, e) for c, e in met):
+                more.add((a, k, b))
+        out.append((base, sorted([*base, *more])))
     return out
 
 

@@ -118,6 +118,13 @@ def test_op2_tagger_learns(spark):
     for before in (0, 450, 500, 580, 640, 1100):
         ((base, every),) = pii.find_spans(["x " * (before // 2) + address + " und weiter" * 20], w)
         assert base == [] and every == [(before, 0, before + len(address))]
+    # a rule knows the end of the address only: both spans stay, and redaction leaves nothing of it
+    for before in ("", "mail ", "und so weiter " * 90):
+        text = before + "anna.müller@web.de und mehr"
+        ((base, every),) = pii.find_spans([text], w)
+        at = len(before)
+        assert base == [(at + 7, 0, at + 18)] and every == [(at, 0, at + 18), (at + 7, 0, at + 18)]
+        assert pii.redact(text, every) == before + "[EMAIL] und mehr"
     long = "und so weiter " * 5000 + "a.b@c.org" + " und weiter" * 5000
     ((base, every),) = pii.find_spans([long], w)
     assert base == every == [(70_000, 0, 70_009)]
@@ -131,10 +138,22 @@ def test_op2_spans_do_not_depend_on_other_texts():
     assert pii.find_spans(texts, w) == alone
 
 
-def test_op2_bound_skips_no_window():
-    """Where Viterbi is left out, outside throughout is its result."""
-    w, rng = pii.train(rounds=120), np.random.default_rng(3)
-    x = np.stack([pii.symbols("".join(rng.choice(list("abc de@.-+ 0129"), 200, p=[0.1] * 5 + [0.05] * 10))) for _ in range(300)])
+def test_op2_spans_reach_their_tokens_ends():
+    text = "x +49 (030) 1234567, (030) 123 45 678; jörg@exämple.de. 4111.1111.1111.1111"
+    for kind, whole in ((3, "+49 (030) 1234567"), (3, "(030) 123 45 678"), (0, "jörg@exämple.de"), (2, "4111.1111.1111.1111")):
+        a = text.index(whole)
+        b = a + len(whole)
+        for cut in ((a, b), (a + 1, b), (a, b - 1), (a - 1, b + 1 if b < len(text) else b), (a + 1, b - 2)):
+            assert pii.widened(kind, text, *cut) == (a, b), (whole, cut)
+
+
+def test_op2_bound_skips_no_window(spark):
+    """Where Viterbi is left out, outside throughout is its result; most windows of prose are such."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    w, rng = pii.train(pii.corpus_windows(docs.filter("doc_id % 5 <> 0")), rounds=pii.ROUNDS), np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc de@.-+ 0129"), 200, p=[0.1] * 5 + [0.05] * 10)) for _ in range(200)]
+    texts += [r.text[i : i + 200] for r in docs.filter("text is not null").limit(50).collect() for i in range(0, len(r.text) - 200, 400)]
+    x = np.stack([pii.symbols(t) for t in texts])
     emit = pii.emissions(x, w)
     skipped = pii._all_outside(emit, w["trans"])
     best = pii._viterbi(np.ascontiguousarray(emit.transpose(0, 2, 1)), w["trans"])
