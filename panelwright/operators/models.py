@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import forecast, moments
+from . import forecast, moments, recurrent
 from .forecast import Z
 
 #: Least history of a forecast, of a volatility model and of the unit root test (fixed values).
@@ -107,45 +107,68 @@ def _stable(p: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def _arma_errors(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors of an ARMA process, those before the series being 0."""
-    p, q, e = len(ar), len(ma), np.zeros(len(x))
-    base = x.copy()
-    for k in range(p):
-        base[k + 1 :] -= ar[k] * x[: -k - 1]
-    if not q:
-        return base
-    for t in range(len(x)):
-        e[t] = base[t] - sum(ma[k] * e[t - k - 1] for k in range(min(q, t)))
-    return e
+def _state(ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transition and shock of an ARMA process in state-space form; the first state is the series."""
+    size = max(len(ar), len(ma) + 1)
+    move, shock = np.diag(np.ones(size - 1), 1), np.zeros(size)
+    move[: len(ar), 0], shock[0], shock[1 : len(ma) + 1] = ar, 1.0, ma
+    return move, shock
+
+
+def innovations(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-step errors, their variances (as multiples of the shocks') and the state ahead of a stationary ARMA process, by the Kalman filter.
+
+    It starts from the stationary variance; once the state's variance stands still only the state moves on.
+    """
+    move, shock = _state(ar, ma)
+    size, noise = len(shock), np.outer(shock, shock)
+    p = np.linalg.solve(np.eye(size * size) - np.kron(move, move), noise.ravel()).reshape(size, size)
+    a, v, f, still = np.zeros(size), np.empty(len(x)), np.empty(len(x)), False
+    for t, value in enumerate(x):
+        if not still:
+            wide = p[0, 0]
+            gain = move @ p[:, 0] / wide
+            after = move @ p @ move.T + noise - np.outer(gain, gain) * wide
+            still, p = bool(np.abs(after - p).max() < 1e-13 * wide), after
+        v[t], f[t] = value - a[0], wide
+        a = move @ a + gain * v[t]
+    return v, f, a
+
+
+def likelihood(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, float]:
+    """Exact Gaussian log-likelihood of an ARMA process with the shocks' variance at its best, and that variance."""
+    v, f, _ = innovations(x, ar, ma)
+    variance = float(np.mean(v * v / f))
+    if not variance > 0:
+        return -np.inf, variance
+    return float(-0.5 * (len(x) * (np.log(2 * np.pi * variance) + 1) + np.log(f).sum())), variance
 
 
 def arima(y: np.ndarray, horizon: int, most: int = 3) -> Result:
-    """ARIMA(p, 1, q) without a constant, p and q up to ``most``, of least AIC; conditional sums of squares stand for the exact likelihood."""
-    x, n = np.diff(y), len(y) - 1
-    found = None
+    """ARIMA(p, 1, q) without a constant, p and q up to ``most``, of least AIC by the exact likelihood of the differences."""
+    x, found = np.diff(y), None
+    scale = x.std() or 1.0
     for p in range(most + 1):
         for q in range(most + 1):
             if p == q == 0:
                 continue
-            sse = lambda v: float((_arma_errors(x, _stable(v[:p]), -_stable(v[p:])) ** 2).sum())  # noqa: B023, E731
-            v = least(sse, np.full(p + q, 0.05), np.full(p + q, 0.3), 60 * (p + q))
-            s = sse(v)
-            if s > 0 and np.isfinite(s):
-                aic = n * np.log(2 * np.pi * s / n) + n + 2 * (p + q + 1)
-                if found is None or aic < found[0]:
-                    found = aic, _stable(v[:p]), -_stable(v[p:]), s / n
+            loss = lambda v: -likelihood(x / scale, _stable(v[:p]), -_stable(v[p:]))[0]  # noqa: B023, E731
+            v = least(loss, np.full(p + q, 0.05), np.full(p + q, 0.3), 60 * (p + q))
+            lowest = loss(v)
+            if np.isfinite(lowest) and (found is None or 2 * lowest + 2 * (p + q + 1) < found[0]):
+                found = 2 * lowest + 2 * (p + q + 1), _stable(v[:p]), -_stable(v[p:])
     if found is None:
         return None
-    _, ar, ma, variance = found
-    e, past, psi = list(_arma_errors(x, ar, ma)), list(x), [1.0]
-    for h in range(1, horizon + 1):
-        past.append(sum(a * past[-k - 1] for k, a in enumerate(ar)) + sum(m * e[-k - 1] for k, m in enumerate(ma)))
-        e.append(0.0)
-        psi.append((ma[h - 1] if h <= len(ma) else 0.0) + sum(a * psi[h - k - 1] for k, a in enumerate(ar) if h - k - 1 >= 0))
+    _, ar, ma = found
+    (move, shock), (_, _, state), (_, variance) = _state(ar, ma), innovations(x, ar, ma), likelihood(x, ar, ma)
+    steps, psi = [], []
+    for _ in range(horizon):
+        steps.append(state[0])
+        psi.append(shock[0])
+        state, shock = move @ state, move @ shock
     # a level's error sums those of its steps
-    spread = np.sqrt(variance * np.cumsum(np.cumsum(psi[:horizon]) ** 2))
-    return y[-1] + np.cumsum(past[n:]), 1.959963984540054 * spread
+    spread = np.sqrt(variance * np.cumsum(np.cumsum(psi) ** 2))
+    return y[-1] + np.cumsum(steps), 1.959963984540054 * spread
 
 
 class Boosted:
@@ -208,8 +231,12 @@ def regression(y: np.ndarray, horizon: int) -> Result:
 
 
 def network(y: np.ndarray, horizon: int) -> Result:
-    """A recurrent network is an optional backend; where its library is missing (as here) the drift forecast stands in."""
-    return None
+    """A recurrent network trained on the asset's own returns; its predicted returns are compounded, the band is that of the fit's errors."""
+    found = recurrent.returns_ahead(np.diff(y) / y[:-1], horizon)
+    if found is None:
+        return None
+    centre = y[-1] * np.cumprod(1 + found[0])
+    return centre, Z * centre * found[1] * np.sqrt(np.arange(1, horizon + 1))
 
 
 FORECASTERS: dict[str, Callable[[np.ndarray, int], Result]] = {"naive": drift, "ets": ets, "theta": theta, "arima": arima, "ml_regression": regression, "lstm": network}

@@ -34,8 +34,7 @@ def e05_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e06_network(spark: SparkSession, d: str) -> DataFrame:
-    """Without a library for it, the drift forecast."""
-    return _rounded(models.all_assets(weekly(spark, d), HORIZON, "lstm"), 4)
+    return _rounded(models.all_assets(weekly(spark, d), HORIZON, "lstm", told=True), 4)
 
 
 def e07_all_models(spark: SparkSession, d: str) -> DataFrame:
@@ -147,8 +146,6 @@ def s34_optimize(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE_SQL = {
-    "e06_network": f"""WITH {_DRIFT} SELECT asset, CAST(step AS INTEGER) AS step, round(last + drift * step, 4) AS forecast,
-  round(last + drift * step - 1.96::DOUBLE * sd * sqrt(step), 4) AS lower, round(last + drift * step + 1.96::DOUBLE * sd * sqrt(step), 4) AS upper FROM facts, range(1, {HORIZON + 1}) t(step)""",
     "e07_all_models": f"""WITH {_PANEL} SELECT model, asset, 3::BIGINT AS steps, true AS enclosed FROM (SELECT DISTINCT asset FROM panel),
   (VALUES ('arima'), ('ets'), ('lstm'), ('ml_regression'), ('naive'), ('theta')) t(model)""",
     "v05_fallback_covariance": f"""WITH {_PANEL}, short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY dt) AS i FROM rets) WHERE i <= 90)
@@ -169,4 +166,4 @@ SELECT sha256(string_agg(h, '' ORDER BY asset)) AS fingerprint FROM own""",
     "s34_forecast": f"""WITH {_DRIFT} SELECT asset, CAST(step AS INTEGER) AS step, round(last + drift * step, 2) AS forecast,
   round(last + drift * step - 1.96::DOUBLE * sd * sqrt(step), 2) AS lower, round(last + drift * step + 1.96::DOUBLE * sd * sqrt(step), 2) AS upper FROM facts, range(1, 6) t(step)""",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLE_SQL, "e02_ets", "e04_arima", "e05_regression", "v04_forecast_variances", "v05_garch_covariance", "v08_stationarity", "b05_single_window", "s34_optimize"]}
+QUERIES = {k: globals()[k] for k in [*ORACLE_SQL, "e02_ets", "e04_arima", "e05_regression", "e06_network", "v04_forecast_variances", "v05_garch_covariance", "v08_stationarity", "b05_single_window", "s34_optimize"]}

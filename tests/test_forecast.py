@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import forecast, models, retrieval
+from panelwright.operators import forecast, models, recurrent, retrieval
 
 
 def _prices(spark, series: dict):
@@ -88,3 +88,59 @@ def test_unit_roots_and_volatility():
     assert models.garch_variance(r, 10) ** 0.5 == pytest.approx(0.015, rel=0.15) and models.garch_variance(r[:99], 10) is None
     calm = np.concatenate([r, 0.3 * r])
     assert models.garch_variance(calm, 5) < 0.5 * calm.var()
+
+
+@pytest.mark.parametrize(("ar", "ma"), [([0.6], []), ([0.5, -0.3], [0.4]), ([], [0.7, 0.2]), ([0.2, 0.1, -0.4], [0.5, 0.3, -0.2])])
+def test_likelihood_is_that_of_the_whole_covariance(ar, ma):
+    """The filter's likelihood, forecasts and their errors against the Gaussian law of 60 points and the 5 after them."""
+    ar, ma = np.array(ar), np.array(ma)
+    rng, psi = np.random.default_rng(6), [1.0]
+    for j in range(1, 400):
+        psi.append((ma[j - 1] if j <= len(ma) else 0.0) + sum(a * psi[j - k - 1] for k, a in enumerate(ar) if j > k))
+    psi = np.array(psi)
+    lags = np.array([psi[: 400 - k] @ psi[k:] for k in range(65)])
+    cov = lags[np.abs(np.subtract.outer(range(65), range(65)))]
+    x = np.linalg.cholesky(cov)[:60, :60] @ rng.normal(size=60)
+    own = cov[:60, :60]
+    variance = x @ np.linalg.solve(own, x) / 60
+    want = -0.5 * (60 * np.log(2 * np.pi * variance) + np.linalg.slogdet(own)[1] + 60)
+    assert models.likelihood(x, ar, ma) == pytest.approx((want, variance), rel=1e-8)
+    _, _, state = models.innovations(x, ar, ma)
+    move, _ = models._state(ar, ma)
+    got = [(np.linalg.matrix_power(move, h) @ state)[0] for h in range(5)]
+    assert got == pytest.approx(list(cov[60:, :60] @ np.linalg.solve(own, x)), abs=1e-8)
+
+
+def test_arima_finds_the_order_of_its_process():
+    rng, x = np.random.default_rng(8), [0.0]
+    for e in rng.normal(size=400):
+        x.append(0.7 * x[-1] + e)
+    y = 100 + np.cumsum(x)
+    centre, band = models.arima(y, 6)
+    # an AR(1) of the steps: each is about 0.7 of the one before
+    steps = np.diff(np.concatenate([[y[-1]], centre]))
+    assert steps == pytest.approx(list(x[-1] * 0.7 ** np.arange(1, 7)), abs=0.35) and (np.diff(band) > 0).all()
+    assert band[0] == pytest.approx(1.96, rel=0.1)
+
+
+def test_network_gradient_and_forecast(spark):
+    rng = np.random.default_rng(9)
+    x, y, w = rng.normal(size=(7, 5)), rng.normal(size=7), recurrent.fresh(4, seed=1)
+    _, grads = recurrent.gradient(w, x, y)
+    for name, weights in w.items():
+        for at in np.ndindex(weights.shape):
+            old, losses = weights[at], []
+            for d in (1e-5, -1e-5):
+                weights[at] = old + d
+                losses.append(recurrent.gradient(w, x, y)[0])
+            weights[at] = old
+            assert grads[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=1e-7), (name, at)
+    swing = (100 + 5 * np.sin(np.arange(160) / 3)).tolist()
+    prices = _prices(spark, {"swing": swing, "short": swing[:80]})
+    first, again = ([tuple(r) for r in models.all_assets(prices, 4, "lstm", told=True).orderBy("asset", "step").collect()] for _ in range(2))
+    assert first == again and [r[-1] for r in first] == [False] * 4 + [True] * 4
+    drift = {(r["asset"], r["step"]): r["forecast"] for r in forecast.naive_drift(prices, 4).collect()}
+    ahead = 100 + 5 * np.sin(np.arange(160, 164) / 3)
+    for asset, step, centre, low, high, fitted in first:
+        assert low < centre < high and (centre == pytest.approx(drift[asset, step])) != fitted
+        assert not fitted or centre == pytest.approx(ahead[step - 1], abs=2)
