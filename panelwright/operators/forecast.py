@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import panel
+
 #: Normal quantile of the forecast bands (fixed value).
 Z = 1.96
 
@@ -74,6 +76,22 @@ def expanding_windows(prices: DataFrame, least: int, horizon: int, most: int | N
     return kept.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("dt")).alias("window"), F.col("dt").alias("train_end"), "window_end")
 
 
+def drift_states(prices: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(window, asset, last, drift, scale)`` at each window's training end: the last price, the mean step and the mean absolute step so far.
+
+    They are running aggregates, one pass over the panel; windows meet it at their ends' dates only.
+    """
+    so_far = Window.partitionBy("asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
+    dense = panel.densify(prices, leading=False)
+    steps = dense.withColumn("step", F.abs(F.col("price") - F.last("price", ignorenulls=True).over(before)))
+    last, first = F.last("price", ignorenulls=True).over(so_far), F.first("price", ignorenulls=True).over(so_far)
+    n = F.count("price").over(so_far)
+    drift = F.when(n > 1, (last - first) / (n - 1)).otherwise(0.0)
+    states = steps.select("asset", F.col("dt").alias("train_end"), last.alias("last"), drift.alias("drift"), F.avg("step").over(so_far).alias("scale"))
+    return states.filter("last is not null").join(windows.select("window", "train_end"), "train_end").drop("train_end")
+
+
 def window_returns(returns: DataFrame, windows: DataFrame) -> DataFrame:
     """``(window, asset, dt, r)``: the returns after each window's training end, up to its own end.
 

@@ -115,29 +115,43 @@ def _state(ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return move, shock
 
 
-def innovations(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-step errors, their variances (as multiples of the shocks') and the state ahead of a stationary ARMA process, by the Kalman filter.
+def innovations(x: np.ndarray, ar: np.ndarray, ma: np.ndarray, to_state: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """One-step errors, their variances (as multiples of the shocks') and the state ahead of a stationary, invertible ARMA process, by the Kalman filter.
 
-    It starts from the stationary variance; once the state's variance stands still only the state moves on.
+    It starts from the stationary variance. Once the state's variance stands still the errors follow the process's own recursion, which is
+    taken where the last state isn't asked for.
     """
     move, shock = _state(ar, ma)
-    size, noise = len(shock), np.outer(shock, shock)
+    size, noise, n = len(shock), np.outer(shock, shock), len(x)
     p = np.linalg.solve(np.eye(size * size) - np.kron(move, move), noise.ravel()).reshape(size, size)
-    a, v, f, still = np.zeros(size), np.empty(len(x)), np.empty(len(x)), False
-    for t, value in enumerate(x):
+    a, v, f, still = np.zeros(size), np.empty(n), np.ones(n), False
+    for t in range(n):
+        if still and not to_state and t >= size:
+            break
         if not still:
             wide = p[0, 0]
             gain = move @ p[:, 0] / wide
             after = move @ p @ move.T + noise - np.outer(gain, gain) * wide
-            still, p = bool(np.abs(after - p).max() < 1e-13 * wide), after
-        v[t], f[t] = value - a[0], wide
+            still, p = bool(np.abs(after - p).max() < 1e-12 * wide), after
+        v[t], f[t] = x[t] - a[0], wide
         a = move @ a + gain * v[t]
-    return v, f, a
+    else:
+        return v, f, a
+    f[t:] = wide
+    rest = x[t:].copy()
+    for k, c in enumerate(ar):
+        rest -= c * x[t - k - 1 : n - k - 1]
+    past, theta = v[:t].tolist(), ma.tolist()
+    for e in rest.tolist():
+        for k, c in enumerate(theta, 1):
+            e -= c * past[-k]
+        past.append(e)
+    return np.array(past), f, None
 
 
 def likelihood(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[float, float]:
     """Exact Gaussian log-likelihood of an ARMA process with the shocks' variance at its best, and that variance."""
-    v, f, _ = innovations(x, ar, ma)
+    v, f, _ = innovations(x, ar, ma, False)
     variance = float(np.mean(v * v / f))
     if not variance > 0:
         return -np.inf, variance
@@ -247,23 +261,31 @@ def register(name: str, model: Callable[[np.ndarray, int], Result]) -> None:
     FORECASTERS[name] = model
 
 
-def all_assets(prices: DataFrame, horizon: int, model: str = "naive", by: tuple[str, ...] = (), told: bool = False) -> DataFrame:
-    """``(*by, asset, step, forecast, lower, upper)`` of every asset by the named model; with ``told`` also ``fitted``: false where the drift forecast stands in."""
+def named(model: str) -> tuple[Callable[[np.ndarray, int], Result], int]:
+    """The model of that name and the prices it needs at least."""
     if model not in FORECASTERS:
         raise ValueError(f"no forecast model {model}")
-    fit, lowest = FORECASTERS[model], LEAST_NETWORK if model == "lstm" else LEAST
-    keys, kinds = [*by, "asset"], dict(prices.dtypes)
+    return FORECASTERS[model], LEAST_NETWORK if model == "lstm" else LEAST
+
+
+def one_series(y: np.ndarray, horizon: int, fit: Callable[[np.ndarray, int], Result], lowest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Forecast, half width of its band and whether ``fit`` made them; else, or below its least history, they are the drift's."""
+    found = None
+    if len(y) >= lowest:
+        try:
+            found = fit(y, horizon)
+        except (ArithmeticError, np.linalg.LinAlgError, ValueError):
+            found = None
+    fitted = found is not None and bool(np.isfinite(found[0]).all())
+    return (*(found if fitted else drift(y, horizon)), fitted)
+
+
+def all_assets(prices: DataFrame, horizon: int, model: str = "naive", by: tuple[str, ...] = (), told: bool = False) -> DataFrame:
+    """``(*by, asset, step, forecast, lower, upper)`` of every asset by the named model; with ``told`` also ``fitted``: false where the drift forecast stands in."""
+    (fit, lowest), keys, kinds = named(model), [*by, "asset"], dict(prices.dtypes)
 
     def one(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        y = table.sort_values("dt")["price"].to_numpy(float)
-        found = None
-        if len(y) >= lowest:
-            try:
-                found = fit(y, horizon)
-            except (ArithmeticError, np.linalg.LinAlgError, ValueError):
-                found = None
-        fitted = found is not None and bool(np.isfinite(found[0]).all())
-        centre, band = found if fitted else drift(y, horizon)
+        centre, band, fitted = one_series(table.sort_values("dt")["price"].to_numpy(float), horizon, fit, lowest)
         rows = {"step": np.arange(1, horizon + 1), "forecast": centre, "lower": centre - band, "upper": centre + band} | ({"fitted": fitted} if told else {})
         return pd.DataFrame({**dict(zip(keys, key, strict=True)), **rows})
 

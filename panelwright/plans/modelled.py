@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import backtest, models, optimise, panel
+from ..operators import backtest, extension, models, optimise, panel, retrieval
 from ..sources import stores
 from ..streaming import bars
 from .forecasts import HORIZON, LEAST, STEP, _DRIFT
@@ -104,13 +104,30 @@ def s29_tracked_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s30_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return stores.fingerprint(weekly(spark, d))
+    """Of the greatest price of each week, which any order of reading gives to the last bit."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    week = panel.period_end(F.to_date("o_orderdate"), "weekly")
+    return stores.fingerprint(orders.groupBy(F.col("o_orderpriority").alias("asset"), week.alias("dt")).agg(F.max("o_totalprice").alias("price")))
 
 
-def s31_synthetic_prices(spark: SparkSession, d: str) -> DataFrame:
-    """Volatility and rows of made prices, to one digit."""
-    r = panel.returns(stores.synthetic_prices(spark, 4, 3000)).filter("r is not null").groupBy("asset").agg(F.count("*").alias("n"), F.stddev_samp("r").alias("sd"))
-    return r.select("asset", "n", F.round(F.col("sd") * 252**0.5, 1).alias("volatility"))
+def s34_sql_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts from SQL text, by a table function over each asset's prices."""
+    extension.register(spark)
+    weekly(spark, d).createOrReplaceTempView("weekly_prices")
+    return _rounded(spark.sql(f"SELECT asset, step, forecast, lower, upper FROM price_forecast(TABLE(weekly_prices) PARTITION BY asset ORDER BY (dt), {HORIZON}, 'naive')"), 4)
+
+
+def s34_sql_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics from SQL text, as aggregates."""
+    extension.register(spark)
+    weekly_returns(spark, d).createOrReplaceTempView("weekly_returns_of_orders")
+    return _rounded(spark.sql("SELECT asset, sharpe_ratio(r, 0.04D, 52) AS sharpe_ratio, max_drawdown(r, dt) AS max_drawdown FROM weekly_returns_of_orders GROUP BY asset"), 5)
+
+
+def x07_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The share of documents whose judged text passes: here those that a label calls good."""
+    verdict = F.when(F.col("quality") == 1, F.lit("PASS: grounded")).when(F.col("quality") == 0, F.lit("FAIL: not supported"))
+    return _rounded(retrieval.verdict_rate(spark.read.parquet(f"{d}/labels.parquet").select(verdict.alias("verdict"))))
 
 
 def s32_csv_results(spark: SparkSession, d: str) -> DataFrame:
@@ -133,10 +150,6 @@ def x07_streamed_bars(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name)
 
 
-def s34_health(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.lit("ok").alias("status"))
-
-
 def s34_forecast(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(models.all_assets(weekly(spark, d), 5, "naive"), 2)
 
@@ -156,13 +169,18 @@ SELECT asset, round(var_samp(r) * 52, 6) AS cov FROM short GROUP BY asset""",
     "w11_rolling_length": f"WITH {_PANEL} SELECT asset, CAST(greatest(6, least(count(*) // 4, 13)) AS INTEGER) AS \"window\" FROM rets GROUP BY asset",
     "s28_chunk_store": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
     "s29_tracked_runs": f"WITH {_PANEL} SELECT 'run-1' AS run_id, 'naive' AS model, 2::BIGINT AS n_params, asset AS metric, round(max(price), 6) AS value FROM panel GROUP BY asset",
-    "s30_fingerprint": f"""WITH {_PANEL}, own AS (SELECT asset, sha256(asset || chr(10) || string_agg(strftime(dt, '%Y-%m-%d') || '|' || CAST(round(price * 100) AS BIGINT), chr(10) ORDER BY dt)) AS h FROM panel GROUP BY asset)
-SELECT sha256(string_agg(h, '' ORDER BY asset)) AS fingerprint FROM own""",
-    "s31_synthetic_prices": "SELECT printf('SYN%03d', i::INTEGER) AS asset, 2999::BIGINT AS n, 0.2::DOUBLE AS volatility FROM range(0, 4) t(i)",
+    "s30_fingerprint": """WITH week AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) + CAST((12 - isodow(o_orderdate)) % 7 AS INTEGER) AS dt, max(o_totalprice) AS price FROM orders GROUP BY 1, 2
+), own AS (SELECT sha256(asset || chr(10) || string_agg(strftime(dt, '%Y-%m-%d') || '|' || replace(printf('%a', price), 'p+', 'p'), chr(10) ORDER BY dt)) AS h FROM week GROUP BY asset
+), buckets AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM own GROUP BY h[:3]) SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM buckets""",
     "s32_csv_results": f"WITH {_PANEL} SELECT asset, dt, round(price, 6) AS price FROM panel",
     "x07_hourly_bars": "SELECT event_type AS asset, date_trunc('hour', ts) AS dt, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, count(*) AS n FROM events GROUP BY 1, 2",
     "x07_streamed_bars": "SELECT event_type AS asset, date_trunc('hour', ts) AS dt, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, count(*) AS n FROM events GROUP BY 1, 2",
-    "s34_health": "SELECT 'ok' AS status",
+    "s34_sql_forecast": f"""WITH {_DRIFT} SELECT asset, CAST(step AS INTEGER) AS step, round(last + drift * step, 4) AS forecast,
+  round(last + drift * step - 1.96::DOUBLE * sd * sqrt(step), 4) AS lower, round(last + drift * step + 1.96::DOUBLE * sd * sqrt(step), 4) AS upper FROM facts, range(1, {HORIZON + 1}) t(step)""",
+    "s34_sql_metrics": f"""WITH {_PANEL}, e AS (SELECT asset, dt, r, r - (power(1.04, 1.0 / 52) - 1) AS e, product(1 + r) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING) AS g FROM rets
+), f AS (SELECT *, g / greatest(max(g) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS fall FROM e)
+SELECT asset, round(avg(e) / stddev_samp(e) * sqrt(52), 5) AS sharpe_ratio, round(least(min(fall), 0), 5) AS max_drawdown FROM f GROUP BY asset""",
+    "x07_verdicts": "SELECT count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM labels",
     "s34_forecast": f"""WITH {_DRIFT} SELECT asset, CAST(step AS INTEGER) AS step, round(last + drift * step, 2) AS forecast,
   round(last + drift * step - 1.96::DOUBLE * sd * sqrt(step), 2) AS lower, round(last + drift * step + 1.96::DOUBLE * sd * sqrt(step), 2) AS upper FROM facts, range(1, 6) t(step)""",
 }

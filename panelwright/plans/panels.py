@@ -19,6 +19,11 @@ def weekly(spark: SparkSession, d: str) -> DataFrame:
     return panel.average_prices(orders, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"))
 
 
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return panel.average_prices(orders, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"), "daily")
+
+
 def weekly_benchmark(spark: SparkSession, d: str) -> DataFrame:
     orders = spark.read.parquet(f"{d}/orders.parquet")
     prices = panel.average_prices(orders, F.lit("all"), F.col("o_orderdate"), F.col("o_totalprice"))
@@ -43,6 +48,15 @@ def a01_monthly_last(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(panel.resample_last(weekly(spark, d), "monthly"))
 
 
+def a01_weekly_last(spark: SparkSession, d: str) -> DataFrame:
+    """The last daily average of each week."""
+    return _rounded(panel.resample_last(daily(spark, d), "weekly"))
+
+
+def a01_yearly_last(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(panel.resample_last(daily(spark, d), "yearly"))
+
+
 def w05_hourly_forward_fill(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
     hourly = events.groupBy(F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("dt")).agg(F.avg("value").alias("price"))
@@ -135,6 +149,7 @@ panel AS (
 ), cc AS (
   SELECT * FROM rets WHERE dt IN (SELECT dt FROM rets GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT asset) FROM rets))
 ), wts AS (SELECT 'equal' AS portfolio, asset, 1.0::DOUBLE / count(*) OVER () AS w FROM (SELECT DISTINCT asset FROM cc))"""
+_DAY = "day AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS dt, avg(o_totalprice) AS price FROM orders GROUP BY 1, 2)"
 _HOLD = _PANEL + """, held AS (
   SELECT c.asset, c.dt, w.w * product(1 + c.r) OVER (PARTITION BY c.asset ORDER BY c.dt ROWS UNBOUNDED PRECEDING) AS value FROM cc c JOIN wts w USING (asset)
 ), v AS (SELECT dt, sum(value) AS v FROM held GROUP BY dt
@@ -153,6 +168,8 @@ _RFP = "(power(1.04, 1.0 / 52) - 1)"
 
 ORACLE_SQL = {
     "a01_weekly_panel": f"WITH {_PANEL} SELECT asset, dt, round(price, 6) AS price FROM panel",
+    "a01_weekly_last": f"WITH {_DAY} SELECT asset, day.dt + CAST((12 - isodow(day.dt)) % 7 AS INTEGER) AS dt, round(arg_max(price, day.dt), 6) AS price FROM day GROUP BY asset, day.dt + CAST((12 - isodow(day.dt)) % 7 AS INTEGER)",
+    "a01_yearly_last": f"WITH {_DAY} SELECT asset, make_date(year(day.dt), 12, 31) AS dt, round(arg_max(price, day.dt), 6) AS price FROM day GROUP BY asset, year(day.dt)",
     "a01_monthly_last": f"WITH {_PANEL} SELECT asset, last_day(dt) AS dt, round(arg_max(price, dt), 6) AS price FROM panel GROUP BY 1, 2",
     "w05_hourly_forward_fill": """
 WITH p AS (SELECT event_type AS asset, date_trunc('hour', ts) AS dt, avg(value) AS price FROM events GROUP BY 1, 2),

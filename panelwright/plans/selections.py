@@ -119,14 +119,13 @@ def m21_mase(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mase(spark: SparkSession, d: str) -> DataFrame:
-    prices, windows = weekly(spark, d), _windows(spark, d)
-    train = prices.join(windows, prices["dt"] <= windows["train_end"]).select(F.struct("window", "asset").alias("key"), "dt", "price")
-    train = train.withColumnRenamed("key", "asset")
+    prices = weekly(spark, d)
     slices = selection.window_slices(prices, LEAST, STEP).filter("part = 1")
     step = F.row_number().over(metrics.Window.partitionBy("window", "asset").orderBy("dt")).alias("step")
-    actual = slices.select(F.struct("window", "asset").alias("asset"), step, F.col("price").alias("actual"))
-    scored = actual.join(forecast.naive_drift(train, STEP), ["asset", "step"])
-    return metrics.mase(train, scored).select("asset.window", "asset.asset", "mase")
+    ahead = F.col("last") + F.col("drift") * F.col("step")
+    scored = slices.select("window", "asset", step, "price").join(forecast.drift_states(prices, _windows(spark, d)), ["window", "asset"])
+    error = scored.groupBy("window", "asset").agg(F.avg(F.abs(F.col("price") - ahead)).alias("mae"), F.first("scale").alias("scale"))
+    return error.select("window", "asset", F.try_divide("mae", "scale").alias("mase"))
 
 
 def a09_window_mase(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,14 @@ Every parser takes a table of payload texts (one row for each answer of a provid
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import iso_of_compact, iso_of_rfc822, iso_utc, names_of, session_date
@@ -98,6 +103,23 @@ def provenance(filled: DataFrame, first: str) -> DataFrame:
 # ---------------------------------------------------------------- factors and macro series
 
 
+def zipped_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, member, i, line)`` of the text files in the ZIP archives of ``folder``; an archive is opened in a task, a line at a time."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+
+    def opened(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in tables:
+            for path, content in zip(t["path"], t["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.namelist():
+                        with io.TextIOWrapper(archive.open(member), "utf-8", errors="replace") as text:
+                            lines = enumerate(text)
+                            while part := list(itertools.islice(lines, 10_000)):
+                                yield pd.DataFrame({"file": path, "member": member, "i": [i for i, _ in part], "line": [x.rstrip("\r\n") for _, x in part]})
+
+    return found.mapInPandas(opened, "file string, member string, i long, line string")
+
+
 def factor_block(lines: DataFrame, columns: list[str]) -> DataFrame:
     """``(dt, *columns)`` as fractions: the first run of data lines of ``lines(i, line)``, which start with a date of 8 or 6 digits.
 
