@@ -6,9 +6,13 @@ given. The query counts as one more document of the index, as far as frequencies
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import written
+
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -83,36 +87,54 @@ def term_counts(chunks: DataFrame, stop_words: list[str] | None = None) -> DataF
     return kept.groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
 
 
-def similar_chunks(chunks: DataFrame, query: str | DataFrame, k: int, stop_words: list[str] | None = None) -> DataFrame:
-    """``(query_id, chunk_id, similarity)``: for each row of ``query(query_id, text)`` the ``k`` chunks of ``chunks(chunk_id, text)``
-    most like it, above 0; for a single text ``(chunk_id, similarity)``.
+class Index(NamedTuple):
+    """Written tables of a text collection: ``postings(chunk_id, term, n)``, ``vocabulary(term, df, idf)``, ``norms(chunk_id, square)``, and the number of documents with a query."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    norms: DataFrame
+    total: int
+
+
+def index_of(chunks: DataFrame, stop_words: list[str] | None = None) -> Index:
+    """Texts are read and cut once; a term's frequency, weights and the chunks' norms follow from the postings.
 
-    Each query counts on its own as one more document. Ties (to nine digits) keep the order of the ids. The frequencies of all terms
-    are an aggregate over (chunk, term); queries and chunks meet by term. A chunk's norm depends on the query only in the query's
-    own terms, whose share is exchanged in the sum.
+    The vocabulary grows slowly with the texts; it meets the postings term by term, where a term that most chunks hold is a skewed key with one row on
+    the other side, which Spark splits.
     """
+    postings = written(term_counts(chunks, stop_words), "postings")
+    total = chunks.count() + 1
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary = written(df.select("term", "df", (F.ln((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
+    weighted = postings.join(vocabulary, "term").groupBy("chunk_id").agg(F.sum((F.col("n") * F.col("idf")) ** 2).alias("square"))
+    return Index(postings, vocabulary, written(weighted, "norms"), total)
+
+
+def similar_chunks(chunks: DataFrame | Index, query: str | DataFrame, k: int, stop_words: list[str] | None = None) -> DataFrame:
+    """``(query_id, chunk_id, similarity)``: for each row of ``query(query_id, text)`` the ``k`` chunks of ``chunks(chunk_id, text)``, or of
+    their index, most like it, above 0; for a single text ``(chunk_id, similarity)``.
+
+    Each query counts on its own as one more document. Ties (to nine digits) keep the order of the ids. Queries and chunks meet by
+    term. A chunk's norm depends on the query only in the query's own terms, whose share is exchanged in the sum.
+    """
+    index = chunks if isinstance(chunks, Index) else index_of(chunks, stop_words)
+    spark = index.postings.sparkSession
     if isinstance(query, str):
-        one = chunks.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("text"))
-        return similar_chunks(chunks, one, k, stop_words).orderBy(F.round("similarity", 9).desc(), "chunk_id").drop("query_id")
+        one = spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("text"))
+        return similar_chunks(index, one, k, stop_words).orderBy(F.round("similarity", 9).desc(), "chunk_id").drop("query_id")
     asked = term_counts(query.select(F.col("query_id").alias("chunk_id"), "text"), stop_words)
     asked = asked.select(F.col("chunk_id").alias("query_id"), "term", F.col("n").alias("q"))
-    counts = term_counts(chunks, stop_words)
-    total = F.broadcast(chunks.agg((F.count("*") + 1).alias("total")))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = lambda seen: F.ln((1 + F.col("total")) / (1 + seen)) + 1
-    plain = df.join(total).select("term", idf(F.col("df")).alias("idf"))
     # with the query as a document its terms are in one document more
-    own = asked.join(df, "term", "left").join(total).select(
-        "query_id", "term", "q", idf(F.coalesce("df", F.lit(0)) + 1).alias("own"), idf(F.coalesce("df", F.lit(0))).alias("idf")
-    )
+    idf = lambda seen: F.ln((1 + F.lit(index.total)) / (1 + seen)) + 1
+    own = asked.join(index.vocabulary, "term", "left").select("query_id", "term", "q", idf(F.coalesce("df", F.lit(0)) + 1).alias("own"), idf(F.coalesce("df", F.lit(0))).alias("idf"))
+    own = written(own, "asked")
     q_norm = own.groupBy("query_id").agg(F.sqrt(F.sum((F.col("q") * F.col("own")) ** 2)).alias("q_norm"))
-    norms = counts.join(plain, "term").groupBy("chunk_id").agg(F.sum((F.col("n") * F.col("idf")) ** 2).alias("square"))
-    pairs = counts.join(own, "term").groupBy("query_id", "chunk_id").agg(
+    pairs = index.postings.join(own, "term").groupBy("query_id", "chunk_id").agg(
         F.sum(F.col("n") * F.col("q") * F.col("own") ** 2).alias("dot"),
         F.sum(F.col("n") ** 2 * (F.col("own") ** 2 - F.col("idf") ** 2)).alias("more"),
     )
     norm = F.sqrt(F.col("square") + F.col("more")) * F.col("q_norm")
-    scored = pairs.filter("dot > 0").join(norms, "chunk_id").join(q_norm, "query_id").select(
+    scored = pairs.filter("dot > 0").join(index.norms, "chunk_id").join(q_norm, "query_id").select(
         "query_id", "chunk_id", F.try_divide(F.col("dot"), norm).alias("similarity")
     )
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "chunk_id"))
