@@ -469,25 +469,26 @@ def decode(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None =
     emit, labels = emissions(x, w, length), np.zeros(x.shape, np.uint8)
     left = np.flatnonzero(~_all_outside(emit, w["trans"]))
     if len(left):
-        labels[left] = _viterbi(np.ascontiguousarray(emit[:, :, left].transpose(0, 2, 1)), w["trans"])
+        labels[left] = _viterbi(np.ascontiguousarray(emit[:, :, left]), w["trans"])
     return labels
 
 
 def _viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best label sequences (row, time) of scores (time, row, label)."""
-    steps, n, k = emit.shape
-    score = emit[0].copy()
-    score[:, 2::2] += _FORBIDDEN
-    best = np.zeros((steps, n, k), np.int8)
+    """Best label sequences (row, time) of scores (time, label, row); at ties the first label before.
+
+    The way forward keeps scores only; the way back finds the label before from them, for the labels that it passes.
+    """
+    steps, k, n = emit.shape
+    score, moves, tried = emit.copy(), np.ascontiguousarray(trans)[:, :, None], np.empty((k, k, n), emit.dtype)
+    score[0, 2::2] += _FORBIDDEN
     for t in range(1, steps):
-        all_ = score[:, :, None] + trans
-        best[t] = all_.argmax(1)
-        score = all_.max(1) + emit[t]
-    labels = np.zeros((n, steps), np.uint8)
-    labels[:, -1] = score.argmax(1)
+        np.add(score[t - 1][:, None], moves, out=tried)
+        score[t] += np.maximum.reduce(tried, 0)
+    labels = np.zeros((steps, n), np.uint8)
+    labels[-1] = score[-1].argmax(0)
     for t in range(steps - 1, 0, -1):
-        labels[:, t - 1] = best[t][np.arange(n), labels[:, t]]
-    return labels
+        labels[t - 1] = (score[t - 1] + trans[:, labels[t]]).argmax(0)
+    return labels.T
 
 
 def quality(x: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, tuple[float, float]]:
