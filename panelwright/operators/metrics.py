@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .moments import pair_moments
+
 
 def periodic_rate(annual: float, periods: int) -> float:
     return (1 + annual) ** (1 / periods) - 1
@@ -108,12 +110,19 @@ def charge_first_period(path: DataFrame, costs: DataFrame, bps: float) -> DataFr
 
 
 def correlation(returns: DataFrame) -> DataFrame:
-    """``(asset_i, asset_j, corr)`` on pairwise complete dates, i <= j: pairs are made from one row for each date."""
-    dates = returns.filter("r is not null").groupBy("dt").agg(F.collect_list(F.struct("asset", "r")).alias("v"))
-    left = dates.select("v", F.explode("v").alias("a"))
-    pairs = left.select("a", F.explode(F.filter("v", lambda x: x["asset"] >= F.col("a")["asset"])).alias("b"))
-    by = pairs.groupBy(F.col("a.asset").alias("asset_i"), F.col("b.asset").alias("asset_j"))
-    return by.agg(F.corr("a.r", "b.r").alias("corr"))
+    """``(asset_i, asset_j, corr)`` on pairwise complete dates, i <= j, from products of blocks of assets; null where either is constant there."""
+    known = returns.filter("r is not null")
+    # an asset's mean is taken off first, so that the sums of squares don't cancel
+    centred = known.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("asset")))
+    n = F.col("n")
+
+    def spread(total: str, squares: str) -> Column:
+        value = n * F.col(squares) - F.col(total) * F.col(total)
+        return F.when(value > 1e-13 * n * F.col(squares), value)
+
+    top = n * F.col("s") - F.col("sx") * F.col("sy")
+    corr = F.try_divide(top, F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
+    return pair_moments(centred, []).select("asset_i", "asset_j", corr.alias("corr"))
 
 
 def rolling_sharpe(returns: DataFrame, window: int, periods: int = 52, rf: float = 0.04) -> DataFrame:

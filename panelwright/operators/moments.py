@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Assets of a block: a task holds two blocks over ten years of dates and the products of their assets.
+BLOCK = 256
+
+_SUMS = ("s", "sx", "sy", "sxx", "syy")
 
 
 def historical_mu(returns: DataFrame, periods: int = 52, by: tuple[str, ...] = ()) -> DataFrame:
@@ -12,17 +20,59 @@ def historical_mu(returns: DataFrame, periods: int = 52, by: tuple[str, ...] = (
     return known.groupBy(*by, "asset").agg((F.pow(F.product(1 + F.col("r")), F.lit(float(periods)) / F.count("*")) - 1).alias("mu"))
 
 
-def pair_sums(values: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, asset_i, asset_j, s, n)``: sums over dates of the products x_i x_j of ``values(*by, asset, dt, x)``, both triangles.
+def pair_moments(values: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, asset_i, asset_j, n, s, sx, sy, sxx, syy)`` with asset_i <= asset_j, for pairs of assets that share a date.
 
-    Dates are gathered as one row of (assets, values) each, which is what a cross section is; pairs are made from that row and
-    summed in the task before they are shuffled, so the rows of a date aren't shuffled twice.
+    ``values(*by, asset, dt, x)`` gives, over the shared dates, their number and the sums of x_i x_j, x_i, x_j and the squares. Assets
+    are dealt into blocks of about ``BLOCK`` by hash. A task multiplies two blocks over ten years of dates as matrices, so a value is
+    shuffled once for each block and a pair once for each ten years, whatever the number of dates or the size of a ``by`` group. Null
+    values count for nothing; a value that isn't finite makes the sums of its pairs NaN.
     """
-    row = F.collect_list(F.struct("asset", "x"))
-    dates = values.filter("x is not null").groupBy(*by, "dt").agg(row.alias("v"))
-    left = dates.select(*by, "v", F.explode("v").alias("a"))
-    pairs = left.select(*by, F.col("a.asset").alias("asset_i"), F.col("a.x").alias("xi"), F.explode("v").alias("b"))
-    return pairs.groupBy(*by, "asset_i", F.col("b.asset").alias("asset_j")).agg(F.sum(F.col("xi") * F.col("b.x")).alias("s"), F.count("*").alias("n"))
+    kinds = {f.name: f.dataType for f in values.schema}
+    known = values.filter("x is not null").select(*by, "asset", "dt", F.col("x").cast("double").alias("x"))
+    blocks = known.agg(F.greatest(F.lit(1), F.ceil(F.countDistinct("asset") / BLOCK)).cast("int").alias("blocks"))
+    dealt = known.join(F.broadcast(blocks)).withColumn("block", F.pmod(F.xxhash64("asset"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *by, "asset", "dt", "x", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.floor(F.year("dt") / 10).alias("decade")
+    )
+
+    def multiply(table: pa.Table) -> pa.Table:
+        table = table.sort_by("asset").combine_chunks()  # so that an earlier place is a lesser name
+        asset, date = (table.column(c).combine_chunks().dictionary_encode("encode") for c in ("asset", "dt"))
+        asset, date = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (asset, date))
+        at = date.indices.to_numpy(), asset.indices.to_numpy()
+        block = np.zeros(len(asset.dictionary), int)
+        block[at[1]] = table.column("block").to_numpy()
+        x, q, m, bad = np.zeros((4, len(date.dictionary), len(block)))
+        value = table.column("x").to_numpy()
+        finite = np.isfinite(value)
+        np.add.at(x, at, np.where(finite, value, 0))
+        np.add.at(q, at, np.where(finite, value, 0) ** 2)
+        np.add.at(m, at, 1)
+        np.add.at(bad, at, ~finite)
+        n, spoilt = m.T @ m, bad.T @ m
+        apart = table.column("low")[0] != table.column("high")[0]
+        wanted = block[:, None] != block if apart else np.ones_like(n, bool)
+        i, j = np.nonzero(np.triu((n > 0) & wanted))
+        clean = np.where((spoilt + spoilt.T)[i, j] > 0, np.nan, 1.0)
+        sx, sxx = x.T @ m, q.T @ m
+        sums = [(x.T @ x)[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i]]
+        return pa.table(
+            [*(pa.repeat(table.column(c)[0], len(i)) for c in by), asset.dictionary.take(pa.array(i)), asset.dictionary.take(pa.array(j))]
+            + [pa.array(n[i, j].astype(np.int64)), *(pa.array(v * clean) for v in sums)],
+            names=[*by, "asset_i", "asset_j", "n", *_SUMS],
+        )
+
+    fields = [*((c, kinds[c]) for c in by), ("asset_i", kinds["asset"]), ("asset_j", kinds["asset"]), ("n", T.LongType()), *((c, T.DoubleType()) for c in _SUMS)]
+    parts = cells.groupBy(*by, "low", "high", "decade").applyInArrow(multiply, T.StructType([T.StructField(*f) for f in fields]))
+    return parts.groupBy(*by, "asset_i", "asset_j").agg(*(F.sum(c).alias(c) for c in ("n", *_SUMS)))
+
+
+def pair_sums(values: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, asset_i, asset_j, s, n)``: sums over dates of the products x_i x_j of ``values(*by, asset, dt, x)``, both triangles."""
+    pair, turned = F.struct("asset_i", "asset_j"), F.struct(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"))
+    both = F.when(F.col("asset_i") == F.col("asset_j"), F.array(pair)).otherwise(F.array(pair, turned))
+    return pair_moments(values, by).select(*by, F.inline(both), "s", "n")
 
 
 def ledoit_wolf(returns: DataFrame, periods: int = 52, by: tuple[str, ...] = ()) -> DataFrame:
