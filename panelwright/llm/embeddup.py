@@ -12,7 +12,9 @@ flooded, which finds the rest of a dense group. Links are confirmed by the cosin
 Vectors are scaled by a power of two to a largest part between 1/2 and 1, so that no square overflows or vanishes. Exactly equal
 vectors are one node with a weight, so groups of copies of any size cost one vector. A node is known by a 64-bit hash of label,
 dimension and vector. A shard's graph and vectors are a file in the shared folder; only file names are joined, and a task reads
-the files of its pairs. It hands on each vector's sum of weights and a star for each local component, not the pairs.
+the files of its pairs. Queries run in blocks of ``QUERIES``, and a pair of vectors that link is one bit of the task's matrix of two
+shards (8 MB), so a group in which all vectors link with all takes no more memory than one without links. The task hands on each
+vector's sum of weights and a star for each local component, not the pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite parts, and those with null label or id,
 link with nothing: 0 links, component of their own (null for a null id). Different dimensions don't link.
@@ -23,11 +25,12 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, open_store, shared_dir
@@ -35,6 +38,7 @@ from .graph import components
 from .hnsw import Hnsw
 
 THRESHOLD, SHARD, EF, WIDEST, AUDIT, NEAREST = 0.98, 8192, 96, 1024, 64, 0.98
+QUERIES, READS = 256, 16  # QUERIES is a multiple of 8
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
@@ -91,74 +95,122 @@ def _shards(nodes: DataFrame, folder: str) -> DataFrame:
 
 
 class Shard:
-    def __init__(self, uri: str):
+    def __init__(self, nodes: np.ndarray, reps: np.ndarray, weights: np.ndarray, vectors: np.ndarray, levels: np.ndarray, links: list[np.ndarray]):
+        self.nodes, self.reps, self.weights, self.unit = nodes, reps, weights, _unit(vectors)
+        self.graph = Hnsw(self.unit.astype(np.float32), levels, links)
+
+    @classmethod
+    def read(cls, uri: str) -> Shard:
         fs, path = open_store(uri)
         with fs.open_input_stream(path, compression=None) as source:
             x = np.load(io.BytesIO(source.read()))
-        self.nodes, self.reps, self.weights = x["nodes"], x["reps"], x["weights"]
-        self.unit = _unit(x["vectors"])
         links = [x[f"l{i}"] for i in range(sum(k[0] == "l" and k[1:].isdigit() for k in x.files))]
-        self.graph = Hnsw(self.unit.astype(np.float32), x["levels"], links)
-
-    def hits(self, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """``(query, own)`` index pairs with a cosine of at least ``threshold``, among them the query itself if it is here."""
-        n, ef, q32 = len(self.reps), EF, q.astype(np.float32)
-        asked = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-        exact = q[asked] @ self.unit.T
+        return cls(x["nodes"], x["reps"], x["weights"], x["vectors"], x["levels"], links)
+
+    def _found(self, q: np.ndarray, ef: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which vectors of the shard each query links with (query x vector), and the similarities of its beam."""
+        q32 = q.astype(np.float32)
+        ids, sims = self.graph.search(q32, min(ef, len(self.reps)))
+        hit = np.zeros((len(q), len(self.reps)), bool)
+        for i in np.flatnonzero((sims >= threshold - 1e-4).any(1)).tolist():
+            mine = ids[i][(sims[i] >= threshold - 0.04) & (ids[i] >= 0)]
+            hit[i, self.graph.flood(q32[i], mine, threshold - 0.04)] = True
+        rows, cols = np.nonzero(hit)
+        step = max(1, 4_000_000 // q.shape[1])
+        for a in range(0, len(rows), step):
+            r, c = rows[a : a + step], cols[a : a + step]
+            hit[r, c] = np.einsum("ij,ij->i", q[r], self.unit[c]) >= threshold
+        return hit, sims
+
+    def beam(self, q: np.ndarray, threshold: float) -> int | None:
+        """The first beam that passes the audit of ``AUDIT`` of the queries, or None."""
+        asked = q[np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))]
+        exact = asked @ self.unit.T
         np.putmask(exact, exact > 1 - 1e-12, -1.0)  # itself is no test
+        ef = EF
         while True:
-            ids, sims = self.graph.search(q32, min(ef, n))
-            rows, cols = np.nonzero((sims >= threshold - 1e-4) & (ids >= 0))
-            found = [(rows, ids[rows, cols])]
-            for i in np.unique(rows).tolist():
-                mine = ids[i][(sims[i] >= threshold - 0.04) & (ids[i] >= 0)]
-                every = self.graph.flood(q32[i], mine, threshold - 0.04)
-                found.append((np.full(len(every), i), every))
-            pairs = np.unique(np.concatenate([r * n + c for r, c in found]))
-            rows, cols = pairs // n, pairs % n
-            cos = np.empty(len(rows))
-            for a in range(0, len(rows), 200_000):
-                cos[a : a + 200_000] = np.einsum("ij,ij->i", q[rows[a : a + 200_000]], self.unit[cols[a : a + 200_000]])
-            ok = cos >= threshold
-            rows, cols = rows[ok], cols[ok]
-            itself = sims[asked] > 1 - 1e-6
-            best = np.where(itself & (np.cumsum(itself, 1) == 1), -2.0, sims[asked]).max(1)
+            hit, sims = self._found(asked, ef, threshold)
+            itself = sims > 1 - 1e-6
+            best = np.where(itself & (np.cumsum(itself, 1) == 1), -2.0, sims).max(1)
             reached = best >= exact.max(1) - 0.01
-            if reached.mean() >= NEAREST and not self._missed(exact, asked, rows, cols, threshold):
-                return rows, cols
-            if ef >= min(n, WIDEST):
-                break
+            if reached.mean() >= NEAREST and not (~hit & (exact >= threshold + 1e-12)).any():
+                return ef
+            if ef >= min(len(self.reps), WIDEST):
+                return None
             ef *= 2
-        # parts of the graph that no walk reaches: all of the shard, in blocks
-        blocks = [np.nonzero(q[a : a + 512] @ self.unit.T >= threshold) for a in range(0, len(q), 512)]
-        return np.concatenate([r + 512 * i for i, (r, _) in enumerate(blocks)]), np.concatenate([c for _, c in blocks])
 
-    @staticmethod
-    def _missed(exact, asked, rows, cols, threshold) -> bool:
-        i, j = np.nonzero(exact >= threshold + 1e-12)
-        n = exact.shape[1]
-        return bool(len(np.setdiff1d(asked[i] * n + j, rows * n + cols)))
+    def hits(self, q: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Blocks of ``QUERIES`` of the queries: the first's place and which of the shard's vectors each links with, among them itself if it is here."""
+        ef = self.beam(q, threshold)
+        for a in range(0, len(q), QUERIES):
+            own = q[a : a + QUERIES]
+            # without a beam there are parts of the graph that no walk reaches: all of the shard
+            yield a, own @ self.unit.T >= threshold if ef is None else self._found(own, ef, threshold)[0]
+
+
+class Links:
+    """Which of ``n`` vectors link with which of ``m`` others: a bit for each pair, whatever the number of links."""
+
+    def __init__(self, n: int, m: int):
+        self.m, self.bits = m, np.zeros((n, -(-m // 8)), np.uint8)
 
+    def add_rows(self, at: int, hit: np.ndarray) -> None:
+        self.bits[at : at + len(hit)] |= np.packbits(hit, axis=1)
 
-def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of ``n`` nodes reaches over links (a, b)."""
-    label = np.arange(n)
+    def add_columns(self, at: int, hit: np.ndarray) -> None:
+        packed = np.packbits(hit.T, axis=1)
+        self.bits[:, at // 8 : at // 8 + packed.shape[1]] |= packed
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for a in range(0, len(self.bits), QUERIES):
+            yield a, np.unpackbits(self.bits[a : a + QUERIES], axis=1, count=self.m).astype(bool)
+
+
+def _least_labels(links: Links, first: int) -> np.ndarray:
+    """The least place that each vector reaches over links; those of ``links``' columns begin at place ``first``."""
+    label = np.arange(first + links.m)
     while True:
-        low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        for at, hit in links.blocks():
+            a, b = np.nonzero(hit)
+            a, b = a + at, b + first
+            low = np.minimum(new[a], new[b])
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
+def compare(one: Shard, two: Shard, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector of both shards (of one, if they are the same) the sum of weights it links with and the least place in its component."""
+    n, m, same = len(one.reps), len(two.reps), one is two
+    links = Links(n, m)
+    for at, hit in two.hits(one.unit, threshold):
+        links.add_rows(at, hit)
+        if same:
+            links.add_columns(at, hit)
+    if not same:
+        for at, hit in one.hits(two.unit, threshold):
+            links.add_columns(at, hit)
+    left, right = np.zeros(n), np.zeros(m)
+    weights = one.weights.astype(float), two.weights.astype(float)
+    for at, hit in links.blocks():
+        left[at : at + len(hit)] = hit @ weights[1]
+        right += weights[0][at : at + len(hit)] @ hit
+    if same:
+        own = np.array([hit[i, at + i] for at, hit in links.blocks() for i in range(len(hit))])
+        return left - own * weights[0], _least_labels(links, 0)
+    return np.concatenate([left, right]), _least_labels(links, n)
+
+
 def _linked(shards: DataFrame, folder: str, threshold: float) -> DataFrame:
     """``(node, rep, links, other)``: weights of the linked nodes, by pair of shards, and a link that spans the local component."""
     left = shards.select("label", "dim", F.col("file").alias("a"))
     right = shards.select("label", "dim", F.col("file").alias("b"))
-    pairs = materialise(left.join(right, ["label", "dim"]).filter("a <= b").select("a", "b"), "shard-pairs")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    pairs = materialise(left.join(right, ["label", "dim"]).filter("a <= b").select("a", "b", place.alias("place")), "shard-pairs")
 
     def tasks(batches):
         kept: dict[str, Shard] = {}
@@ -167,42 +219,27 @@ def _linked(shards: DataFrame, folder: str, threshold: float) -> DataFrame:
             for old in [x for x in kept if x not in (name, other)]:
                 del kept[old]
             if name not in kept:
-                kept[name] = Shard(f"{folder}/{name}")
+                kept[name] = Shard.read(f"{folder}/{name}")
             return kept[name]
 
         for batch in batches:
             for name_a, name_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 one, two = shard(name_a, name_b), shard(name_b, name_a)
-                same = one is two
-                b, a = two.hits(one.unit, threshold)[::-1]
-                if same:
-                    n, keys = len(one.reps), np.concatenate([a * len(one.reps) + b, b * len(one.reps) + a])
-                    keys = np.unique(keys)
-                    a, b = keys // n, keys % n
-                    a, b = a[a != b], b[a != b]
-                    reps, nodes = one.reps, one.nodes
-                    sums = np.bincount(a, one.weights[b].astype(float), minlength=n)
-                else:
-                    n = len(two.reps)
-                    b2, a2 = one.hits(two.unit, threshold)
-                    keys = np.unique(np.concatenate([a * n + b, a2 * n + b2]))
-                    a, b = keys // n, keys % n
-                    sums = np.concatenate([
-                        np.bincount(a, two.weights[b].astype(float), minlength=len(one.reps)),
-                        np.bincount(b, one.weights[a].astype(float), minlength=n),
-                    ])
-                    b = b + len(one.reps)
-                    reps, nodes = np.concatenate([one.reps, two.reps]), np.concatenate([one.nodes, two.nodes])
-                label = _least_labels(len(reps), a, b)
+                sums, label = compare(one, two, threshold)
+                both = [one] if one is two else [one, two]
+                reps, nodes = np.concatenate([x.reps for x in both]), np.concatenate([x.nodes for x in both])
                 some = np.flatnonzero(sums > 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes[some]), pa.array(reps[some]), pa.array(sums[some].astype(np.int64)), pa.array(reps[label[some]])],
                     names=["node", "rep", "links", "other"],
                 )
 
-    # the rows are names only: a number of tasks that is given isn't lowered to fit their few bytes
-    dealt = pairs.repartition(max(1, min(pairs.count(), 100_000)), "a", "b").sortWithinPartitions("a", "b")
-    return dealt.mapInArrow(tasks, "node long, rep long, links long, other long")
+    # the rows are names only: a number of tasks that is given isn't lowered to fit their few bytes. Where there are more pairs than
+    # the cluster has room for at once, a task has up to READS pairs of one shard, which it reads once
+    n, room = pairs.count(), 4 * shards.sparkSession.sparkContext.defaultParallelism
+    each = min(READS, max(1, n // room))
+    dealt = pairs.withColumn("turn", F.floor((F.col("place") - 1) / each)).repartition(max(1, min(-(-n // each), 100_000)), "a", "turn")
+    return dealt.sortWithinPartitions("a", "b").select("a", "b").mapInArrow(tasks, "node long, rep long, links long, other long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
