@@ -38,11 +38,11 @@ def indexed_text(ticker: Column, text: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(ticker, F.lit("")), text)
 
 
-def formatted_chunks(chunks: DataFrame, order: str) -> DataFrame:
-    """``(block)``: a line for each chunk in the given order, for a prompt."""
+def formatted_chunks(chunks: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, block)``: a line for each chunk in the given order, for a prompt. A block is one string: give chunks that a search has found, by query."""
     line = F.concat(F.lit("  - ["), "provider", F.lit("/"), "source", F.lit(", "), "ticker", F.lit("] "), "text")
-    lines = chunks.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x"))
-    return lines.filter(F.size("x") > 0).select(F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("block"))
+    lines = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("x"))
+    return lines.filter(F.size("x") > 0).select(*by, F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("block"))
 
 
 def sentiment_texts(articles: DataFrame, order: str = "article_id") -> DataFrame:

@@ -22,25 +22,33 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     provider = F.when(i % 7 == 0, "SEC EDGAR").when(i % 7 == 1, "TED").otherwise("NewsAPI")
     title = F.when(i % 5 != 0, F.concat("source", F.lit("  News"))).otherwise(F.when(i % 10 == 0, "").otherwise(F.lit(None).cast("string")))
     return docs.select(
-        i.alias("article_id"), F.upper("lang").alias("ticker"), title.alias("title"), F.substring("text", 1, 40).alias("description"), F.when(i % 2 == 0, F.col("source")).alias("source"),
+        i.alias("article_id"), F.upper("lang").alias("ticker"), title.alias("title"), F.col("text").alias("description"), F.when(i % 2 == 0, F.col("source")).alias("source"),
         provider.alias("provider"), F.lit(None).cast("string").alias("url"),
     )
 
 
+def _first_passage(spark: SparkSession, d: str) -> str:
+    first = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").select("text").first()
+    return first["text"] if first else ""
+
+
 def t01_chunks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.chunks_of(articles(spark, d))
 
 
 def t02_indexed_search(spark: SparkSession, d: str) -> DataFrame:
     """The ten documents most like the first benchmark passage, with the language as symbol and without stop words."""
-    first = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").select("text").first()
     docs = spark.read.parquet(f"{d}/documents.parquet")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), retrieval.indexed_text(F.upper("lang"), F.col("text")).alias("text"))
-    return _rounded(retrieval.similar_chunks(chunks, first["text"] if first else "", 10, STOP))
+    return _rounded(retrieval.similar_chunks(chunks, _first_passage(spark, d), 10, STOP))
 
 
 def t04_formatted_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.formatted_chunks(retrieval.chunks_of(articles(spark, d)).filter("chunk_id < 20"), "chunk_id")
+    """The ten chunks most like the first benchmark passage as lines of a prompt, the most alike first."""
+    chunks = retrieval.chunks_of(articles(spark, d))
+    found = retrieval.similar_chunks(chunks.select("chunk_id", "text"), _first_passage(spark, d), 10)
+    place = F.struct(-F.round("similarity", 9), "chunk_id")
+    return retrieval.formatted_chunks(chunks.join(F.broadcast(found), "chunk_id").withColumn("place", place), "place")
 
 
 def t05_sentiment_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +92,12 @@ def x06_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ARTICLES = """art AS (SELECT doc_id AS article_id, upper(lang) AS ticker, CASE WHEN doc_id % 5 <> 0 THEN source || '  News' WHEN doc_id % 10 = 0 THEN '' END AS title,
-  substr(text, 1, 40) AS description, CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE doc_id % 7 WHEN 0 THEN 'SEC EDGAR' WHEN 1 THEN 'TED' ELSE 'NewsAPI' END AS provider FROM documents
+  text AS description, CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE doc_id % 7 WHEN 0 THEN 'SEC EDGAR' WHEN 1 THEN 'TED' ELSE 'NewsAPI' END AS provider FROM documents
 ), chunks AS (SELECT article_id AS chunk_id, trim(title || '. ' || coalesce(description, '')) AS text, coalesce(source, 'unknown') AS source, provider, coalesce(ticker, '') AS ticker, '' AS url
   FROM art WHERE title <> '')"""
+# the search of t03_tfidf_top over chunks, up to the products of each chunk and the query
+_SEARCH = _FORECAST_SQL["t03_tfidf_top"].replace("doc_id AS chunk_id", "chunk_id").replace("FROM documents", "FROM chunks")
+_FOUND = _SEARCH[_SEARCH.index("words AS") : _SEARCH.rindex(")\nSELECT chunk_id")]
 _STOPS = ", ".join(f"'{w}'" for w in STOP)
 _VALUES = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in LEXICON.items())
 _M22 = _PANEL_SQL["m22_performance_summary"]
@@ -96,7 +107,9 @@ _P = "printf('%.2f%%', round(100 * ({}), 2))"
 ORACLE_SQL = {
     "t01_chunks": f"WITH {_ARTICLES} SELECT * FROM chunks",
     "t02_indexed_search": _FORECAST_SQL["t03_tfidf_top"].replace("lower(coalesce(text, ''))", "lower(coalesce(upper(lang), '') || ' ' || coalesce(text, ''))").replace("counts AS (SELECT chunk_id, term, count(*) AS n FROM words GROUP BY 1, 2", f"counts AS (SELECT chunk_id, term, count(*) AS n FROM words WHERE term NOT IN ({_STOPS}) GROUP BY 1, 2").replace("AS term) GROUP BY 1", f"AS term) WHERE term NOT IN ({_STOPS}) GROUP BY 1"),
-    "t04_formatted_chunks": f"""WITH {_ARTICLES} SELECT string_agg('  - [' || provider || '/' || source || ', ' || ticker || '] ' || text, chr(10) ORDER BY chunk_id) AS block FROM chunks WHERE chunk_id < 20""",
+    "t04_formatted_chunks": f"""WITH {_ARTICLES}, {_FOUND}
+), found AS (SELECT chunk_id, round(dot / (norm * q_norm), 9) AS s FROM per, qn WHERE dot > 0 ORDER BY s DESC, chunk_id LIMIT 10)
+SELECT string_agg('  - [' || provider || '/' || source || ', ' || ticker || '] ' || text, chr(10) ORDER BY s DESC, chunk_id) AS block FROM found JOIN chunks USING (chunk_id)""",
     "t05_sentiment_texts": f"""WITH {_ARTICLES}, news AS (SELECT *, lower(regexp_replace(trim(coalesce(title, '')), '\\s+', ' ', 'g')) AS k FROM art
   WHERE provider NOT IN ('SEC EDGAR', 'TED') AND (trim(coalesce(title, '')) <> '' OR trim(coalesce(description, '')) <> '')
 ), placed AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN k = '' THEN 'id' || article_id ELSE k END ORDER BY article_id) AS p FROM news)

@@ -17,3 +17,11 @@ def test_every_50th_document_is_searched(spark):
     some = max(asked)
     alone = [(r["chunk_id"], round(r["similarity"], 6)) for r in retrieval.similar_chunks(chunks, asked[some], 10).collect()]
     assert sorted(alone) == sorted((r["chunk_id"], r["similarity"]) for r in got if r["query_id"] == some)
+
+
+def test_found_chunks_are_formatted_by_query(spark):
+    rows = [(1, "a", "P", "s", "T", 2), (1, "b", "P", "s", "T", 1), (2, "c", "Q", "unknown", "", 1)]
+    chunks = spark.createDataFrame(rows, "query_id int, text string, provider string, source string, ticker string, place int")
+    got = {r["query_id"]: r["block"] for r in retrieval.formatted_chunks(chunks, "place", ("query_id",)).collect()}
+    assert got == {1: "  - [P/s, T] b\n  - [P/s, T] a", 2: "  - [Q/unknown, ] c"}
+    assert retrieval.formatted_chunks(chunks.limit(0), "place").count() == 0
