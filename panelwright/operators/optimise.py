@@ -188,6 +188,14 @@ def greatest_sharpe(points, mu: np.ndarray, cov: np.ndarray, rf: float) -> np.nd
     return found
 
 
+def one_asset(mu: np.ndarray, cov: np.ndarray, rf: float) -> np.ndarray:
+    """The weights of the one asset of greatest Sharpe ratio.
+
+    Without limits and without a return above ``rf`` no mixture has a greater ratio: shortfalls are linear in the weights and risks convex, so the ratio is greatest at a corner.
+    """
+    return np.eye(len(mu))[int(np.argmax([_ratio(w, mu, cov, rf) for w in np.eye(len(mu))]))]
+
+
 def utility_scan(points, mu: np.ndarray, cov: np.ndarray, rf: float) -> np.ndarray:
     """The best Sharpe ratio among the portfolios of the utilities mu'w - aversion / 2 * w'Sw."""
     tried = [at_lambda(points, 1 / a) for a in AVERSIONS]
@@ -210,8 +218,13 @@ def problems(mu: DataFrame, cov: DataFrame, by: list[str]) -> DataFrame:
     return cov.join(mu.select(*by, F.col("asset").alias("asset_i"), F.col("mu").alias("mu_i")), [*by, "asset_i"])
 
 
-def max_sharpe(problem: DataFrame, by: list[str], cap: float = 1.0, short: bool = False, rf: float = 0.04) -> DataFrame:
-    """``(*by, asset, w)``: cleaned weights of the greatest Sharpe ratio of each problem; null weights where means or covariances aren't numbers."""
+def max_sharpe(problem: DataFrame, by: list[str], cap: float = 1.0, short: bool = False, rf: float = 0.04, below: str = "least_variance", clean: bool = True) -> DataFrame:
+    """``(*by, asset, w)``: weights of the greatest Sharpe ratio of each problem, cleaned unless told otherwise; null weights where means or covariances aren't numbers.
+
+    Where no return is above ``rf``, ``below`` decides: ``least_variance``, or ``one_asset`` for the greatest of the negative ratios, which needs weights without limits.
+    """
+    if below not in ("least_variance", "one_asset") or (below == "one_asset" and (short or cap < 1)):
+        raise ValueError(below)
 
     def solve(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         names, mu, cov = _problem(table)
@@ -219,7 +232,11 @@ def max_sharpe(problem: DataFrame, by: list[str], cap: float = 1.0, short: bool
         found, w = line(mu, cov, low, high), None
         if found:
             points, cov = found
-            w = cleaned(utility_scan(points, mu, cov, rf) if short else greatest_sharpe(points, mu, cov, rf))
+            if below == "one_asset" and mu.max() <= rf:
+                w = one_asset(mu, cov, rf)
+            else:
+                w = utility_scan(points, mu, cov, rf) if short else greatest_sharpe(points, mu, cov, rf)
+            w = cleaned(w) if clean else w
         return pd.DataFrame({**dict(zip(by, key, strict=True)), "asset": names, "w": w})
 
     kinds = dict(problem.dtypes)

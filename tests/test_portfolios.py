@@ -6,8 +6,10 @@ import datetime
 
 import numpy as np
 import pytest
+from oracle import DATA, compare, connect
 
 from panelwright.operators import backtest, factors, optimise, panel, selection
+from panelwright.queries import ORACLE_SQL, QUERIES
 
 
 def _problems():
@@ -184,3 +186,18 @@ def test_missing_assets_are_an_error(spark):
     prices = spark.createDataFrame([("a", datetime.date(2024, 1, 1), 1.0)], "asset string, dt date, price double")
     with pytest.raises(selection.MissingAssets, match="b"):
         selection.chosen_assets(prices, ["a", "b"])
+
+
+def test_two_assets_below_the_riskless_return_keep_their_greatest_ratio(spark):
+    """Returns below the riskless one: the least variance mixes the assets, the greatest ratio doesn't."""
+    rows = [("p", i, j, m, c) for i, m in (("a", 0.01), ("b", 0.005)) for j, c in ((i, 0.04), ("b" if i == "a" else "a", 0.01))]
+    problem = spark.createDataFrame(rows, "portfolio string, asset_i string, asset_j string, mu_i double, cov double")
+    got = {r["asset"]: r["w"] for r in optimise.max_sharpe(problem, ["portfolio"], below="one_asset", clean=False).collect()}
+    assert got == {"a": 1.0, "b": 0.0}
+    mixed = {r["asset"]: r["w"] for r in optimise.max_sharpe(problem, ["portfolio"]).collect()}
+    assert mixed == {"a": 0.5, "b": 0.5}
+
+
+def test_sharpe_of_two_matches_sql_on_the_larger_tables(spark):
+    folder = f"{DATA}/sf0.1"
+    assert compare(spark, connect(folder), "q02_max_sharpe_of_two", QUERIES["q02_max_sharpe_of_two"], ORACLE_SQL["q02_max_sharpe_of_two"], folder) is None
