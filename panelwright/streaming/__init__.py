@@ -68,3 +68,22 @@ def appended(stream: DataFrame, folder: str) -> DataFrame:
     made = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     made.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def latest(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The last state of every row of ``stream`` by ``keys`` when it has read all there is, those that the watermark hasn't closed too.
+
+    Each batch writes the rows it changed to a folder of its own, so a batch that runs again replaces what it wrote.
+    """
+
+    def save(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    stream.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    every = stream.sparkSession.read.schema(f"{_ddl(stream)}, batch long").parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*(c if c in keys else f"last.{c}" for c in stream.columns))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)

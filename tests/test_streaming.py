@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import time
 
-from panelwright.streaming import appended, bars, filled_stream
+from panelwright.streaming import appended, bars, filled_stream, latest
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -44,3 +44,14 @@ def test_bars_leave_out_late_events(spark, tmp_path):
     assert got == {(0, 9.0, 3), (1, 2.0, 1), (2, 4.0, 2)}
     table = bars(spark.createDataFrame(first + second + third, schema)).collect()
     assert {(r["dt"].hour, r["high"], r["n"]) for r in table} == got
+
+
+def test_latest_bars_hold_open_windows(spark, tmp_path):
+    """Bars that later batches change count once, and the last one is there though nothing closes it."""
+    schema = "event_type string, ts timestamp, value double"
+    first = [("a", _at(5), 1.0), ("a", _at(61), 2.0)]
+    second = [("a", _at(30), 9.0), ("b", _at(62), 4.0)]
+    third = [("a", _at(65), 5.0), ("a", _at(150), 3.0)]
+    stream = bars(_landed(spark, tmp_path, [first, second, third], schema), late="1 day")
+    table = bars(spark.createDataFrame(first + second + third, schema))
+    assert sorted(latest(stream, str(tmp_path), ["asset", "dt"]).collect()) == sorted(table.collect())
