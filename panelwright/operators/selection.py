@@ -92,6 +92,8 @@ def vocabulary_matches(texts: DataFrame, terms: dict[str, str]) -> DataFrame:
     """
     found = []
     for term, query in terms.items():
-        pattern = "(^|[^a-z0-9_])" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term.lower()) + "([^a-z0-9_]|$)"
+        plain = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term.lower())
+        # the term comes first: a pattern that begins with what may precede it is tried in full at every place of a text
+        pattern = f"{plain}(?![a-z0-9_])(?<![a-z0-9_]{plain})"
         found.append(F.when(F.lower("text").rlike(pattern), F.struct(F.lit(term).alias("term"), F.lit(query).alias("query"))))
     return texts.select("id", F.explode(F.array_compact(F.array(*found))).alias("m")).select("id", "m.term", "m.query")
