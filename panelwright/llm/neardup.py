@@ -13,7 +13,7 @@ classes are dealt into random blocks of about half of ``SMALL`` that are compare
 tells how central each class is (its mean similarity); on every level all classes of a large node are compared with its most
 central one, the hub. Both are linear in the node. Links found on the first level are confirmed and their
 components taken; below it, nodes whose classes are all of one component end, and only classes of different
-components are compared.
+components are compared. Nodes that are still large at the last level are compared exhaustively, part by part.
 
 Candidate pairs are confirmed on full shingle sets: first, for each class, its best and its least
 partner, then, after a round of components, every pair whose ends still lie apart. Pairs inside a
@@ -44,6 +44,8 @@ WAYS = {2: 2}
 PERCENT = 85
 #: Standard deviations of the minwise estimate below the threshold that still make a candidate.
 SLACK = 4.5
+#: Rows of a part of a node that is compared whole.
+GRID = 512
 #: Rows of a node that meet one copy of its hub.
 HUB_ROWS = 2000
 #: Candidate ids that are still broadcast to the scan of the texts.
@@ -231,6 +233,40 @@ def _hub_pairs(big: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     return met.select("rep", "sig", "hub", "hub_sig").mapInArrow(tasks, "a long, b long, est double")
 
 
+def _grid_pairs(large: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
+    """All pairs ``(a, b, est)`` of different components within the nodes of ``large(rep, node, n, comp)``, however large.
+
+    A node's rows are dealt into parts of about ``GRID``; a task compares two parts, or the rows of one, so it holds two parts at most. Work grows with
+    the square of the node.
+    """
+
+    def tasks(batches):
+        for table in _runs(batches, "cell"):
+            sig, rep, comp = _sigs(table.column("sig")), table.column("rep").to_numpy(), table.column("comp").to_numpy()
+            cell, part, alone = table.column("cell").to_numpy(), table.column("part").to_numpy(), table.column("alone").to_numpy(zero_copy_only=False)
+            ends = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                second = end if alone[start] else start + int(np.searchsorted(part[start:end], part[start], "right"))
+                a, b, close = [], [], []
+                for i in range(start, second):
+                    j = np.arange(i + 1 if alone[start] else second, end)
+                    j = j[comp[j] != comp[i]]
+                    est = _estimates(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j])
+                    ok = est >= floor
+                    a.append(np.minimum(rep[i], rep[j[ok]]))
+                    b.append(np.maximum(rep[i], rep[j[ok]]))
+                    close.append(est[ok].astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, close)], names=["a", "b", "est"])
+
+    parts = F.ceil(F.col("n") / GRID).cast("int")
+    dealt = large.select("rep", "node", "comp", parts.alias("parts"), F.pmod(F.xxhash64("rep", "node"), parts).cast("int").alias("part"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("cell")
+    met = met.select("rep", "comp", "part", cell, (F.col("part") == F.col("other")).alias("alone")).join(reps, "rep")
+    sorted_ = met.select("rep", "sig", "comp", "part", "cell", "alone").repartition("cell").sortWithinPartitions("cell", "part")
+    return sorted_.mapInArrow(tasks, "a long, b long, est double")
+
+
 def _best(found: list[DataFrame], label: str) -> DataFrame:
     """Candidates of several steps, each pair once."""
     every = reduce(DataFrame.unionByName, found)
@@ -277,7 +313,10 @@ def next_levels(big: DataFrame, reps: DataFrame, labels: DataFrame, floor: float
             break
     every = reduce(DataFrame.unionByName, levels)
     leaves = _close_pairs(every.filter(F.col("n") <= SMALL).join(reps, "rep"), floor)
-    return _best([leaves, _hub_pairs(every.filter(F.col("n") > SMALL), reps, floor)], "candidates2")
+    found = [leaves, _hub_pairs(every.filter(F.col("n") > SMALL), reps, floor)]
+    if not rows.isEmpty():  # what the levels haven't made small
+        found.append(_grid_pairs(rows, reps, floor))
+    return _best(found, "candidates2")
 
 
 # ---------------------------------------------------------------- confirmation
