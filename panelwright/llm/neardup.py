@@ -13,7 +13,8 @@ classes are dealt into random blocks of about half of ``SMALL`` that are compare
 tells how central each class is (its mean similarity); on every level all classes of a large node are compared with its most
 central one, the hub. Both are linear in the node. Links found on the first level are confirmed and their
 components taken; below it, nodes whose classes are all of one component end, and only classes of different
-components are compared. Nodes that are still large at the last level are compared exhaustively, part by part.
+components are compared. Nodes that are still large at the last level are compared exhaustively, part by part, by full
+shingle sets, so that classes that are near the group but linked with nothing make no candidates.
 
 Candidate pairs are confirmed on full shingle sets: first, for each class, its best and its least
 partner, then, after a round of components, every pair whose ends still lie apart. Pairs inside a
@@ -44,8 +45,8 @@ WAYS = {2: 2}
 PERCENT = 85
 #: Standard deviations of the minwise estimate below the threshold that still make a candidate.
 SLACK = 4.5
-#: Rows of a part of a node that is compared whole.
-GRID = 512
+#: Rows of a part of a node that is compared whole, bytes of its texts, and shingles that its tasks count at a time.
+GRID, GRID_BYTES, COLUMNS = 512, 8 << 20, 2048
 #: Rows of a node that meet one copy of its hub.
 HUB_ROWS = 2000
 #: Candidate ids that are still broadcast to the scan of the texts.
@@ -267,6 +268,84 @@ def _grid_pairs(large: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     return sorted_.mapInArrow(tasks, "a long, b long, est double")
 
 
+def _forest(close: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``(i, j)`` out of the symmetric ``close`` that join all components that it joins: fewer than it has rows."""
+    a, b = [], []
+    left = np.ones(len(close), bool)
+    for root in range(len(close)):
+        held = [root] if left[root] else []
+        left[held] = False
+        while held:
+            i = held.pop()
+            same = np.flatnonzero(left & (comp == comp[i]))
+            left[same] = False
+            new = np.flatnonzero(left & close[i])
+            _, at = np.unique(comp[new], return_index=True)
+            new = new[at]
+            left[new] = False
+            a += [i] * len(new)
+            b += new.tolist()
+            held += [*same.tolist(), *new.tolist()]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _linked(texts: pa.Array, percent: int, width: int) -> np.ndarray:
+    """Which two of the texts have similar enough full shingle sets: sizes of intersections are a product of 0/1 matrices."""
+    rows, h, size = [], [], []
+    for a, b in row_blocks(texts):
+        keys, n = shingle_keys(*flat_text(texts.slice(a, b - a)), width)
+        rows.append((keys >> np.uint64(52)).astype(np.int64) + a)
+        h.append(keys & np.uint64((1 << 52) - 1))
+        size.append(n)
+    rows, size = np.concatenate(rows), np.concatenate(size).astype(np.int64)
+    _, at, times = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # a shingle of one text is in no intersection
+    shared = times[at] > 1
+    rows, at = rows[shared], number[at[shared]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    inter = np.zeros((len(texts), len(texts)), np.int64)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        lo, hi = np.searchsorted(at, [first, first + COLUMNS])
+        x = np.zeros((len(texts), COLUMNS), np.float32)
+        x[rows[lo:hi], at[lo:hi] - first] = 1
+        inter += (x @ x.T).astype(np.int64)
+    return 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
+
+
+def _grid_links(large: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links ``(a, b, est)`` that join the components which the nodes of ``large(rep, node, comp)`` join, however large these are; ``texts(rep, text)``.
+
+    A node's rows are dealt into parts of about ``GRID`` rows and ``GRID_BYTES`` of text; a task compares the full shingle sets of two parts, or of
+    one, so it holds two parts at most. Work grows with the square of the node, but a task gives fewer links than it has rows.
+    """
+
+    def tasks(batches):
+        for table in _runs(batches, "cell"):
+            cell, rep, comp = (table.column(c).to_numpy() for c in ("cell", "rep", "comp"))
+            ends = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                own = comp[start:end]
+                if (own == own[0]).all():
+                    continue
+                i, j = _forest(_linked(table.column("text").combine_chunks()[start:end], percent, width), own)
+                a, b = rep[start + i], rep[start + j]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a)))], names=["a", "b", "est"]
+                )
+
+    rows = large.select("rep", "node", "comp").join(texts, "rep")
+    parts = F.ceil(F.greatest(F.count("*") / GRID, F.sum(F.octet_length("text")) / GRID_BYTES)).cast("int")
+    nodes = rows.groupBy("node").agg(parts.alias("parts"))
+    dealt = large.select("rep", "node", "comp").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("rep", "node"), "parts").cast("int"))
+    # two parts meet once; of more than one part, no part needs a task of its own
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
+    met = dealt.withColumn("other", F.explode(other))
+    cell = F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("cell")
+    sorted_ = met.select("rep", "comp", cell).join(texts, "rep").select("rep", "comp", "cell", "text").repartition("cell").sortWithinPartitions("cell")
+    return sorted_.mapInArrow(tasks, "a long, b long, est double")
+
+
 def _best(found: list[DataFrame], label: str) -> DataFrame:
     """Candidates of several steps, each pair once."""
     every = reduce(DataFrame.unionByName, found)
@@ -292,9 +371,12 @@ def first_level(reps: DataFrame, floor: float) -> tuple[DataFrame, DataFrame | N
     return _best(found, "candidates1"), big
 
 
-def next_levels(big: DataFrame, reps: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
+def next_levels(big: DataFrame, reps: DataFrame, labels: DataFrame, floor: float, texts_of=None, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Candidates between different components of the levels below ``big(rep, node, n, score)``.
 
+    ``texts_of`` gives the texts of classes ``(rep)``; with it, nodes that are still large at the last level give confirmed links only, which don't
+    grow with the square of a node; without it all their pairs of near minwise values.
+
     The level of a node counts its members with a map-side combine before the shuffle; the join that
     hands the counts back is one whose skewed side Spark can split. Levels are written one by one, and all their leaves and hubs
     compared in one go.
@@ -315,7 +397,7 @@ def next_levels(big: DataFrame, reps: DataFrame, labels: DataFrame, floor: float
     leaves = _close_pairs(every.filter(F.col("n") <= SMALL).join(reps, "rep"), floor)
     found = [leaves, _hub_pairs(every.filter(F.col("n") > SMALL), reps, floor)]
     if not rows.isEmpty():  # what the levels haven't made small
-        found.append(_grid_pairs(rows, reps, floor))
+        found.append(_grid_links(rows, texts_of(rows.select("rep").distinct()), percent, width) if texts_of else _grid_pairs(rows, reps, floor))
     return _best(found, "candidates2")
 
 
@@ -364,9 +446,13 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``(rep, text)`` of the classes in ``pairs``; ``members(rep, doc_id, own)`` says where a class's text is."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(members, "rep"), "ids")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _texts(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """``(rep, text)`` of the classes ``reps(rep)``; ``members(rep, doc_id, own)`` says where a class's text is."""
+    ids = materialise(reps.join(members, "rep"), "ids")
     # few ids (24 bytes each, counted) go to the scan of the texts; many: both are shuffled
     to_texts = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = docs.join(to_texts, "doc_id").filter(F.col("own") == text_number("text"))
@@ -386,14 +472,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
     members = classes.select("rep", "doc_id", "own")
     pairs, big = first_level(reps, floor)
-    texts = _texts(docs, pairs, members)
+    texts = _texts(docs, _ends(pairs), members)
     links = materialise(confirm(_firsts(pairs), texts, percent, width), "links")
     labels = components(links)
     links = links.unionByName(materialise(confirm(_apart(pairs, labels), texts, percent, width), "links"))
     labels = components(links)
     if big is not None:
-        pairs = _apart(next_levels(big, reps, labels, floor), labels)
-        links = links.unionByName(materialise(confirm(pairs, _texts(docs, pairs, members), percent, width), "links"))
+        found = next_levels(big, reps, labels, floor, lambda ids: _texts(docs, ids, members), percent, width)
+        pairs = materialise(_apart(found, labels), "apart")
+        links = links.unionByName(materialise(confirm(pairs, _texts(docs, _ends(pairs), members), percent, width), "links"))
     repeated = named.groupBy("doc_id").agg(F.min(class_number()).alias("a"), F.max(class_number()).alias("hi")).filter("a <> hi").select("doc_id", "a")
     labels = components(links.unionByName(named.join(repeated, "doc_id").select("a", class_number().alias("b"))))
 
