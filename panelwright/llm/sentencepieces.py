@@ -18,6 +18,7 @@ Null text is empty: no ids. Rows with equal or null ids keep their rows.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -141,6 +142,12 @@ def cut_is_safe(model: dict) -> bool:
     return plain and all(MARK not in text.lstrip(MARK) for text, _, _ in model["pieces"])
 
 
+def _piece_bytes(text: str) -> bytes:
+    """What a piece adds to a decoded text; a byte piece is written <0x..>."""
+    byte = re.fullmatch(r"<0x([0-9A-Fa-f]{2})>", text)
+    return bytes([int(byte[1], 16)]) if byte else text.replace(MARK, " ").encode()
+
+
 class Backend:
     """Tokenizer, reference and the memo of one model file in a Python worker."""
 
@@ -154,6 +161,9 @@ class Backend:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.safe = cut_is_safe(self.model)
         self.memo = PieceEncoder(self._pieces, metaspace_cuts)
+        own = [_piece_bytes(text) for text, _, _ in self.model["pieces"]]
+        self.sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.starts, self.data = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(own), np.uint8)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
@@ -175,6 +185,20 @@ class Backend:
         off = off + np.concatenate([[0], np.cumsum(full)])
         return self.memo.encode(data, off)
 
+    def decoded(self, ids: list[list[int]]) -> list[str]:
+        """The texts of ids of the model, from the bytes of their pieces; the tokenizer decodes those whose bytes aren't UTF-8."""
+        flat, lengths = _flat(ids)
+        size = self.sizes[flat]
+        place = np.concatenate([[0], np.cumsum(size)])
+        raw = self.data[np.repeat(self.starts[flat] - place[:-1], size) + np.arange(place[-1])].tobytes()
+        at, lead, out = place[np.concatenate([[0], np.cumsum(lengths)])].tolist(), self.model["add_dummy_prefix"], []
+        for row, a, b in zip(ids, at[:-1], at[1:], strict=True):
+            try:
+                out.append(raw[a + (lead and raw[a : min(a + 1, b)] == b" ") : b].decode())
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(row, skip_special_tokens=False))
+        return out
+
     def verified(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[str]]:
         """Ids of ``texts``, whether they are the library's, and the texts that they decode to."""
         flat, at = self.encode(pa.array(texts, pa.string()))
@@ -187,7 +211,7 @@ class Backend:
         same = [True] * len(texts)
         for i in wrong:
             same[i] = ids[i] == want[i]
-        return ids, same, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return ids, same, self.decoded(ids)
 
 
 @lru_cache(maxsize=2)
