@@ -22,28 +22,33 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-    return out.filter("u > v").distinct()
+    out = out.filter("u > v")
+    return out if both_ways else out.distinct()  # a large star has one row for each edge
+
+
+def _starred(edges: DataFrame) -> bool:
+    """Whether every node of the distinct ``edges(u, v)`` is either below one centre or a centre itself."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    met = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return met.agg(F.max(F.col("below") + F.col("above"))).first()[0] in (None, 1)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(id, component)`` for every node of ``edges(a, b)``: the least id reachable.
 
     Self links and links with a null end count for nothing. Every step aggregates by node and is
-    written to the shared folder; it ends when a pair of steps leaves the table as it was, which
-    then is one star for each component.
+    written to the shared folder; it ends when the table is one star for each component.
     """
     e = (
         edges.filter("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    e, before = materialise(e, label), None
-    while True:
+    e = materialise(e, label)
+    while not _starred(e):
         e = materialise(_stars(_stars(e, True), False), label)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            break
-        before = state
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

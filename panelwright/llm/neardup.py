@@ -446,6 +446,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
+def _stars_of(labels: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` with the components of ``labels(id, component)``, one for each class."""
+    return labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
@@ -475,12 +480,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     texts = _texts(docs, _ends(pairs), members)
     links = materialise(confirm(_firsts(pairs), texts, percent, width), "links")
     labels = components(links)
-    links = links.unionByName(materialise(confirm(_apart(pairs, labels), texts, percent, width), "links"))
+    more = materialise(confirm(_apart(pairs, labels), texts, percent, width), "links")
+    links = _stars_of(labels).unionByName(more)
     labels = components(links)
     if big is not None:
         found = next_levels(big, reps, labels, floor, lambda ids: _texts(docs, ids, members), percent, width)
         pairs = materialise(_apart(found, labels), "apart")
-        links = links.unionByName(materialise(confirm(pairs, _texts(docs, _ends(pairs), members), percent, width), "links"))
+        links = _stars_of(labels).unionByName(materialise(confirm(pairs, _texts(docs, _ends(pairs), members), percent, width), "links"))
     repeated = named.groupBy("doc_id").agg(F.min(class_number()).alias("a"), F.max(class_number()).alias("hi")).filter("a <> hi").select("doc_id", "a")
     labels = components(links.unionByName(named.join(repeated, "doc_id").select("a", class_number().alias("b"))))
 
