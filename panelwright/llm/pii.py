@@ -36,8 +36,10 @@ from .common import materialise, row_blocks
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 1152, 1024
 HIDDEN, ROUNDS, BATCH, LENGTH = 16, 500, 32, 96
-#: Windows of documents in training, and windows that the network takes at once.
-SAMPLE, AT_ONCE = 2400, 1024
+#: Windows of documents in training, and windows that the network takes at once: as many as keep a step's arrays in a core's cache.
+SAMPLE, AT_ONCE = 2400, 256
+#: Bytes of texts whose windows are sorted by length, so that few steps run over the ends of shorter ones.
+SORTED_BYTES = 4 << 20
 #: Windows whose labels a worker remembers before it starts over; it bounds memory, not results.
 REMEMBERED = 200_000
 
@@ -225,7 +227,10 @@ def corpus_windows(docs: DataFrame, n: int = SAMPLE, text: str = "text", seed: i
                         rank = zlib.crc32(part.encode("utf-8", "surrogatepass")) / 2**32 * total
                         if rank >= 40 * n:
                             continue
-                        spans, rng, taken = base_spans(part), np.random.default_rng([seed, zlib.crc32(part.encode("utf-8", "surrogatepass"))]), []
+                        spans, taken = base_spans(part), []
+                        if not spans and rank >= 4 * n:
+                            continue
+                        rng = np.random.default_rng([seed, zlib.crc32(part.encode("utf-8", "surrogatepass"))])
                         for at, _, _ in spans[:2]:
                             taken.append((part, spans, max(0, at - int(rng.integers(5, LENGTH // 2)))))
                             other, new = exchanged(part, spans, rng)
@@ -408,6 +413,7 @@ def emissions(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None
     tables = [np.ascontiguousarray(w[k].T, np.float32) for k in ("ft", "bt")]
     heads = (w["out"][:h], w["out"][h:])
     both = np.stack([np.concatenate([w[k].T, head.T]) for k, head in zip(("fr", "br"), heads, strict=True)]).astype(np.float32)
+    both *= np.float32(0.5)  # the states are kept twice as large
     symbol = np.ascontiguousarray(x.T.astype(np.int64))
     state, cell = np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
     z, size, more = np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h + LABELS, n), np.float32)
@@ -435,7 +441,6 @@ def emissions(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None
         state += 1
         np.divide(cell, state, out=state)
         state *= z[:, 2 * h : 3 * h]
-        state *= 0.5
         if length is not None and steps - 1 - t >= first:
             alive = (steps - 1 - t < length).astype(np.float32)
             state[1] *= alive
@@ -469,7 +474,7 @@ def decode(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None =
     emit, labels = emissions(x, w, length), np.zeros(x.shape, np.uint8)
     left = np.flatnonzero(~_all_outside(emit, w["trans"]))
     if len(left):
-        labels[left] = _viterbi(np.ascontiguousarray(emit[:, :, left]), w["trans"])
+        labels[left] = _viterbi(np.take(emit, left, 2), w["trans"])
     return labels
 
 
@@ -634,7 +639,7 @@ def with_personal_data(docs: DataFrame, text: str = "text", into: str = "pii", r
         counts = np.zeros((4, n), np.int64)
         digests, spans = [hashlib.sha256(b"").hexdigest()] * n, [""] * n
         after = [pa.array([], pa.string())]
-        for lo, hi in row_blocks(column):
+        for lo, hi in row_blocks(column, SORTED_BYTES):
             texts = column.slice(lo, hi - lo).to_pylist()
             for i, (base, every) in enumerate(find_spans(texts, shared.value), lo):
                 if not every:
