@@ -13,8 +13,9 @@ classes are dealt into random blocks of about half of ``SMALL`` that are compare
 tells how central each class is (its mean similarity); on every level all classes of a large node are compared with its most
 central one, the hub. Both are linear in the node. Links found on the first level are confirmed and their
 components taken; below it, nodes whose classes are all of one component end, and only classes of different
-components are compared. Nodes that are still large at the last level are compared exhaustively, part by part, by full
-shingle sets, so that classes that are near the group but linked with nothing make no candidates.
+components are compared. Nodes that are still large at the last level, or from level ``LATE`` on hold ``KEPT`` of their parent's
+classes, are compared exhaustively, part by part, by full shingle sets, so that classes that are near the group but linked
+with nothing make no candidates.
 
 Candidate pairs are confirmed on full shingle sets: first, for each class, its best and its least
 partner, then, after a round of components, every pair whose ends still lie apart. Pairs inside a
@@ -41,6 +42,8 @@ from .graph import components
 WIDTH, HASHES, TREES, DEPTH, SMALL = 5, 96, 10, 6, 24
 #: Coordinates that a node picks at a level (1 elsewhere).
 WAYS = {2: 2}
+#: From level ``LATE`` on, a large node that holds this share of its parent's classes is compared whole: branching doesn't make it small.
+LATE, KEPT = 4, 0.75
 #: Links have 100 * |A n B| >= PERCENT * |A u B|.
 PERCENT = 85
 #: Standard deviations of the minwise estimate below the threshold that still make a candidate.
@@ -374,29 +377,34 @@ def first_level(reps: DataFrame, floor: float) -> tuple[DataFrame, DataFrame | N
 def next_levels(big: DataFrame, reps: DataFrame, labels: DataFrame, floor: float, texts_of=None, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Candidates between different components of the levels below ``big(rep, node, n, score)``.
 
-    ``texts_of`` gives the texts of classes ``(rep)``; with it, nodes that are still large at the last level give confirmed links only, which don't
+    ``texts_of`` gives the texts of classes ``(rep)``; with it, nodes that stay large give confirmed links only, which don't
     grow with the square of a node; without it all their pairs of near minwise values.
 
-    The level of a node counts its members with a map-side combine before the shuffle; the join that
-    hands the counts back is one whose skewed side Spark can split. Levels are written one by one, and all their leaves and hubs
-    compared in one go.
+    A level's rows are made once and written, at most ``WAYS`` for each row of a large node above. The level of a node counts its
+    members with a map-side combine before the shuffle; the join that hands the counts back is one whose skewed side Spark can
+    split. Levels are written one by one, and all their leaves and hubs compared in one go.
     """
     comp = F.coalesce("component", "rep").alias("comp")
-    rows = big.join(labels, big["rep"] == labels["id"], "left").select("rep", "node", "score", comp)
+    rows = big.join(labels, big["rep"] == labels["id"], "left").select("rep", "node", "n", "score", comp)
     mixed = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node")
-    rows, levels = rows.join(mixed, "node", "left_semi"), []
+    rows, levels, whole = rows.join(mixed, "node", "left_semi"), [], []
     for level in range(2, DEPTH + 1):
-        rows = _branch(rows.join(reps, "rep").select("rep", "sig", "node", "score", "comp"), level)
+        parents = rows.join(reps, "rep").select("rep", "sig", "node", "score", "comp", F.col("n").alias("above"))
+        rows = materialise(_branch(parents, level), f"branch{level}")
         counts = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        live = materialise(rows.join(counts.filter("lo <> hi").select("node", "n"), "node").select("rep", "node", "n", "score", "comp"), f"tree{level}")
+        live = materialise(rows.join(counts.filter("lo <> hi").select("node", "n"), "node").select("rep", "node", "n", "score", "comp", "above"), f"tree{level}")
         levels.append(live)
         rows = live.filter(F.col("n") > SMALL)
+        ends = F.lit(level == DEPTH) | F.lit(level >= LATE) & (F.col("n") >= KEPT * F.col("above"))
+        whole.append(rows.filter(ends))
+        rows = rows.filter(~ends)
         if rows.isEmpty():
             break
     every = reduce(DataFrame.unionByName, levels)
     leaves = _close_pairs(every.filter(F.col("n") <= SMALL).join(reps, "rep"), floor)
     found = [leaves, _hub_pairs(every.filter(F.col("n") > SMALL), reps, floor)]
-    if not rows.isEmpty():  # what the levels haven't made small
+    rows = reduce(DataFrame.unionByName, whole)
+    if not rows.isEmpty():  # what the levels don't make small
         found.append(_grid_links(rows, texts_of(rows.select("rep").distinct()), percent, width) if texts_of else _grid_pairs(rows, reps, floor))
     return _best(found, "candidates2")
 
