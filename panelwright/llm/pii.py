@@ -8,7 +8,7 @@ documents. It trains on the driver; its weights (under 0.2 MB) are broadcast. ``
 kind on windows that it wasn't trained on.
 
 A text is cut into windows of ``WINDOW`` characters every ``STRIDE``. Every window runs through the network. Viterbi is left
-out where the scores prove that "outside" throughout is the best sequence (``_all_outside``). A position's label is that
+out where the scores prove that "outside" throughout is the best sequence (``_all_outside``), and takes the rest of many batches at once. A position's label is that
 of the window in whose middle it lies, and spans are read off the reconciled labels of the whole text, so they may cross windows.
 
 A decoded span is added if it touches no rule span and holds what its kind means: an address with @
@@ -36,8 +36,10 @@ from .common import materialise, row_blocks
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 1152, 1024
 HIDDEN, ROUNDS, BATCH, LENGTH = 16, 500, 32, 96
-#: Windows of documents in training, and windows that the network takes at once: as many as keep a step's arrays in a core's cache.
-SAMPLE, AT_ONCE = 2400, 256
+#: Windows of documents in training, and windows that the network takes at once: many, as a step of few takes nearly as long.
+SAMPLE, AT_ONCE = 2400, 512
+#: Steps whose label scores are one product, and steps whose symbols or bounds are laid out at once.
+SCORED, LAID_OUT = 16, 128
 #: Bytes of texts whose windows are sorted by length, so that few steps run over the ends of shorter ones.
 SORTED_BYTES = 4 << 20
 #: Windows whose labels a worker remembers before it starts over; it bounds memory, not results.
@@ -405,46 +407,51 @@ def emissions(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None
     """Scores (time, label, row) of symbol windows ``x`` (row, time); beyond a row's ``length`` there is only outside, and the
     backward direction starts at that length, so a row's scores don't depend on the others.
 
-    Both directions are one product a step, which has the label scores of the state before as well. Units come first, so that
-    every operation runs along the rows.
+    Gates, and then both directions, come first and a window's units last, so that a symbol's part of a table is copied at once and
+    every operation runs over one stretch of memory.
     """
     n, steps = x.shape
     h = w["fr"].shape[0]
-    tables = [np.ascontiguousarray(w[k].T, np.float32) for k in ("ft", "bt")]
-    heads = (w["out"][:h], w["out"][h:])
-    both = np.stack([np.concatenate([w[k].T, head.T]) for k, head in zip(("fr", "br"), heads, strict=True)]).astype(np.float32)
-    both *= np.float32(0.5)  # the states are kept twice as large
-    symbol = np.ascontiguousarray(x.T.astype(np.int64))
-    state, cell = np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
-    z, size, more = np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32), np.empty((2, 4 * h + LABELS, n), np.float32)
-    emit = np.zeros((steps, LABELS, n), np.float32)
-    emit += w["bias"][:, None]
+    half, one = np.float32(0.5), np.float32(1)  # the states are kept twice as large
+    table = np.concatenate([w[k].reshape(SYMBOLS, 4, h).transpose(1, 0, 2) for k in ("ft", "bt")], 1).astype(np.float32)
+    rec = np.stack([w[k].reshape(h, 4, h).transpose(1, 0, 2) for k in ("fr", "br")], 1).astype(np.float32) * half
+    heads = np.stack([w["out"][:h].T, w["out"][h:].T]).astype(np.float32) * half
+    states, cell, new = np.zeros((2, SCORED, n, h), np.float32), np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
+    z, size = np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32)
+    enter, forget, leave, fresh = z
+    gates, looked_up, every = z[:3], size.reshape(4, 2 * n, h), [states[:, j] for j in range(SCORED)]
+    emit, state = np.empty((steps, LABELS, n), np.float32), every[-1]
+    emit[:] = w["bias"][:, None]
     first = steps if length is None else int(length.min(initial=steps))
-    for t in range(steps + 1):
-        np.matmul(both, state, out=more)
-        if t:
-            emit[t - 1] += more[0, 4 * h :]
-            emit[steps - t] += more[1, 4 * h :]
-        if t == steps:
-            break
-        np.take(tables[0], symbol[t], 1, out=z[0], mode="clip")
-        np.take(tables[1], symbol[steps - 1 - t], 1, out=z[1], mode="clip")
-        z += more[:, : 4 * h]
+    for t in range(steps):
+        if t % LAID_OUT == 0:
+            to = min(t + LAID_OUT, steps)
+            symbol = np.concatenate([x[:, t:to].T, x[:, steps - to : steps - t].T[::-1].astype(np.intp) + SYMBOLS], 1)
+        np.matmul(state, rec, out=z)
+        table.take(symbol[t % LAID_OUT], 1, looked_up, "clip")
+        np.add(z, size, out=z)
         np.abs(z, out=size)
-        size += 1
-        z /= size
-        z[:, : 3 * h] += 1
-        cell *= z[:, h : 2 * h]
-        cell += z[:, :h] * z[:, 3 * h :]
-        cell *= 0.5
-        np.abs(cell, out=state)
-        state += 1
-        np.divide(cell, state, out=state)
-        state *= z[:, 2 * h : 3 * h]
-        if length is not None and steps - 1 - t >= first:
-            alive = (steps - 1 - t < length).astype(np.float32)
+        np.add(size, one, out=size)
+        np.divide(z, size, out=z)
+        np.add(gates, one, out=gates)
+        np.multiply(cell, forget, out=cell)
+        np.multiply(enter, fresh, out=new)
+        np.add(cell, new, out=cell)
+        np.multiply(cell, half, out=cell)
+        np.abs(cell, out=new)
+        np.add(new, one, out=new)
+        np.divide(cell, new, out=new)
+        state = every[t % SCORED]
+        np.multiply(new, leave, out=state)
+        if steps - 1 - t >= first:
+            alive = (steps - 1 - t < length).astype(np.float32)[:, None]
             state[1] *= alive
             cell[1] *= alive
+        if t % SCORED == SCORED - 1 or t == steps - 1:
+            k, at = t % SCORED + 1, t - t % SCORED
+            scores = np.matmul(heads, states.reshape(2, SCORED * n, h).transpose(0, 2, 1)[:, :, : k * n]).reshape(2, LABELS, k, n).transpose(0, 2, 1, 3)
+            emit[at : at + k] += scores[0]
+            emit[steps - at - k : steps - at] += scores[1, ::-1]
     if length is not None:
         emit[first:, 1:] += _FORBIDDEN * (np.arange(first, steps)[:, None] >= length)[:, None, :]
     return emit
@@ -462,22 +469,48 @@ def _all_outside(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     into, out = max(0.0, float(trans[:, first].max() - stay)), max(0.0, float(trans[1:, 0].max() - stay))
     step = (np.maximum(trans[first, further], trans[further, further]) - stay)[:, None]
     gain = np.full((len(first), emit.shape[2]), -np.inf, np.float32)
-    top = gain.copy()
-    for scores in emit:
-        gain = np.maximum(gain + (scores[2::2] + step), np.maximum(gain.max(0), 0) + (scores[1::2] + into)) - scores[0]
-        np.maximum(top, gain, out=top)
+    top, base = gain.copy(), np.zeros(emit.shape[2], np.float32)
+    for k in range(0, len(emit), LAID_OUT):
+        scores = emit[k : k + LAID_OUT]
+        on, anew = scores[:, 2::2] - scores[:, :1], scores[:, 1::2] - scores[:, :1]
+        on += step
+        anew += np.float32(into)
+        for longer, begun in zip(on, anew, strict=True):
+            np.add(gain, longer, out=gain)
+            np.add(begun, base, out=begun)
+            np.maximum(gain, begun, out=gain)
+            np.maximum.reduce(gain, 0, None, base, initial=0)
+            np.maximum(top, gain, out=top)
     return top.max(0) + out < -1e-3
 
 
 def decode(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None = None) -> np.ndarray:
     """Best label sequences (row, time) of symbol windows ``x``."""
-    emit, labels = emissions(x, w, length), np.zeros(x.shape, np.uint8)
-    left = np.flatnonzero(~_all_outside(emit, w["trans"]))
+    labels = np.zeros(x.shape, np.uint8)
+    left, emit = undecided(x, w, length)
     if len(left):
-        labels[left] = _viterbi(np.take(emit, left, 2), w["trans"])
+        labels[left] = _viterbi(emit, w["trans"])
     return labels
 
 
+def undecided(x: np.ndarray, w: dict[str, np.ndarray], length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` that may be more than outside throughout, and their scores."""
+    emit = emissions(x, w, length)
+    left = np.flatnonzero(~_all_outside(emit, w["trans"]))
+    return left, np.take(emit, left, 2)
+
+
+def _best_of(parts: list[np.ndarray], trans: np.ndarray) -> np.ndarray:
+    """Best label sequences (row, time) of all ``parts`` (time, label, row) together; outside after a shorter part's end."""
+    emit = np.zeros((max(map(len, parts)), LABELS, sum(p.shape[2] for p in parts)), np.float32)
+    at = 0
+    for p in parts:
+        emit[: len(p), :, at : at + p.shape[2]] = p
+        emit[len(p) :, 1:, at : at + p.shape[2]] = _FORBIDDEN
+        at += p.shape[2]
+    return _viterbi(emit, trans)
+
+
 def _viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best label sequences (row, time) of scores (time, label, row); at ties the first label before.
 
@@ -531,16 +564,21 @@ def _labels_of(texts: list[str], w: dict[str, np.ndarray]) -> list[np.ndarray]:
         _DECODED.clear()
     new = {k: x for k, (_, _, x) in zip(keys, windows, strict=True) if k not in _DECODED}
     order = sorted(new, key=lambda k: len(new[k]))
+    parts, held = [], []
     for at in range(0, len(order), AT_ONCE):
         own = order[at : at + AT_ONCE]
         length = np.array([len(new[k]) for k in own])
         x = np.full((len(own), length[-1] + 1), 10, np.uint8)
         for row, k in zip(x, own, strict=True):
             row[: len(new[k])] = new[k]
-        labels = decode(x, w, length)
-        some = labels.any(1)
-        for r, k in enumerate(own):
-            _DECODED[k] = labels[r, : length[r]].tobytes() if some[r] else b""
+        left, emit = undecided(x, w, length)
+        _DECODED.update(dict.fromkeys(own, b""))
+        parts.append(emit)
+        held += [own[r] for r in left.tolist()]
+        if held and (len(held) >= AT_ONCE // 2 or at + AT_ONCE >= len(order)):
+            for k, labels in zip(held, _best_of(parts, w["trans"]), strict=True):
+                _DECODED[k] = labels[: len(new[k])].tobytes() if labels.any() else b""
+            parts, held = [], []
     side = (WINDOW - STRIDE) // 2
     for (i, b, x), k in zip(windows, keys, strict=True):
         if _DECODED[k]:
@@ -553,11 +591,12 @@ def _spans_of(labels: np.ndarray) -> list[Span]:
     """Spans of a label sequence; an inside label with nothing before it starts a span as well."""
     if not labels.any():
         return []
-    labels = labels.astype(np.int64)
-    kind = (labels + 1) // 2
-    first = (labels > 0) & ((labels % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind))
-    last = (labels > 0) & ((np.concatenate([kind[1:], [0]]) != kind) | (np.concatenate([labels[1:], [0]]) % 2 == 1))
-    return [(a, k - 1, b + 1) for a, b, k in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist(), kind[first].tolist(), strict=True)]
+    at = np.flatnonzero(labels)
+    own = labels[at].astype(np.int64)
+    kind, apart = (own + 1) // 2, np.diff(at) > 1
+    starts = np.concatenate([[True], apart | (own[1:] % 2 == 1) | (kind[1:] != kind[:-1])])
+    ends = np.append(starts[1:], True)
+    return [(a, k - 1, b + 1) for a, b, k in zip(at[starts].tolist(), at[ends].tolist(), kind[starts].tolist(), strict=True)]
 
 
 def _holds(kind: int, part: str) -> bool:
