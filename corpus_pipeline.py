@@ -7,7 +7,7 @@
 3. Personal data: every span is replaced by its kind in brackets, and ``n_chars`` follows.
 4. Packing into sequences of 1,024 ids (the last stage: its columns are those of the pieces).
 
-All stages but the last return the columns they get. Null texts can't reach the second stage.
+All stages bound the bytes of the session's Arrow batches (``bound_batches``). All but the last return the columns they get. Null texts can't reach the second stage.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import langid, neardup, packing, pii
-from panelwright.llm.common import materialise
+from panelwright.llm.common import bound_batches, materialise
 
 #: Least similarity of near-duplicates in percent; 85 is the contract of op1_minhash_neardup alone.
 PERCENT = 80
@@ -32,6 +32,7 @@ def _spare(docs: DataFrame, name: str) -> str:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     made, model = _spare(docs, "language"), langid.fit(docs)
     if not model[0]:
         return docs
@@ -40,6 +41,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     made = _spare(docs, "kept_id")
     groups = neardup.near_duplicates(docs, PERCENT)
     kept = groups.filter("kept").select(F.col("doc_id").alias(made)).distinct()
@@ -52,6 +54,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     made = _spare(docs, "pii")
     found = pii.with_personal_data(docs, into=made)
     new = {"text": F.col(f"{made}.redacted"), "n_chars": F.length(f"{made}.redacted").cast("long")}
@@ -59,6 +62,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy block holds; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of the Arrow batches that Spark and its Python workers hand each other; its own bound is 10,000 rows, however long.
+BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- shared storage
@@ -39,6 +41,16 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches by bytes as well, unless it has a bound of its own.
+
+    An executor holds a few such batches for each task, outside its heap and in its Python workers.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None and spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def open_store(uri: str):
     """``(filesystem, path)`` of a folder URI, for the files that Spark's writers can't make.
 
