@@ -21,13 +21,15 @@ from .panel import written
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 #: Chunks and queries of a task, if they have ``CELLS`` distinct terms each; fewer, if more.
-CHUNKS, ASKED, CELLS = 16_384, 16_384, 256
+CHUNKS, ASKED, CELLS = 65_536, 8_192, 256
 #: Terms that are multiplied as matrices; queries multiplied together; products added up at once; chunks, or their terms, multiplied at once.
-DENSE, TOGETHER, PRODUCTS, ROWS, HELD = 1_024, 256, 500_000, 4_096, 500_000
+DENSE, TOGETHER, PRODUCTS, ROWS, HELD = 1_024, 256, 250_000, 2_048, 250_000
+#: Terms that all tasks know.
+FREQUENT = 65_536
 #: Bytes of an Arrow batch, unless the session has a bound of its own.
 BATCH_BYTES = 4 << 20
 #: The share by which similarities in single precision may be wrong, with a thousandth of a norm's square left out.
-SLACK = 2e-3
+SLACK = 1e-3
 
 
 #: Providers whose items are no news (fixed values).
@@ -161,11 +163,46 @@ class Index:
         return _written(weighted.groupBy("chunk_id").agg(F.sum((F.col("n") * F.col("idf")) ** 2).alias("square")), "norms")
 
     @cached_property
+    def frequent(self) -> DataFrame:
+        """``(term, idf, place)``: the ``FREQUENT`` terms that most chunks hold, from place 0 on."""
+        first = self.vocabulary.orderBy(F.desc("df"), "term").limit(FREQUENT).select("term", "idf")
+        return written(first.coalesce(1).withColumn("place", F.monotonically_increasing_id()), "frequent")
+
     def coded(self) -> DataFrame:
-        """``(chunk_id, ids, counts, square)``: the rows with the terms' ids, and the norms."""
-        cells = _exploded(self.rows, "chunk_id").join(self.vocabulary.select("term", "term_id", "idf"), "term")
-        coded = cells.groupBy("chunk_id").agg(F.collect_list(F.struct("term_id", "n")).alias("x"), F.sum((F.col("n") * F.col("idf")) ** 2).alias("square"))
-        return _written(coded.select("chunk_id", F.col("x.term_id").alias("ids"), F.col("x.n").alias("counts"), "square"), "coded")
+        """``(chunk_id, ids, counts, square)``: the rows with the terms' ids, and the norms.
+
+        Frequent terms, most of a row, are known to all tasks and stay in their row; only the others meet the vocabulary term by term.
+        """
+        known = self.frequent.toArrow()
+        kind = dict(self.rows.dtypes)["chunk_id"]
+        often = self.rows.mapInArrow(lambda batches: _coded(batches, known), f"chunk_id {kind}, ids array<bigint>, counts array<int>, square double")
+        cells = _exploded(self.rows, "chunk_id").join(F.broadcast(self.frequent.select("term")), "term", "left_anti").join(self.vocabulary, "term")
+        # a structure equals another with the same null in it
+        rest = cells.groupBy(F.struct("chunk_id").alias("again")).agg(F.collect_list(F.struct(_seldom("term_id").alias("id"), "n")).alias("x"), F.sum((F.col("n") * F.col("idf")) ** 2).alias("more"))
+        both = often.join(rest, F.struct("chunk_id") == F.col("again"), "left")
+        ids, counts = F.coalesce("x.id", F.array().cast("array<bigint>")), F.coalesce("x.n", F.array().cast("array<int>"))
+        both = both.select("chunk_id", F.concat("ids", ids).alias("ids"), F.concat("counts", counts).alias("counts"), (F.col("square") + F.coalesce("more", F.lit(0.0))).alias("square"))
+        return both.filter("square > 0")
+
+
+def _seldom(term_id: str) -> Column:
+    """The id of a term that isn't frequent; a frequent one's is its place."""
+    return F.col(term_id) + FREQUENT
+
+
+def _coded(batches: Iterator[pa.RecordBatch], known: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of terms with the ids of known terms, without the others, and the sum of their squared weights."""
+    terms, idf = known["term"].combine_chunks(), known["idf"].to_numpy()
+    for batch in batches:
+        lists = batch["terms"]
+        at = pc.index_in(pc.list_flatten(lists), value_set=terms)
+        held = pc.is_valid(at)
+        place, n = at.filter(held).to_numpy(), pc.list_flatten(batch["counts"]).filter(held)
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[held.to_numpy(zero_copy_only=False)]
+        ends = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)), pa.int32())
+        square = np.bincount(row, (n.to_numpy() * idf[place]) ** 2, len(lists))
+        ids = pa.ListArray.from_arrays(ends, pa.array(place, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch["chunk_id"], ids, pa.ListArray.from_arrays(ends, n), pa.array(square, pa.float64())], names=["chunk_id", "ids", "counts", "square"])
 
 
 def index_of(chunks: DataFrame, stop_words: list[str] | None = None) -> Index:
@@ -221,19 +258,19 @@ def _nearest(index: Index, own: DataFrame, k: int) -> DataFrame:
     of ``CELLS``). A row goes to as many tasks as there are blocks of the other side. Which chunks can be among the ``k`` is told by similarities in
     single precision (``_multiplied``); these are scored exactly, and the best ``k`` so far are carried on.
     """
-    n_chunks, c_cells = index.coded.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    n_chunks, c_cells = index.rows.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     n_asked, q_cells = own.agg(F.count_distinct("query_id"), F.count("*")).first()
     by, to = (max(1, -(-max(n, cells // CELLS) // most)) for n, cells, most in ((n_chunks, c_cells, CHUNKS), (n_asked, q_cells, ASKED)))
-    # a few chunks are dealt to all cores
-    by = max(by, min(2 * own.sparkSession.sparkContext.defaultParallelism, -(-n_chunks // 1_024)))
+    cores = own.sparkSession.sparkContext.defaultParallelism
+    by = max(by + -by % cores if n_chunks > CHUNKS else by, min(2 * cores, -(-n_chunks // 1_024)))  # all cores get as many parts
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kinds = {"query_id": dict(own.dtypes)["query_id"], "chunk_id": dict(index.rows.dtypes)["chunk_id"]}
     none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
-    known = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "q", "df"))
-    asked = own.groupBy("query_id").agg(F.collect_list(known).alias("x"), (1 / F.sqrt(F.sum((F.col("q") * F.col("own")) ** 2))).alias("scale"))
-    asked = asked.select(every(by).alias("a"), deal("query_id", to).alias("b"), F.lit(0).alias("side"), "query_id", none("chunk_id"), F.col("x.term_id").alias("ids"), F.col("x.q").alias("counts"), F.col("x.df").alias("dfs"), "scale")
-    passed = index.coded.select(deal("chunk_id", by).alias("a"), every(to).alias("b"), F.lit(1).alias("side"), none("query_id"), "chunk_id", "ids", "counts", F.lit(None).cast("array<bigint>").alias("dfs"), (1 / F.sqrt("square")).alias("scale"))
+    known = F.when(F.col("term_id").isNotNull(), F.struct(F.coalesce("place", _seldom("term_id")).alias("id"), "q", "df"))
+    asked = own.join(F.broadcast(index.frequent.select("term", "place")), "term", "left").groupBy("query_id").agg(F.collect_list(known).alias("x"), (1 / F.sqrt(F.sum((F.col("q") * F.col("own")) ** 2))).alias("scale"))
+    asked = asked.select(every(by).alias("a"), deal("query_id", to).alias("b"), F.lit(0).alias("side"), "query_id", none("chunk_id"), F.col("x.id").alias("ids"), F.col("x.q").alias("counts"), F.col("x.df").alias("dfs"), "scale")
+    passed = index.coded().select(deal("chunk_id", by).alias("a"), every(to).alias("b"), F.lit(1).alias("side"), none("query_id"), "chunk_id", "ids", "counts", F.lit(None).cast("array<bigint>").alias("dfs"), (1 / F.sqrt("square")).alias("scale"))
     dealt = asked.unionByName(passed).withColumn("part", F.col("a") * to + F.col("b")).drop("a", "b")
     dealt = dealt.repartitionById(by * to, "part").sortWithinPartitions("part", "side")
     total, schema = index.total, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, similarity double"
@@ -254,7 +291,7 @@ def _passed(batches: Iterator[pa.RecordBatch], total: int, k: int) -> Iterator[p
         if search is None:
             if not waiting:  # chunks without queries
                 continue
-            search, waiting = _Search(_asked(waiting), k), []
+            search = _Search(_asked(waiting), k)
         for at in range(0, len(batch), ROWS):
             waiting.append(batch[at : at + ROWS])
             cells += pc.sum(pc.list_value_length(waiting[-1]["ids"])).as_py()
@@ -283,6 +320,7 @@ class _Asked(NamedTuple):
     term: np.ndarray  # a cell's term, by its place
     weight: np.ndarray  # a cell's scaled weight
     known: np.ndarray  # the terms' ids, ascending
+    n: np.ndarray  # a term's cells
     change: np.ndarray  # what a query with the term adds to its squared weight, 0 if below a thousandth
     whole: np.ndarray  # the same, whatever it is
 
@@ -301,11 +339,11 @@ def _flat(rows: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
     return pc.list_flatten(rows[column]).to_numpy()
 
 
-def _piece(rows: pa.RecordBatch | pa.Table, weight: np.ndarray, *of_terms: np.ndarray) -> tuple:
-    """Queries with their terms by place among these queries' own; of_terms: values that all cells of a term share."""
+def _piece(rows: pa.RecordBatch | pa.Table, weight: np.ndarray, change: np.ndarray, whole: np.ndarray) -> tuple:
+    """Queries with their terms by place among these queries' own; all cells of a term share its changes."""
     size = pc.list_value_length(rows["ids"]).to_numpy()
     known, at, term = np.unique(_flat(rows, "ids"), return_index=True, return_inverse=True)
-    return rows["query_id"], size, term.astype(np.int32), weight * np.repeat(rows["scale"].to_numpy(), size), known, *(x[at] for x in of_terms)
+    return rows["query_id"], size, term.astype(np.int32), weight * np.repeat(rows["scale"].to_numpy(), size), known, change[at], whole[at]
 
 
 def _weighted(rows: pa.RecordBatch, total: int) -> tuple:
@@ -317,16 +355,20 @@ def _weighted(rows: pa.RecordBatch, total: int) -> tuple:
 
 
 def _asked(pieces: list[tuple]) -> _Asked:
-    ids, sizes, terms, weights, knowns, *shared = zip(*pieces, strict=True)
-    known = np.unique(np.concatenate(knowns))
-    places = [np.searchsorted(known, x).astype(np.int32) for x in knowns]
-    of_terms = [np.zeros(len(known)) for _ in shared]
-    for into, values in zip(of_terms, shared, strict=True):
-        for place, x in zip(places, values, strict=True):
-            into[place] = x
-    term = np.concatenate([place[x] for place, x in zip(places, terms, strict=True)])
-    query_id = pa.concat_arrays([y for x in ids for y in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])])
-    return _Asked(query_id, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), term, np.concatenate(weights), known, *of_terms)
+    """Takes the pieces out of their list, so that no cell is held twice."""
+    size, known = np.concatenate([x[1] for x in pieces]), np.unique(np.concatenate([x[4] for x in pieces]))
+    ids = pa.concat_arrays([y for x in pieces for y in (x[0].chunks if isinstance(x[0], pa.ChunkedArray) else [x[0]])])
+    first = np.concatenate([[0], np.cumsum(size)])
+    term, weight, n, (change, whole) = np.empty(first[-1], np.int32), np.empty(first[-1]), np.zeros(len(known), np.int64), np.zeros((2, len(known)))
+    at = 0
+    while pieces:
+        _, _, own, scaled, ids_of, change_of, whole_of = pieces.pop(0)
+        place = np.searchsorted(known, ids_of)
+        change[place], whole[place] = change_of, whole_of
+        term[at : at + len(own)], weight[at : at + len(own)] = place[own], scaled
+        n[place] += np.bincount(own, minlength=len(place))
+        at += len(own)
+    return _Asked(ids, first, term, weight, known, n, change, whole)
 
 
 def _block(chunks: pa.Table, known: np.ndarray) -> _Block:
@@ -346,7 +388,8 @@ def _multiplied(chunks: pa.Table | _Block, asked: pa.Table | _Asked, k: int, flo
     are one of matrices; those of the others are added up pair by pair.
     """
     if isinstance(asked, pa.Table):
-        asked = _asked([_piece(asked, _flat(asked, "counts"), *[_flat(asked, "changes")] * 2)])
+        change = _flat(asked, "changes")
+        asked = _asked([_piece(asked, _flat(asked, "counts"), change, change)])
     if isinstance(chunks, pa.Table):
         chunks = _block(chunks, asked.known)
     n, n_asked, n_known = len(chunks.scale), len(asked.query_id), len(asked.known)
@@ -357,8 +400,7 @@ def _multiplied(chunks: pa.Table | _Block, asked: pa.Table | _Asked, k: int, flo
     met = np.bincount(c_term, minlength=n_known)
     start = np.concatenate([[0], np.cumsum(met)])
 
-    both = met * np.bincount(asked.term, minlength=n_known)
-    dense = np.argpartition(-both, DENSE)[:DENSE] if n_known > DENSE else np.arange(n_known)
+    dense = np.argpartition(-met * asked.n, DENSE)[:DENSE] if n_known > DENSE else np.arange(n_known)
     column = np.full(n_known, -1)
     column[dense] = np.arange(len(dense))
     common = column[c_term] >= 0
@@ -412,11 +454,13 @@ def _scored(chunks: _Block, asked: _Asked, q: np.ndarray, c: np.ndarray) -> np.n
         own[asked.term[cells]] = asked.weight[cells]
         begin = first[c[i:j]]
         size = first[c[i:j] + 1] - begin
-        pair = np.repeat(np.arange(j - i), size)
-        cell = np.arange(len(pair)) + np.repeat(begin - np.cumsum(size) + size, size)
-        term, n = chunks.term[cell], chunks.count[cell]
-        weight = own[term]
-        more = np.bincount(pair, np.where(weight > 0, asked.whole[term], 0.0) * n * n, j - i)
+        upto = np.cumsum(size)
+        cell = np.arange(upto[-1]) + np.repeat(begin - upto + size, size)
+        weight = own[chunks.term[cell]]
+        shared = np.flatnonzero(weight > 0)
+        cell, pair, weight = cell[shared], np.searchsorted(upto, shared, "right"), weight[shared]
+        n = chunks.count[cell]
+        more = np.bincount(pair, asked.whole[chunks.term[cell]] * n * n, j - i)
         like[i:j] = np.bincount(pair, weight * n, j - i) / np.sqrt(1 / chunks.scale[c[i:j]] ** 2 + more)
         own[asked.term[cells]] = 0
     return like
